@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from helixspark.llm import exact_dedup, warc
+from helixspark.llm import bpe, exact_dedup, warc
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_warc": warc.query,
+        "op7_byte_bpe": lambda spark, sf_dir: bpe.round_trip(documents(spark, sf_dir)),
         "op10_exact_dedup": lambda spark, sf_dir: exact_dedup.exact_dedup(documents(spark, sf_dir)),
     }
 
