@@ -21,10 +21,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from helixspark.llm import pretokens
-from helixspark.llm.storage import shuffle_width
+from helixspark.llm.storage import parts, shuffle_width
 
 RANKS = "byte_bpe_50k.tiktoken"
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
 _SEPARATOR = b"\xff"  # in no UTF-8 text
 _BLOCK = "block long, docs array<long>, counts array<int>, numbers binary, places binary, words array<binary>"
 
@@ -109,8 +109,12 @@ def _encode_bucket(vocabulary, pattern: str):
     return run
 
 
+_CHUNK = 4 << 20  # bytes of ids in a record batch
+_ENCODED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
+
+
 def _reassemble(blocks: pa.Table, encoded: pa.Table) -> pa.Table:
-    docs, ids, counts = [], [], []
+    out, docs, ids, counts, held = [], [], [], [], 0
     lengths, flat = [], []
     for i in np.argsort(encoded.column("bucket").to_numpy(), kind="stable"):
         data = zstandard.decompress(encoded.column("ids")[int(i)].as_py())
@@ -131,7 +135,11 @@ def _reassemble(blocks: pa.Table, encoded: pa.Table) -> pa.Table:
             docs.append(doc)
             counts.append(len(found))
             ids.append(found.astype("<u4").tobytes())
-    return pa.table({"doc_id": pa.array(docs, pa.int64()), "n_tokens": pa.array(counts, pa.int64()), "ids": pa.array(ids, pa.binary())})
+            held += len(ids[-1])
+            if held > _CHUNK:
+                out.append(pa.record_batch([docs, counts, ids], schema=_ENCODED))
+                docs, ids, counts, held = [], [], [], 0
+    return pa.Table.from_batches([*out, pa.record_batch([docs, counts, ids], schema=_ENCODED)])
 
 
 def encode(docs: DataFrame, ranks_path: str | None = None, pattern: str = public_tokenizers.PATTERN, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -167,11 +175,12 @@ def decode(encoded: DataFrame, ranks_path: str | None = None, ids_col: str = "id
         table = np.frombuffer(b"".join(sorted(found, key=found.get)), np.uint8)
         start = pretokens.offsets(length)
         for batch in batches:
-            texts = []
-            for data in batch.column(at):
-                ids = None if data.as_py() is None else np.frombuffer(data.as_py(), "<u4")
-                texts.append(None if ids is None else pretokens.gather(table, start[ids], length[ids]).tobytes())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], names=[*batch.schema.names, "decoded"])
+            for part in parts(batch, at, _CHUNK):
+                texts = []
+                for data in part.column(at):
+                    ids = None if data.as_py() is None else np.frombuffer(data.as_py(), "<u4")
+                    texts.append(None if ids is None else pretokens.gather(table, start[ids], length[ids]).tobytes())
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.binary())], names=[*part.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())]))
 
