@@ -7,8 +7,11 @@ document's start is the sum of the shards before it and of the documents before
 
 from __future__ import annotations
 
+import os
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import public_tokenizers
@@ -22,54 +25,76 @@ from helixspark.llm.repair import Grammar, compressed
 from helixspark.llm.storage import new_path, shuffle_width
 
 TOKENIZER = "byte_bpe_50k.json"
-SHARD_TOKENS = 2_000_000
+SHARD_TOKENS = 500_000
 _SHARDS = "part int, shard int, n_tokens long, docs array<long>, counts array<long>, grammar binary"
-_KNOWN: dict[str, np.ndarray] = {}  # ids of words that this Python worker has met; bounded by KNOWN_WORDS
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 600_000
+_ENCODERS: dict[int, Encoder] = {}  # of this Python worker, by the tokenizer's hash
 
 
-def _shards(vocabulary, end_id: int | None, shard_tokens: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_str(vocabulary.value)
-        tokenizer.encode_special_tokens = True
-        base = tokenizer.get_vocab_size()
-        split = pretokens.splitter()
-        part = TaskContext.get().partitionId() if TaskContext.get() else 0
-        docs, sequences, words, held, made = [], [], pretokens.Numbering(), 0, 0
-
-        def shard() -> pa.RecordBatch:
-            listed = list(words)
-            if len(_KNOWN) + len(listed) > KNOWN_WORDS:
-                _KNOWN.clear()
-            new = [w for w in listed if w not in _KNOWN]
-            for a in range(0, len(new), 10_000):
-                for word, found in zip(new[a : a + 10_000], tokenizer.encode_batch_fast(new[a : a + 10_000], add_special_tokens=False), strict=True):
-                    _KNOWN[word] = np.array(found.ids, np.uint32).tobytes()
-            coded = [_KNOWN[w] for w in listed]
-            end = [] if end_id is None else [np.uint32(end_id).tobytes()]  # one more word, for the end of each document
-            length = np.fromiter(map(len, coded + end), np.int64, len(coded) + len(end)) // 4
-            flat, start = np.frombuffer(b"".join(coded + end), np.uint32), pretokens.offsets(length)
-            tail = np.full(len(end), len(listed), np.uint32)
-            numbers = np.concatenate([x for s in sequences for x in (s, tail)]) if sequences else np.zeros(0, np.uint32)
-            ids = pretokens.gather(flat, start[numbers], length[numbers])
-            counts = [int(length[s].sum()) + len(end) for s in sequences]
-            row = {"part": pa.array([part], pa.int32()), "shard": pa.array([made], pa.int32()), "n_tokens": [len(ids)], "docs": pa.array([docs], pa.list_(pa.int64())), "counts": pa.array([counts], pa.list_(pa.int64())), "grammar": [compressed(ids, base).to_bytes()]}
-            return pa.RecordBatch.from_pydict(row)
+class Encoder:
+    """Numbers words and holds the ids of those it has met; at most about ``KNOWN_WORDS`` of them."""
 
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                docs.append(doc)
-                sequences.append(words.of(text.as_py() or "", split))
-                held += len(sequences[-1]) + 1
-                if held >= shard_tokens:
-                    yield shard()
-                    docs, sequences, words, held, made = [], [], pretokens.Numbering(), 0, made + 1
-        if docs:
-            yield shard()
+    def __init__(self, vocabulary: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one thread a task: the cores have tasks of their own
+        from tokenizers import Tokenizer
 
-    return run
+        self.tokenizer = Tokenizer.from_str(vocabulary)
+        self.tokenizer.encode_special_tokens = True
+        self.base = self.tokenizer.get_vocab_size()
+        self.clear()
+
+    def clear(self) -> None:
+        self.words, self.ids, self.lengths = pretokens.Numbering(), array("I"), array("I")
+
+    def update(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Encode the words that are new, and return all words' ids, starts and lengths."""
+        new = list(islice(self.words, len(self.lengths), None))
+        for a in range(0, len(new), 2_000):
+            for found in self.tokenizer.encode_batch_fast(new[a : a + 2_000], add_special_tokens=False):
+                ids = found.ids
+                self.ids.extend(ids)
+                self.lengths.append(len(ids))
+        length = np.array(self.lengths, np.int64)
+        return np.array(self.ids, np.uint32), pretokens.offsets(length), length
+
+
+def encoder(vocabulary: str) -> Encoder:
+    key = zlib.crc32(vocabulary.encode())
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(vocabulary)
+    return _ENCODERS[key]
+
+
+def shards(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int | None, shard_tokens: int) -> Iterator[pa.RecordBatch]:
+    known, split = encoder(vocabulary), pretokens.splitter()
+    part = TaskContext.get().partitionId() if TaskContext.get() else 0
+    tail = np.zeros(0, np.uint32) if end_id is None else np.array([end_id], np.uint32)
+    docs, sequences, held, made = [], [], 0, 0
+
+    def shard() -> pa.RecordBatch:
+        flat, start, length = known.update()
+        # the end of each document is one more word
+        number, n = np.full(len(tail), len(length), np.uint32), [len(s) + len(tail) for s in sequences]
+        flat, start, length = np.concatenate([flat, tail]), np.append(start, len(flat)), np.append(length, 1)
+        numbers = np.concatenate([x for s in sequences for x in (s, number)])
+        sizes = length[numbers]
+        ids = pretokens.gather(flat, start[numbers], sizes)
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([0, *n])]
+        row = {"part": pa.array([part], pa.int32()), "shard": pa.array([made], pa.int32()), "n_tokens": [len(ids)], "docs": pa.array([docs], pa.list_(pa.int64())), "counts": pa.array([np.diff(ends)], pa.list_(pa.int64())), "grammar": [compressed(ids, known.base).to_bytes()]}
+        if len(known.words) > KNOWN_WORDS:
+            known.clear()
+        return pa.RecordBatch.from_pydict(row)
+
+    for batch in batches:
+        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            docs.append(doc)
+            sequences.append(known.words.of(text.as_py() or "", split))
+            held += len(sequences[-1]) + 1
+            if held >= shard_tokens:
+                yield shard()
+                docs, sequences, held, made = [], [], 0, made + 1
+    if docs:
+        yield shard()
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str | None = None, end_id: int | None = 0, id_col: str = "doc_id", text_col: str = "text", shard_tokens: int = SHARD_TOKENS) -> None:
@@ -84,7 +109,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str | None = None,
         vocabulary = spark.sparkContext.broadcast(file.read())  # bounded: a vocabulary, not data
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     ordered = texts.repartitionByRange(shuffle_width(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(_shards(vocabulary, end_id, shard_tokens), _SHARDS).write.parquet(path)
+    ordered.mapInArrow(lambda batches: shards(batches, vocabulary.value, end_id, shard_tokens), _SHARDS).write.parquet(path)
 
 
 def _decoded(shards: DataFrame, schema: str, describe) -> DataFrame:
