@@ -77,6 +77,15 @@ class Grammar:
         return cls(base, rules, lengths, np.frombuffer(data, kind, n, at + 4 * n_rules).astype(np.uint32))
 
 
+_SLOT_BITS = 16
+
+
+def _slot(pairs: np.ndarray) -> np.ndarray:
+    wide = pairs.dtype.type
+    mixed = pairs * wide(0x9E3779B1 if pairs.itemsize == 4 else 0x9E3779B97F4A7C15)
+    return mixed >> wide(pairs.itemsize * 8 - _SLOT_BITS)
+
+
 def _replace(sequence: np.ndarray, at: np.ndarray, symbols: np.ndarray) -> np.ndarray:
     """Put symbols[i] in place of the pair at at[i]; of overlapping pairs, every other one from the left."""
     run = np.flatnonzero(np.diff(at, prepend=-2) != 1)  # first of each run of adjacent matches
@@ -109,12 +118,16 @@ def compressed(ids: np.ndarray, base: int, min_count: int = 32, max_rounds: int
         if len(frequent) > room:
             frequent = np.sort(frequent[np.argsort(-count[frequent], kind="stable")[:room]])
         chosen = ordered[edge[frequent]]  # ascending
-        left = np.zeros(max_symbols if narrow else int(sequence.max()) + 1, bool)
-        left[(chosen >> wide(16 if narrow else 32)).astype(np.int64)] = True
-        at = np.flatnonzero(left[sequence[:-1]])
-        found = np.minimum(np.searchsorted(chosen, pairs[at]), len(chosen) - 1)
-        hit = chosen[found] == pairs[at]
-        sequence = _replace(sequence, at[hit], (base + len(rules) + found[hit]).astype(np.uint32))
+        # a table by hash finds the pair at each place; of chosen pairs that meet in a slot, one waits for the next round
+        slot = _slot(chosen)
+        table = np.zeros(1 << _SLOT_BITS, np.int32)
+        table[slot] = np.arange(len(chosen), dtype=np.int32)
+        won = table[slot] == np.arange(len(chosen))
+        chosen = chosen[won]
+        table[slot[won]] = np.arange(len(chosen), dtype=np.int32)
+        found = table[_slot(pairs)]
+        at = np.flatnonzero(chosen[found] == pairs)
+        sequence = _replace(sequence, at, (base + len(rules) + found[at]).astype(np.uint32))
         new = np.stack([chosen >> wide(16 if narrow else 32), chosen & wide(0xFFFF if narrow else 0xFFFFFFFF)], 1).astype(np.uint32)
         sizes = np.concatenate([np.ones(base, np.int64), lengths])
         lengths = np.concatenate([lengths, sizes[new].sum(1)])
