@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from helixspark.llm.pretokens import gather
+from helixspark.llm.pretokens import gather, offsets
 
 MAGIC = b"RPG1"
 _HEAD = struct.Struct("<4sIIIQB")
@@ -26,7 +26,7 @@ class Grammar:
     sequence: np.ndarray  #: uint32
 
     def __post_init__(self):
-        self._ends = None
+        self._ends = self._table = None
 
     @property
     def ends(self) -> np.ndarray:
@@ -38,17 +38,23 @@ class Grammar:
             self._ends = np.cumsum(size)
         return self._ends
 
-    def expanded(self, symbols: np.ndarray) -> np.ndarray:
-        """The ids that a run of symbols stands for: one gather a nesting level."""
-        symbols = symbols.astype(np.uint32)
-        flat = np.concatenate([np.zeros(0, np.uint32), self.rules.ravel()])
+    def _expanded_rules(self) -> np.ndarray:
+        """The ids of all rules, one after another: one gather a nesting level."""
+        symbols, flat = np.arange(len(self.rules), dtype=np.uint32) + np.uint32(self.base), self.rules.ravel()
         while (rule := symbols >= self.base).any():
-            count = np.where(rule, 2, 1)
             # a plain id is gathered from the symbols themselves, which stand behind the rules
             start = np.where(rule, 2 * (symbols.astype(np.int64) - self.base), len(flat) + np.arange(len(symbols)))
-            symbols = gather(np.concatenate([flat, symbols]), start, count)
+            symbols = gather(np.concatenate([flat, symbols]), start, np.where(rule, 2, 1))
         return symbols
 
+    def expanded(self, symbols: np.ndarray) -> np.ndarray:
+        """The ids that a run of symbols stands for."""
+        if self._table is None:
+            length = np.concatenate([np.ones(self.base, np.int64), self.lengths])
+            self._table = np.concatenate([np.arange(self.base, dtype=np.uint32), self._expanded_rules()]), offsets(length), length
+        flat, start, length = self._table
+        return gather(flat, start[symbols], length[symbols])
+
     def ids(self, start: int = 0, stop: int | None = None) -> np.ndarray:
         """Decoded ids start..stop; only the symbols that cover them are expanded."""
         total = int(self.ends[-1]) if len(self.sequence) else 0
@@ -98,7 +104,7 @@ def _replace(sequence: np.ndarray, at: np.ndarray, symbols: np.ndarray) -> np.nd
     return out[keep]
 
 
-def compressed(ids: np.ndarray, base: int, min_count: int = 32, max_rounds: int = 6, max_symbols: int = 1 << 16) -> Grammar:
+def compressed(ids: np.ndarray, base: int, min_count: int = 32, max_rounds: int = 5, max_symbols: int = 1 << 16) -> Grammar:
     """The grammar of ``ids``. A round replaces the pairs that occur at least ``min_count`` times and a sixteenth as often as the most frequent one."""
     sequence = ids.astype(np.uint32)
     rules, lengths = np.zeros((0, 2), np.uint32), np.zeros(0, np.int64)

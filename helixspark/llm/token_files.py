@@ -27,8 +27,9 @@ from helixspark.llm.storage import new_path, shuffle_width
 TOKENIZER = "byte_bpe_50k.json"
 SHARD_TOKENS = 500_000
 _SHARDS = "part int, shard int, n_tokens long, docs array<long>, counts array<long>, grammar binary"
-KNOWN_WORDS = 600_000
-_ENCODERS: dict[int, Encoder] = {}  # of this Python worker, by the tokenizer's hash
+KNOWN_WORDS = 1_200_000
+_MARK = chr(0xE000)
+_ENCODERS: dict[int, Encoder] = {}  # of this Python worker, by the vocabulary's checksum
 
 
 class Encoder:
@@ -36,10 +37,15 @@ class Encoder:
 
     def __init__(self, vocabulary: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one thread a task: the cores have tasks of their own
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.tokenizer.encode_special_tokens = True
+        # words are pre-tokens already; many are encoded in one call, parted by a mark
+        byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.tokenizer.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(_MARK, "removed"), byte_level])
+        self.single = Tokenizer.from_str(vocabulary)
+        self.single.encode_special_tokens = True
         self.base = self.tokenizer.get_vocab_size()
         self.clear()
 
@@ -49,11 +55,16 @@ class Encoder:
     def update(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Encode the words that are new, and return all words' ids, starts and lengths."""
         new = list(islice(self.words, len(self.lengths), None))
-        for a in range(0, len(new), 2_000):
-            for found in self.tokenizer.encode_batch_fast(new[a : a + 2_000], add_special_tokens=False):
-                ids = found.ids
-                self.ids.extend(ids)
-                self.lengths.append(len(ids))
+        for a in range(0, len(new), 1_000):
+            joined = _MARK.join(words := new[a : a + 1_000])
+            if joined.count(_MARK) != len(words) - 1:
+                for found in self.single.encode_batch(words, add_special_tokens=False):
+                    self.ids.extend(found.ids)
+                    self.lengths.append(len(found))
+                continue
+            found = self.tokenizer.encode(joined, add_special_tokens=False)
+            self.ids.extend(found.ids)
+            self.lengths.extend(np.bincount(found.word_ids, minlength=len(words)).tolist())
         length = np.array(self.lengths, np.int64)
         return np.array(self.ids, np.uint32), pretokens.offsets(length), length
 
