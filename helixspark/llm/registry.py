@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from helixspark.llm import bpe, exact_dedup, token_files, toxicity, warc
+from helixspark.llm import bpe, exact_dedup, jaccard, token_files, toxicity, warc
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_toxicity": toxicity.query,
+        "op3_jaccard_join": jaccard.query,
         "op4_warc": warc.query,
         "op5_token_files": token_files.query,
         "op7_byte_bpe": lambda spark, sf_dir: bpe.round_trip(documents(spark, sf_dir)),
