@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from helixspark.llm import bpe, exact_dedup, jaccard, token_files, toxicity, warc
+from helixspark.llm import bpe, exact_dedup, jaccard, licenses, token_files, toxicity, warc
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_warc": warc.query,
         "op5_token_files": token_files.query,
         "op7_byte_bpe": lambda spark, sf_dir: bpe.round_trip(documents(spark, sf_dir)),
+        "op9_licenses": licenses.query,
         "op10_exact_dedup": lambda spark, sf_dir: exact_dedup.exact_dedup(documents(spark, sf_dir)),
     }
 
