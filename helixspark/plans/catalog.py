@@ -1,9 +1,175 @@
-"""Registered queries of the k-mer engine."""
+"""Registered queries of the k-mer engine over reads derived from the documents' texts."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-def oracle_sql():
-    return {}
+from helixspark.functions import hashing, sequence
+from helixspark.operators import count, extract, minimizer
+from helixspark.plans import oracle
+from helixspark.sources.fasta import from_packed, to_packed
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+#: Lengths of the count queries, on both sides of the widths of packed words.
+LENGTHS = (11, 21, 31, 32, 33, 64, 95)
+BAND = (2, 50)
+K, M, TASKS, MAX_LEN = 31, 17, 64, 250
+
+
+def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """rid, seq: each text's letters A, C, G, T and N, with N as A; texts without any are left out."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select(F.col("doc_id").alias("rid"), sequence.normalise(F.col("text"), "drop").alias("seq")).where("length(seq) > 0")
+
+
+def _counts(k: int, method: str = "packed") -> Query:
+    return lambda spark, sf_dir: count.count_kmers(reads(spark, sf_dir), k, *BAND, method=method)
+
+
+def _over_reads(make: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: make(reads(spark, sf_dir))
+
+
+def _flat_occurrences(r: DataFrame) -> DataFrame:
+    found = count.count_kmers(r, K, *BAND, with_positions=True)
+    return found.select("kmer", "cnt", F.explode("occ").alias("o")).select("kmer", "cnt", "o.rid", "o.pos")
+
+
+def _hashes(r: DataFrame) -> DataFrame:
+    mmer = F.substr("seq", F.lit(1), F.lit(M))
+    return extract.long_enough(r, M).select("rid", mmer.alias("mmer"), hashing.murmur64_of(mmer).alias("hash"))
+
+
+def _wang(r: DataFrame) -> DataFrame:
+    hashed = r.select("rid", hashing.wang64_of(F.col("rid")).alias("hash"))
+    return hashed.select("rid", "hash", hashing.wang64_inverse_of("hash").alias("back"))
+
+
+def _supermers(r: DataFrame) -> DataFrame:
+    return minimizer.supermers(r, K, M, TASKS, MAX_LEN)
+
+
+def _sizes(r: DataFrame) -> DataFrame:
+    return minimizer.task_sizes(_supermers(r), K)
+
+
+def _scalars(r: DataFrame) -> DataFrame:
+    n, head = F.length("seq"), F.substr("seq", F.lit(1), F.lit(1))
+    return r.select(
+        "rid", sequence.bytes_needed(n).cast("long").alias("n_bytes"), sequence.padding_bases(n).cast("long").alias("padding"), sequence.supermer_bytes(n).cast("long").alias("supermer_bytes"),
+        sequence.base_at(F.col("seq"), F.lit(0)).alias("first_code"), sequence.revcomp_at(F.col("seq"), F.lit(0)).alias("first_rc"), sequence.code_base(sequence.base_code(head)).alias("first_base"), sequence.kmer_count_of(n, K).cast("long").alias("n_kmers"),
+    )
+
+
+def _prefix_ids(r: DataFrame) -> DataFrame:
+    """Reads numbered without gaps in the order of their ids: within ranges of ids, plus what the ranges before hold."""
+    ranged = r.select("rid", F.floor(F.col("rid") / 1000).alias("part"))
+    before = ranged.groupBy("part").agg(F.count("*").alias("n")).select("part", (F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("before"))
+    within = F.row_number().over(Window.partitionBy("part").orderBy("rid")) - 1
+    return ranged.withColumn("within", within).join(before, "part").select("rid", (F.col("before") + F.col("within")).cast("long").alias("ordinal"))
+
+
+def _forward(r: DataFrame) -> DataFrame:
+    return extract.kmers(count.spread(r), K).groupBy("kmer").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"))
+
+
+def _roll(r: DataFrame) -> DataFrame:
+    """The first k-mer of a read rolled by the next base is its second."""
+    return extract.long_enough(r, K + 1).select("rid", sequence.roll(F.substr("seq", F.lit(1), F.lit(K)), F.substr("seq", F.lit(K + 1), F.lit(1))).alias("kmer"))
+
+
+def queries() -> dict[str, Query]:
+    found = {f"canonical_count_k{k}": _counts(k) for k in LENGTHS}
+    found |= {
+        "text_count_k31": _counts(31, "text"),
+        "forward_kmers": _over_reads(_forward),
+        "canonical_kmers": _over_reads(lambda r: extract.canonical_kmers(count.spread(r), 64)),
+        "mmers": _over_reads(lambda r: extract.mmers(count.spread(r), M).groupBy("mmer").agg(F.count("*").alias("n"))),
+        "canonical_mmers": _over_reads(lambda r: extract.canonical_mmers(count.spread(r), M).groupBy(extract.mmer_text(F.col("mmer")).alias("mmer")).agg(F.count("*").alias("n"))),
+        "band_filter": _over_reads(lambda r: count.count_kmers(r, 21, 3, 5)),
+        "histogram": _over_reads(lambda r: count.kmer_histogram(count.count_kmers(r, 11, *BAND))),
+        "max_count": _over_reads(lambda r: count.max_count(count.count_kmers(r, 11, 1, 65535))),
+        "surviving": _over_reads(lambda r: count.surviving(count.count_kmers(r, 31, *BAND))),
+        "distinct_total": _over_reads(lambda r: count.distinct_total(r, 31)),
+        "partial_then_merge": _over_reads(lambda r: count.merge_counts(count.partial_counts(count.spread(r), 21, 7), *BAND)),
+        "occurrences": _over_reads(_flat_occurrences),
+        "read_lengths": _over_reads(count.read_lengths),
+        "totals": _over_reads(lambda r: count.totals(r, K)),
+        "short_reads": _over_reads(lambda r: r.where(F.length("seq") < K).select("rid", "seq")),
+        "revcomp": _over_reads(lambda r: r.select("rid", sequence.reverse_complement(F.col("seq")).alias("rc"), sequence.canonical(F.col("seq")).alias("canonical"))),
+        "normalise": _over_reads(lambda r: r.select("rid", "seq")),
+        "encode_round_trip": _over_reads(lambda r: from_packed(to_packed(r))),
+        "sequence_scalars": _over_reads(_scalars),
+        "roll": _over_reads(_roll),
+        "prefix_sum_ids": _over_reads(_prefix_ids),
+        "minimizer": _over_reads(lambda r: minimizer.minimizers(r, K, M)),
+        "minimizer_task": _over_reads(lambda r: minimizer.minimizer_tasks(r, K, M, TASKS).groupBy("rid", "task").agg(F.count("*").alias("n"))),
+        "supermers": _over_reads(_supermers),
+        "supermer_kmers": _over_reads(lambda r: minimizer.supermer_kmers(_supermers(r), K)),
+        "task_sizes": _over_reads(_sizes),
+        "heavy_tasks": _over_reads(lambda r: minimizer.heavy_tasks(_sizes(r), TASKS, 1.2)),
+        "round_robin": _over_reads(lambda r: minimizer.round_robin(_sizes(r), 5)),
+        "murmur64": _over_reads(_hashes),
+        "wang_hash": _over_reads(_wang),
+        "top_kmers": _over_reads(lambda r: count.top_kmers(count.all_counts(r, 21), 100)),
+    }
+    return found
+
+
+def oracle_sql() -> dict[str, str]:
+    o, c = oracle, oracle.canonical
+    with_reads = f"WITH {o.READS}"
+    sizes = f", n AS (SELECT task, sum(len - {K - 1})::BIGINT AS n_kmers, count(*) AS n_supermers FROM s GROUP BY 1)"
+    supers = o.supermers(K, M, TASKS, MAX_LEN)
+    found = {f"canonical_count_k{k}": f"{o.counts(k, *BAND)} SELECT kmer, cnt FROM c" for k in LENGTHS}
+    found |= {
+        "text_count_k31": found["canonical_count_k31"],
+        "forward_kmers": f"{with_reads}, {o.windows(K)} SELECT kmer, count(*) AS n, min(pos) AS first_pos FROM f GROUP BY 1",
+        "canonical_kmers": f"{with_reads}, {o.windows(64)} SELECT rid, pos, {c('kmer')} AS kmer FROM f",
+        "mmers": f"{with_reads}, {o.windows(M, 'mmer')} SELECT mmer, count(*) AS n FROM f GROUP BY 1",
+        "canonical_mmers": f"{with_reads}, {o.windows(M, 'mmer')} SELECT 'M-mer(' || {c('mmer')} || ')' AS mmer, count(*) AS n FROM f GROUP BY 1",
+        "band_filter": f"{o.counts(21, 3, 5)} SELECT kmer, cnt FROM c",
+        "histogram": f"{o.counts(11, *BAND)} SELECT cnt, count(*) AS numkmers FROM c GROUP BY 1 ORDER BY 1",
+        "max_count": f"{o.counts(11)} SELECT max(cnt) AS max_cnt FROM c",
+        "surviving": f"{o.counts(31, *BAND)} SELECT count(*) AS n_kmers FROM c",
+        "distinct_total": f"{o.counts(31, 1, 10**15)} SELECT count(*) AS n_distinct, sum(cnt)::BIGINT AS n_total FROM c",
+        "partial_then_merge": f"{o.counts(21, *BAND)} SELECT kmer, cnt FROM c",
+        "occurrences": f"{o.counts(K, *BAND)} SELECT c.kmer, cnt, rid, pos FROM f JOIN c ON {c('f.kmer')} = c.kmer",
+        "read_lengths": f"{with_reads} SELECT rid, length(seq) AS len FROM reads",
+        "totals": f"{with_reads} SELECT count(*) AS n_reads, sum(length(seq))::BIGINT AS n_bases, max(length(seq)) AS max_len, sum((length(seq) + 3) // 4)::BIGINT AS n_bytes, count(*) FILTER (length(seq) < {K}) AS n_short, sum(greatest(length(seq) - {K - 1}, 0))::BIGINT AS n_kmers FROM reads",
+        "short_reads": f"{with_reads} SELECT rid, seq FROM reads WHERE length(seq) < {K}",
+        "revcomp": f"{with_reads} SELECT rid, {o.rc('seq')} AS rc, {c('seq')} AS canonical FROM reads",
+        "normalise": f"{with_reads} SELECT rid, seq FROM reads",
+        "encode_round_trip": f"{with_reads} SELECT rid, seq FROM reads",
+        "sequence_scalars": f"{with_reads} SELECT rid, (length(seq) + 3) // 4 AS n_bytes, 4 * ((length(seq) + 3) // 4) - length(seq) AS padding, length(seq) // 4 + 1 AS supermer_bytes, (instr('ACGT', seq[1]) - 1)::INTEGER AS first_code, (4 - instr('ACGT', seq[-1]))::INTEGER AS first_rc, seq[1] AS first_base, greatest(length(seq) - {K - 1}, 0) AS n_kmers FROM reads",
+        "roll": f"{with_reads} SELECT rid, substr(seq, 2, {K}) AS kmer FROM reads WHERE length(seq) > {K}",
+        "prefix_sum_ids": f"{with_reads} SELECT rid, row_number() OVER (ORDER BY rid) - 1 AS ordinal FROM reads",
+        "minimizer": f"{o.minimizers(K, M)} SELECT rid, pos, {o.signed('h')} AS minimizer FROM z",
+        "minimizer_task": f"{o.minimizers(K, M)} SELECT rid, (h % {TASKS}::UBIGINT)::INTEGER AS task, count(*) AS n FROM z GROUP BY 1, 2",
+        "supermers": f"{supers} SELECT rid, pos, len, task, seq FROM s",
+        "supermer_kmers": f"{with_reads}, {o.windows(K)} SELECT rid, pos, {c('kmer')} AS kmer FROM f",
+        "task_sizes": f"{supers}{sizes} SELECT * FROM n",
+        "heavy_tasks": f"{supers}{sizes} SELECT task, n_kmers, n_kmers * {TASKS} > 1.2 * sum(n_kmers) OVER () AS heavy FROM n",
+        "round_robin": f"{supers}{sizes} SELECT task, task % 5 AS worker FROM n",
+        "murmur64": f"{with_reads}, {o.murmur(f'(SELECT rid, substr(seq, 1, {M}) AS mmer FROM reads WHERE length(seq) >= {M})', 'rid, mmer', 'mmer', M)} SELECT rid, mmer, {o.signed('h')} AS hash FROM hashed",
+        "top_kmers": f"{o.counts(21)} SELECT kmer, cnt FROM c ORDER BY cnt DESC, kmer LIMIT 100",
+    }
+    found["wang_hash"] = _wang_sql(with_reads)
+    return found
+
+
+def _wang_sql(with_reads: str) -> str:
+    """Wang's mix step by step, modulo 2 ** 64; the inverse must give the id back."""
+    mod = "18446744073709551616::UHUGEINT"
+    steps = [
+        f"((18446744073709551615::UHUGEINT - x) + x * {1 << 21}::UHUGEINT) % {mod}", "xor(x, x >> 24)", f"(x * 265::UHUGEINT) % {mod}", "xor(x, x >> 14)", f"(x * 21::UHUGEINT) % {mod}", "xor(x, x >> 28)", f"(x + x * {1 << 31}::UHUGEINT) % {mod}",
+    ]
+    ctes = [f"w0 AS (SELECT rid, rid::UBIGINT AS x FROM reads)"]
+    for i, step in enumerate(steps):
+        source = step if step.startswith("xor") else step.replace("x *", "x::UHUGEINT *").replace("- x)", "- x::UHUGEINT)").replace("(x +", "(x::UHUGEINT +")
+        ctes.append(f"w{i + 1} AS (SELECT rid, ({source})::UBIGINT AS x FROM w{i})")
+    return f"{with_reads}, {', '.join(ctes)} SELECT rid, {oracle.signed('x')} AS hash, rid AS back FROM w{len(steps)}"
