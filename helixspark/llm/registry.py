@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from helixspark.llm import bpe, decontamination, exact_dedup, jaccard, licenses, token_files, toxicity, warc
+from helixspark.llm import bpe, decontamination, exact_dedup, jaccard, licenses, repeats, token_files, toxicity, warc
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +15,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_repeats": repeats.query,
         "op2_toxicity": toxicity.query,
         "op3_jaccard_join": jaccard.query,
         "op4_warc": warc.query,
