@@ -104,7 +104,7 @@ def _replace(sequence: np.ndarray, at: np.ndarray, symbols: np.ndarray) -> np.nd
     return out[keep]
 
 
-def compressed(ids: np.ndarray, base: int, min_count: int = 32, max_rounds: int = 5, max_symbols: int = 1 << 16) -> Grammar:
+def compressed(ids: np.ndarray, base: int, min_count: int = 32, max_rounds: int = 4, max_symbols: int = 1 << 16) -> Grammar:
     """The grammar of ``ids``. A round replaces the pairs that occur at least ``min_count`` times and a sixteenth as often as the most frequent one."""
     sequence = ids.astype(np.uint32)
     rules, lengths = np.zeros((0, 2), np.uint32), np.zeros(0, np.int64)

@@ -27,9 +27,9 @@ from helixspark.llm.storage import new_path, shuffle_width
 TOKENIZER = "byte_bpe_50k.json"
 SHARD_TOKENS = 500_000
 _SHARDS = "part int, shard int, n_tokens long, docs array<long>, counts array<long>, grammar binary"
-KNOWN_WORDS = 1_200_000
+KNOWN_WORDS = 2_000_000
 _MARK = chr(0xE000)
-_ENCODERS: dict[int, Encoder] = {}  # of this Python worker, by the vocabulary's checksum
+_ENCODERS: dict[tuple, Encoder] = {}  # of this Python worker, by the vocabulary's checksum and the end id
 
 
 class Encoder:
@@ -50,47 +50,63 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.words, self.ids, self.lengths = pretokens.Numbering(), array("I"), array("I")
-
-    def update(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Encode the words that are new, and return all words' ids, starts and lengths."""
-        new = list(islice(self.words, len(self.lengths), None))
+        self.words, self.starts, self.lengths, self.ids = pretokens.Numbering(), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.words[""] = 0  # no pre-token is empty; the number stands for the end of a document
+        self.done = self.filled = 0
+
+    def update(self, end_ids: list[int]) -> None:
+        """Encode the words that are new; ``starts`` and ``lengths`` then place every word's ids in ``ids``."""
+        new = list(islice(self.words, self.done, None))
+        ids, lengths = array("I"), array("I")
+        if not self.done:
+            new.pop(0)
+            ids.extend(end_ids)
+            lengths.append(len(end_ids))
         for a in range(0, len(new), 1_000):
             joined = _MARK.join(words := new[a : a + 1_000])
             if joined.count(_MARK) != len(words) - 1:
                 for found in self.single.encode_batch(words, add_special_tokens=False):
-                    self.ids.extend(found.ids)
-                    self.lengths.append(len(found))
+                    ids.extend(found.ids)
+                    lengths.append(len(found))
                 continue
             found = self.tokenizer.encode(joined, add_special_tokens=False)
-            self.ids.extend(found.ids)
-            self.lengths.extend(np.bincount(found.word_ids, minlength=len(words)).tolist())
-        length = np.array(self.lengths, np.int64)
-        return np.array(self.ids, np.uint32), pretokens.offsets(length), length
+            ids.extend(found.ids)
+            lengths.extend(np.bincount(found.word_ids, minlength=len(words)).tolist())
+        size = np.array(lengths, np.int64)
+        self.starts = _appended(self.starts, self.done, self.filled + pretokens.offsets(size))
+        self.lengths = _appended(self.lengths, self.done, size)
+        self.ids = _appended(self.ids, self.filled, np.array(ids, np.uint32))
+        self.done, self.filled = len(self.words), self.filled + len(ids)
+
+
+def _appended(room: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
+    """``room`` with ``more`` behind its first ``used`` elements; it doubles when it is full."""
+    if used + len(more) > len(room):
+        room = np.concatenate([room[:used], np.zeros(max(used, len(more), 1 << 16) + len(more), room.dtype)])
+    room[used : used + len(more)] = more
+    return room
 
 
-def encoder(vocabulary: str) -> Encoder:
-    key = zlib.crc32(vocabulary.encode())
+def encoder(vocabulary: str, end_id: int | None) -> Encoder:
+    key = (zlib.crc32(vocabulary.encode()), end_id)
     if key not in _ENCODERS:
         _ENCODERS[key] = Encoder(vocabulary)
     return _ENCODERS[key]
 
 
 def shards(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int | None, shard_tokens: int) -> Iterator[pa.RecordBatch]:
-    known, split = encoder(vocabulary), pretokens.splitter()
+    known, split = encoder(vocabulary, end_id), pretokens.splitter()
     part = TaskContext.get().partitionId() if TaskContext.get() else 0
-    tail = np.zeros(0, np.uint32) if end_id is None else np.array([end_id], np.uint32)
+    end_ids = [] if end_id is None else [end_id]
+    end = np.zeros(1, np.uint32)  # the number of the end of a document
     docs, sequences, held, made = [], [], 0, 0
 
     def shard() -> pa.RecordBatch:
-        flat, start, length = known.update()
-        # the end of each document is one more word
-        number, n = np.full(len(tail), len(length), np.uint32), [len(s) + len(tail) for s in sequences]
-        flat, start, length = np.concatenate([flat, tail]), np.append(start, len(flat)), np.append(length, 1)
-        numbers = np.concatenate([x for s in sequences for x in (s, number)])
-        sizes = length[numbers]
-        ids = pretokens.gather(flat, start[numbers], sizes)
-        ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([0, *n])]
+        known.update(end_ids)
+        numbers = np.concatenate([x for s in sequences for x in (s, end)])
+        sizes = known.lengths[numbers]
+        ids = pretokens.gather(known.ids, known.starts[numbers], sizes)
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([0, *(len(s) + 1 for s in sequences)])]
         row = {"part": pa.array([part], pa.int32()), "shard": pa.array([made], pa.int32()), "n_tokens": [len(ids)], "docs": pa.array([docs], pa.list_(pa.int64())), "counts": pa.array([np.diff(ends)], pa.list_(pa.int64())), "grammar": [compressed(ids, known.base).to_bytes()]}
         if len(known.words) > KNOWN_WORDS:
             known.clear()
