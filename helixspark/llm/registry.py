@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from helixspark.llm import bpe, decontamination, exact_dedup, jaccard, licenses, repeats, token_files, toxicity, warc
+from helixspark.llm import bpe, decontamination, exact_dedup, jaccard, licenses, repeats, secrets, token_files, toxicity, warc
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_jaccard_join": jaccard.query,
         "op4_warc": warc.query,
         "op5_token_files": token_files.query,
+        "op6_secrets": secrets.query,
         "op7_byte_bpe": lambda spark, sf_dir: bpe.round_trip(documents(spark, sf_dir)),
         "op8_decontamination": decontamination.query,
         "op9_licenses": licenses.query,
