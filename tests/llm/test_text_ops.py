@@ -1,0 +1,275 @@
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from helixspark.llm import bpe, decontamination, licenses, pretokens, repair, secrets, token_files, toxicity, warc
+from tests.llm.odd import ODD
+
+key = lambda r: tuple((x is None, str(x)) for x in r)
+
+
+# Toxicity
+
+
+def labelled(n, rng):
+    clean = ["river", "stone", "bread", "window", "garden", "music", "paper", "light"]
+    docs, labels = [], []
+    for i in range(n):
+        toxic = rng.random() < 0.3
+        words = [rng.choice(clean) for _ in range(rng.randint(5, 30))]
+        if rng.random() < 0.4:
+            words.insert(rng.randrange(len(words)), rng.choice(["women", "muslim", "gay", "immigrant"]))
+        if toxic:
+            words.insert(rng.randrange(len(words)), rng.choice(["scum", *("vile" + x for x in ("ful", "ness", "bor", "tan", "kip", "sum", "rod", "mar", "gan", "dol"))]))
+        docs.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    return docs, labels
+
+
+def test_toxicity_held_out_accuracy_and_neutral_mentions(spark, docs_of):
+    rows, marks = labelled(1500, random.Random(3))
+    docs, labels = docs_of(rows), spark.createDataFrame(marks, "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    found = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
+    assert all(found[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i, _ in rows)
+    held = [(found[i].predicted, y) for i, y in marks if found[i].held_out]
+    assert sum(p == y for p, y in held) >= 0.98 * len(held)
+    plain = model.score(toxicity.words_of("river stone bread"))
+    for group in ("women", "muslim", "gay", "immigrant", "refugee"):
+        assert abs(model.score(toxicity.words_of(f"river stone bread {group}")) - plain) < 0.1
+    assert model.score(toxicity.words_of("river stone vilehood")) > 3 * plain  # a word never seen, by its beginning
+
+
+def test_swap_penalty_shrinks_the_change_between_counterfactuals():
+    rng = random.Random(1)
+    # "muslim" comes with toxic rows by accident; the penalty must not let it count
+    sample = [({"river", rng.choice(["scum", "vile"]), *(["muslim"] if rng.random() < 0.9 else [])}, 1) if i % 2 else ({"river", rng.choice(["bread", "tree"])}, 0) for i in range(200)]
+    features = ["river", "scum", "vile", "bread", "tree", "muslim"]
+    change = lambda m: abs(m.score({"river", "muslim"}) - m.score({"river", "jewish"}))
+    assert change(toxicity.fit(sample, features, swap_penalty=20.0)) < 0.5 * change(toxicity.fit(sample, features, swap_penalty=0.0))
+
+
+def test_toxicity_odd_rows(spark, docs_of):
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    for rows in (ODD, []):
+        found = toxicity.score(docs_of(rows, extra=("score", "words")), toxicity.train(docs_of(rows), none)).collect()
+        assert len(found) == len(rows) and all(0 <= r.score <= 1 for r in found)
+    one_class = spark.createDataFrame([(i, 1) for i in range(20)], "doc_id long, toxic int")
+    assert toxicity.score(docs_of(ODD), toxicity.train(docs_of(ODD), one_class)).count() == len(ODD)
+
+
+# WARC
+
+PAGES = [(1, "http://a/", "x"), (2, "http://b/\r\nWARC/1.1", "y\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\n"), (3, None, "x"), (4, "u", None), (5, "u", ""), (6, "u", "é中😀"), (6, "u", "é中😀"), (7, "u", "z" * 300_000), (9, "u", "x"), (None, "u", "x")]
+
+
+def test_warc_round_trip(spark):
+    pages = spark.createDataFrame(PAGES, "page_id long, url string, html string")
+    found = sorted(map(tuple, warc.warc_round_trip(spark, pages).collect()), key=key)
+    expected = []
+    import base64
+
+    for i, _, html in PAGES:
+        data = (html or "").encode()
+        top = max(j for j, _, h in PAGES if j is not None and (h or "").encode() == data)
+        expected.append((i, len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "response" if i == top else "revisit", None if i == top else top))
+    assert found == sorted(expected, key=key)
+    assert warc.warc_round_trip(spark, pages.where("page_id > 100")).count() == 0
+
+
+def test_warc_payloads_and_small_pages(spark, tmp_path):
+    pages = spark.createDataFrame(PAGES[:8], "page_id long, url string, html string")
+    warc.write_warc(pages, str(tmp_path / "w"), min_revisit_bytes=2)
+    captures = warc.assemble(warc.read_warc(spark, str(tmp_path / "w"))).collect()
+    by_id = {r.metadata.fields["page-id"]: r for r in captures}
+    assert bytes(by_id["2"].response.payload).decode() == PAGES[1][2] and by_id["2"].request.target_uri == "http://b/%0D%0AWARC/1.1"
+    assert {r.response.warc_type for k, r in by_id.items() if k in "1345"} == {"response"}  # below two bytes
+
+
+def test_warc_reads_foreign_archives():
+    import gzip
+
+    record = lambda kind, rid, body, more="": f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <{rid}>\r\n{more}Content-Type: application/http; msgtype={kind}\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body + b"\r\n\r\n"
+    one = record("response", "r1", b"HTTP/1.1 200 OK\r\n\r\nhi")
+    two = record("request", "q1", b"GET / HTTP/1.1\r\n\r\n", "WARC-Concurrent-To: <r1>\r\n")
+    for data in (one + two, gzip.compress(one) + gzip.compress(two), gzip.compress(one + two)):
+        rows = list(warc.parsed(data, True))
+        assert [(r[0], r[1], r[2], r[6]) for r in rows] == [("response", "r1", None, 2), ("request", "q1", "r1", None)] and rows[0][8] == b"hi"
+    assert len(list(warc.parsed((one + two)[:-20], True))) == 1  # cut
+
+
+def test_transactions_without_or_with_many_mates(spark):
+    rows = [("response", "a", None), ("response", "b", None), ("request", "q2", "a"), ("request", "q1", "a"), ("metadata", "m", "zz"), ("response", None, None)]
+    df = spark.createDataFrame([(t, i, c, None, None, None, None, {}, None) for t, i, c in rows], warc.RECORD_SCHEMA)
+    found = {r.record_id: r for r in warc.assemble(df).collect()}
+    assert set(found) == {"a", "b"} and found["a"].request.record_id == "q1" and found["a"].n_request == 2 and found["b"].request is None
+
+
+# Tokens
+
+TEXTS = [*ODD, (20, "It's  what we'll do—²½ 12 x y\x1cz\x85 'S I'VE"), (21, "<|endoftext|> a<|endoftext|>"), (22, "ab "), (23, "word " * 3000)]
+
+
+def encoding():
+    import tiktoken
+
+    with open(public_tokenizers.path(bpe.RANKS), "rb") as f:
+        return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.ranks(f.read()), special_tokens={})
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(st.sampled_from(list(" \n\t\r\x1c\x1f\x85  aBé中1²½٣-_'sldtx😀́​")), max_size=20))
+def test_pretokens_equal_the_library(text):
+    split = pretokens.splitter()
+    words = split(text)
+    assert "".join(words) == text
+    assert [i for w in words for i in _ENC._core_bpe.encode_single_piece(w.encode())] == _ENC.encode_ordinary(text)
+    assert [w for p in pretokens.pieces(text, 3) for w in split(p)] == words
+
+
+_ENC = encoding()
+
+
+@pytest.mark.parametrize("block_bytes", [1, 1 << 20])
+def test_byte_bpe(docs_of, block_bytes):
+    found = sorted(map(tuple, bpe.round_trip(docs_of(TEXTS, extra=("ids", "block")), block_bytes=block_bytes).collect()), key=key)
+    expected = []
+    for i, t in TEXTS:
+        ids = _ENC.encode_ordinary(t or "")
+        expected.append((i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
+    assert found == sorted(expected, key=key)
+    assert bpe.round_trip(docs_of([])).count() == 0
+
+
+def test_token_files(spark, docs_of, tmp_path):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path(token_files.TOKENIZER))
+    tokenizer.encode_special_tokens = True
+    for shard in (1, 10**6):
+        path = str(tmp_path / f"t{shard}")
+        token_files.write_tokens(docs_of(TEXTS, extra=("ids", "part")), path, shard_tokens=shard)
+        found = sorted((r.start, r.doc_id, r.n_tokens, bytes(r.ids)) for r in token_files.read_tokens(spark, path).collect())
+        at, expected = 0, []
+        for i, t in sorted(TEXTS, key=lambda x: (x[0] is not None, x[0] or 0, x[1] is not None, x[1] or "")):
+            ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 0]
+            expected.append((at, i, len(ids), np.array(ids, "<u4").tobytes()))
+            at += len(ids)
+        assert found == expected
+        assert {(r.start, r.ids_crc32) for r in token_files.token_checksums(spark, path).collect()} == {(s, zlib.crc32(b)) for s, _, _, b in expected}
+    token_files.write_tokens(docs_of([]), str(tmp_path / "none"))
+    assert token_files.read_tokens(spark, str(tmp_path / "none")).count() == 0
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 5), max_size=300), st.integers(0, 300), st.integers(0, 300), st.sampled_from([1 << 16, 1 << 20]))
+def test_grammar_round_trip_and_random_access(ids, a, b, symbols):
+    ids = np.array(ids, np.uint32)
+    grammar = repair.Grammar.from_bytes(repair.compressed(ids, 6, min_count=2, max_rounds=8, max_symbols=symbols).to_bytes())
+    assert (grammar.ids() == ids).all() and (grammar.ids(a, b) == ids[a:b]).all()
+
+
+def test_grammar_compresses_and_keeps_within_symbols():
+    ids = np.tile(np.arange(50, dtype=np.uint32), 400)
+    assert len(repair.compressed(ids, 50, max_rounds=20).sequence) < len(ids) / 20
+    assert len(repair.compressed(ids, 50, max_rounds=20, max_symbols=60).rules) <= 10
+    high = np.array([70_000, 70_001] * 200, np.uint32)
+    assert (repair.Grammar.from_bytes(repair.compressed(high, 70_002, max_symbols=1 << 20).to_bytes()).ids() == high).all()
+
+
+# Decontamination
+
+
+def test_leaks_are_found_and_clean_documents_left(spark, docs_of):
+    rng = random.Random(9)
+    word = lambda: rng.choice("bcdfglmnprst") + rng.choice("aeiou") + rng.choice(["n", "st", "rim", "lod", "vek"]) + str(rng.randint(0, 40))
+    items = [(i, " ".join(word() for _ in range(rng.randint(15, 60)))) for i in range(30)]
+    docs, truth = [], set()
+    for d in range(300):
+        body = [word() for _ in range(rng.randint(20, 400))]
+        if d % 5 == 0:
+            i, text = rng.choice(items)
+            leak = text.split()
+            if d % 2:  # a paraphrase: one word in ten is another
+                leak = [w if k % 10 else word() for k, w in enumerate(leak)]
+            at = rng.randint(0, len(body))
+            body[at:at] = leak
+            truth.add((d, i))
+        docs.append((d, " ".join(body)))
+    benchmark = spark.createDataFrame([*items, (98, None), (99, ""), (None, "x y")], "item_id long, text string")
+    found = decontamination.leaks(docs_of([*docs, *ODD_IDS], extra=("item_id", "cosine")), benchmark).collect()
+    got = {(r.doc_id, r.item_id) for r in found}
+    assert len(got & truth) >= 0.9 * len(truth) and not got - truth
+    assert decontamination.leaks(docs_of([]), benchmark).count() == 0 and decontamination.leaks(docs_of(docs[:3]), benchmark.limit(0)).count() == 0
+
+
+ODD_IDS = [(1000 + k, t) for k, (_, t) in enumerate(ODD)]
+
+
+@given(st.lists(st.integers(0, 4), max_size=30), st.lists(st.integers(0, 4), max_size=30))
+def test_common_subsequence(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = list(row)
+        for j, y in enumerate(b):
+            row[j + 1] = before[j] + 1 if x == y else max(before[j + 1], row[j])
+    assert decontamination.common_subsequence(a, b) == row[-1]
+
+
+# Licenses
+
+LICENSED = [
+    *ODD,
+    (30, "Licensed under CC BY-NC 4.0, all rights; reserved. ALL RIGHTS RESERVED"),
+    (31, "General Public\nLicense general public licenses cc bye cc  by"),
+    (32, "This work is licensed under the GNU General Public License, version 3. Released under the MIT License."),
+    (33, "permission is hereby granted free of charge to every single person obtaining a copy of this software and associated documentation files"),
+    (34, "licensed to the apache in 2 parts"),
+    (35, "all rights reserved " * 50 + "Kc by"),
+]
+
+
+def test_licenses(docs_of):
+    found = {}
+    for r in licenses.scan_licenses(docs_of(LICENSED, extra=("label", "score"))).collect():
+        found.setdefault(r.doc_id, []).append(r)
+    assert sum(map(len, found.values())) == len(LICENSED)
+    for i, t in LICENSED:
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        at = [(k, label) for label, p in licenses.PHRASES.items() for k in range(len(words)) if words[k : k + len(p.split())] == p.split()]
+        expected = (len(words), len(at), min((k for k, _ in at), default=None), max((k for k, _ in at), default=None), ",".join(sorted({x for _, x in at})))
+        assert expected in [(r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in found[i]]
+    label = lambda i: found[i][0].labels
+    assert label(30) == "cc-by,cc-by-nc,reserved" and label(32) == "gpl,gpl-3.0,mit" and label(33) == "mit-grant" and label(34) == ""
+    assert licenses.scan_licenses(docs_of([])).count() == 0
+
+
+# Secrets
+
+
+def test_secrets(spark, docs_of):
+    model = secrets.train(secrets.labelled_findings(spark))
+    unseen = secrets.with_features(secrets.with_value(secrets.labelled_findings(spark, 1000, 77))).withColumn("score", secrets.as_expression(model))
+    right = unseen.where("(score >= 0.5) = (label = 1)").count()
+    assert right >= 0.95 * unseen.count()
+    rows = [*ODD, (40, 'the token = "531d33d281ee7945b4ffb358ababf877ac2efa08" of'), (41, "mit password=bc46da14cb777c7457 und"), (42, "commit 531d33d281ee7945b4ffb358ababf877ac2efa08 fixes"), (43, "eineinkeitchzukeitheit ist lang"), (44, "see /docs/information/introduction.html")]
+    found = {r.doc_id: r.secret for r in secrets.scan_secrets(docs_of(rows, extra=("value", "score")), model).collect()}
+    assert found[40] and found[41] and not found[42] and not found[43] and not found.get(44)
+    assert secrets.scan_secrets(docs_of([]), model).count() == 0
+
+
+def test_the_forest_as_expression_equals_the_model(spark):
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    rows = secrets.with_features(secrets.with_value(secrets.labelled_findings(spark, 600)))
+    model = secrets.train(secrets.labelled_findings(spark, 600), trees=5)
+    both = model.transform(VectorAssembler(inputCols=secrets.FEATURES, outputCol="features").transform(rows)).select(vector_to_array("probability")[1].alias("p"), secrets.as_expression(model).alias("e")).collect()
+    assert max(abs(r.p - r.e) for r in both) < 1e-9
