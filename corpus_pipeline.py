@@ -45,7 +45,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian uint32) and decoded, the text that the ids give back."""
     found = bpe.decode(bpe.encode(docs))
-    return found.select("doc_id", "n_tokens", "ids", F.decode("decoded", F.lit("UTF-8")).alias("decoded"))
+    return found.select("doc_id", "n_tokens", "ids", F.decode("decoded", "UTF-8").alias("decoded"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
