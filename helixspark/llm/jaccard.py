@@ -8,9 +8,12 @@ nearly the same. A scheme has ``exact`` segments, whose content is one signature
 ``spare`` of a set's exact segments are left out. Left out are empty segments, the signatures that most sets share; a set
 with more of them than ``spare`` leaves out none. The numbers of segments are chosen for the least expected cost.
 
-Sets that share a signature are candidates. A group is not expanded into its pairs: its members are compared in a chain,
-and only where a group falls into several components are pairs from different components compared. Every link is verified
-on the whole sets, with integers.
+Sets that share a signature are candidates. A group is not expanded into its pairs. In a few rounds its members are
+compared with one member each, those first that share most with others, which brings nearly all of a family of
+copies into one component. Only members of different components are then compared with each other, and of those pairs
+only the ones leave the join whose parity sketches allow a link: a bit of the sketch is the parity of the elements that hash
+to it, so the bits in which two sketches differ are a lower bound of the symmetric difference. Every link is verified on the
+whole sets, with integers.
 """
 
 from __future__ import annotations
@@ -25,12 +28,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helixspark.llm.components import connected_components
-from helixspark.llm.storage import parts, stored
+from helixspark.llm.storage import bucketed, parts, stored
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0xD1342543DE82EF95
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_BATCH_BYTES = 8 << 20
+_BATCH_BYTES = 4 << 20
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -161,15 +164,29 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
             yield part, [(t.as_py() or "").encode() for t in part.column(1)]
 
 
+SKETCH_WORDS = 16
+_SKETCH = [f"s{i}" for i in range(SKETCH_WORDS)]
+ROUNDS = 3
+
+
+def sketch(items: np.ndarray) -> np.ndarray:
+    """Parities of the elements in each of 1024 hash slots, as 16 LONGs."""
+    slots = SKETCH_WORDS * 64
+    slot = (mixed(items ^ np.uint64(0x8EBC6AF09C88C6E3)) % np.uint64(slots)).astype(np.int64)
+    return np.packbits((np.bincount(slot, minlength=slots) & 1).astype(np.uint8)).view(np.int64)
+
+
 def described(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles and set_id (null for an empty set) of each row."""
+    """doc_id, n_shingles, set_id (null for an empty set) and the sketch of each row."""
 
     def run(batches):
         for part, texts in _texts(batches):
             sets = [shingle_set(t, words) for t in texts]
-            yield pa.record_batch([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) if len(s) else None for s in sets], pa.int64())], names=["doc_id", "n_shingles", "set_id"])
+            sketches = np.stack([sketch(s) for s in sets]) if sets else np.zeros((0, SKETCH_WORDS), np.int64)
+            columns = [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) if len(s) else None for s in sets], pa.int64())]
+            yield pa.record_batch([*columns, *(pa.array(np.ascontiguousarray(sketches[:, i])) for i in range(SKETCH_WORDS))], names=["doc_id", "n_shingles", "set_id", *_SKETCH])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_id long")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_id long, " + ", ".join(f"{c} long" for c in _SKETCH))
 
 
 def signed(docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -194,26 +211,34 @@ def signed(docs: DataFrame, words: int, percent: int) -> DataFrame:
 def _sets(docs: DataFrame, words: int) -> DataFrame:
     def run(batches):
         for part, texts in _texts(batches):
-            yield pa.record_batch([part.column(0), pa.array([shingle_set(t, words).tobytes() for t in texts], pa.binary())], names=["set_id", "items"])
+            sets = [shingle_set(t, words) for t in texts]
+            # another text may stand under the same id
+            own = [len(s) > 0 and set_key(s) == node for s, node in zip(sets, part.column(0).to_pylist(), strict=True)]
+            yield pa.record_batch([part.column(0).filter(pa.array(own, pa.bool_())), pa.array([s.view(np.int64) for s, o in zip(sets, own, strict=True) if o], pa.list_(pa.int64()))], names=["node", "items"])
 
-    return docs.mapInArrow(run, "set_id long, items binary")
+    return docs.mapInArrow(run, "node long, items array<long>")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) with 100 * intersection >= percent * union."""
+def _may_link(percent: int):
+    """Whether sizes and sketches of x and y allow a link."""
+    total = F.col("x.n") + F.col("y.n")
+    allowed = total - 2 * F.expr(f"({percent} * (x.n + y.n) + {99 + percent}) div {100 + percent}")
+    apart = sum((F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in _SKETCH[1:]), F.bit_count(F.col("x.s0").bitwiseXOR(F.col("y.s0"))))
+    return (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent) & (apart <= allowed)
 
-    def run(batches):
-        for batch in batches:
-            hit = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                both = len(x) + len(y) - len(np.union1d(x, y)) if min(len(x), len(y)) * 100 >= percent * max(len(x), len(y)) else 0
-                hit.append(100 * both >= percent * (len(x) + len(y) - both))
-            kept = batch.filter(pa.array(hit, pa.bool_()))
-            yield pa.record_batch([kept.column(0), kept.column(1)], names=["a", "b"])
 
-    left = pairs.join(sets.select(F.col("set_id").alias("a"), F.col("items").alias("x")), "a")
-    return left.join(sets.select(F.col("set_id").alias("b"), F.col("items").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+def plausible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) whose sketches allow a link."""
+    found = pairs.alias("p").join(sketches.alias("x"), F.col("p.a") == F.col("x.node")).join(sketches.alias("y"), F.col("p.b") == F.col("y.node"))
+    return found.where(_may_link(percent)).select("p.a", "p.b")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) with 100 * intersection >= percent * union."""
+    side = lambda name, items: sets.select(F.col("node").alias(name), F.col("items").alias(items))
+    both = pairs.select("a", "b").join(side("a", "x"), "a").join(side("b", "y"), "b")
+    both = both.select("a", "b", F.size("x").cast("long").alias("na"), F.size("y").cast("long").alias("nb"), F.size(F.array_intersect("x", "y")).cast("long").alias("shared"))
+    return both.where(100 * F.col("shared") >= percent * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b")
 
 
 def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -221,42 +246,71 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
 
     A document's set holds its distinct word shingles; white space parts words and A-Z are lowered. With fewer words the
     whole sequence is the one element; without words, or with null text, the set is empty and links with nothing, so
-    the component is the document itself. Rows that repeat an id are each returned. The component of a null id is null
-    if it has no other member. Other columns are ignored; an empty table gives an empty result.
+    the component is the document itself. Rows that repeat an id are each returned; where they have different sets, the
+    id links what either links. A null id links like any other; its component is the smallest id that is not null, or
+    null. Other columns are ignored; an empty table gives an empty result.
     """
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     rows = stored(described(texts, words), "sets")
     groups = stored(_shared(signed(texts, words, percent)), "groups")
-    pairs = stored(groups.where("prev IS NOT NULL").select(F.col("prev").alias("a"), F.col("set_id").alias("b")).distinct(), "pairs")
-    members = groups.select("set_id").distinct()
-    # one document for each set that has a candidate
-    named = rows.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("doc_id")).join(members, "set_id", "left_semi")
-    named = texts.join(named, "doc_id").select("set_id", "text")
-    sets = stored(_sets(named.dropDuplicates(["set_id"]), words), "items")
-    links = stored(verified(pairs, sets, percent), "links")
-    labels = connected_components(links)
-    # groups whose members are not all in one component by now: pairs from different components
-    placed = groups.select("sig", "set_id").join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").select("sig", "set_id", F.coalesce("label", "set_id").alias("label"))
+    nodes = groups.groupBy(F.col("set_id").alias("node")).agg(F.sum("size").alias("score"))
+    sketches = rows.where("set_id IS NOT NULL").withColumnsRenamed({"set_id": "node", "n_shingles": "n"}).groupBy("node").agg(*(F.min(c).alias(c) for c in ["n", *_SKETCH]), F.min("doc_id").alias("doc_id"))
+    sketches = stored(sketches.join(nodes, "node"), "sketches")
+    # one document stands for each set; a table in buckets is not shuffled again for every round of pairs
+    named = texts.join(sketches.select("node", "doc_id"), "doc_id").select("node", "text")
+    sets = bucketed(_sets(named, words), "node", "items")
+    members = groups.select("sig", F.col("set_id").alias("node")).join(sketches.select("node", "score"), "node")
+    members = stored(members, "members")
+    links = stored(docs.sparkSession.createDataFrame([], "a long, b long"), "links")
+    tested, labels = links, None
+    for turn in range(1, ROUNDS + 1):
+        pairs = stored(_round(members, labels, turn).join(tested, ["a", "b"], "left_anti"), "pairs")
+        tested = tested.union(pairs)
+        found = stored(verified(plausible(pairs, sketches, percent), sets, percent), "links")
+        if not found.limit(1).count():
+            break
+        links = links.union(found)
+        labels = connected_components(links)
+    placed = _placed(members, labels)
     torn = placed.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("sig")
-    placed = stored(placed.join(torn, "sig", "left_semi"), "torn")
-    x, y = placed.alias("x"), placed.alias("y")
-    more = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.set_id") < F.col("y.set_id")) & (F.col("x.label") != F.col("y.label"))).select(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b")).distinct()
-    found = stored(verified(more.join(pairs, ["a", "b"], "left_anti"), sets, percent), "links")
+    placed = stored(placed.join(torn, "sig", "left_semi").select("sig", "node", "label").join(sketches.drop("score", "doc_id"), "node"), "torn")
+    differ = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label"))
+    more = placed.alias("x").join(placed.alias("y"), differ & _may_link(percent)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    found = stored(verified(more.join(tested, ["a", "b"], "left_anti"), sets, percent), "links")
     if found.limit(1).count():
         labels = connected_components(links.union(found))
-    whole = rows.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").select("doc_id", "n_shingles", F.coalesce("label", "set_id").alias("label"))
-    whole = stored(whole, "labelled")
+    rows = rows.select("doc_id", "n_shingles", F.col("set_id").alias("node"))
+    whole = stored(_placed(rows, labels).select("doc_id", "n_shingles", "label"), "labelled")
     first = whole.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("first"))
     return whole.join(first, "label", "left").select("doc_id", "n_shingles", F.coalesce("first", "doc_id").alias("component_id"))
 
 
+def _placed(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Rows with the label of their node: itself where it has no link."""
+    if labels is None:
+        return rows.withColumn("label", F.col("node"))
+    return rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def _round(members: DataFrame, labels: DataFrame | None, turn: int) -> DataFrame:
+    """Distinct pairs a < b: every member of a group with the one of rank ``turn`` and with the one ``turn`` places before, if they are in different components."""
+    order = Window.partitionBy("sig").orderBy(F.desc("score"), "node")
+    ranked = _placed(members, labels).withColumn("rank", F.row_number().over(order))
+    heads = F.first(F.when(F.col("rank") == turn, F.struct("node", "label")), ignorenulls=True).over(Window.partitionBy("sig").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    before = F.lag(F.struct("node", "label"), turn).over(order)
+    partners = ranked.withColumn("head", heads).withColumn("before", before)
+    partners = partners.select("node", "label", F.explode(F.array("head", "before")).alias("other")).where("other IS NOT NULL AND other.label <> label")
+    return partners.select(F.least("node", "other.node").alias("a"), F.greatest("node", "other.node").alias("b")).distinct()
+
+
 def _shared(sigs: DataFrame) -> DataFrame:
-    """sig, set_id and the set before it in the group, for signatures that at least two sets have."""
+    """sig, set_id and the group's size, for signatures that at least two sets have."""
     order = Window.partitionBy("sig").orderBy("set_id")
-    chain = sigs.withColumn("prev", F.lag("set_id").over(order)).withColumn("next", F.lead("set_id").over(order)).where("prev IS NOT NULL OR next IS NOT NULL")
+    # neighbours only, so that a group of any size is read in a stream
+    pairs = sigs.withColumn("prev", F.lag("set_id").over(order)).withColumn("next", F.lead("set_id").over(order))
     # the same set from several batches counts once
-    chain = chain.where("prev IS NULL OR prev <> set_id").withColumn("prev", F.lag("set_id").over(order)).withColumn("next", F.lead("set_id").over(order))
-    return chain.where("prev IS NOT NULL OR next IS NOT NULL").select("sig", "set_id", "prev")
+    once = pairs.where("(prev IS NOT NULL AND prev <> set_id) OR (prev IS NULL AND next IS NOT NULL)").select("sig", "set_id")
+    return once.withColumn("size", F.count("*").over(Window.partitionBy("sig"))).where("size > 1")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

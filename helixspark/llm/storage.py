@@ -40,6 +40,14 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, label: str) -> DataFrame:
+    """Write a table of the warehouse with one row for each ``key``, in buckets: joins by it read a bucket as a partition, without a shuffle."""
+    spark, name = df.sparkSession, f"{label}_{uuid.uuid4().hex}"
+    width = shuffle_width(spark)
+    df.repartition(width, key).dropDuplicates([key]).write.bucketBy(width, key).sortBy(key).saveAsTable(name)
+    return spark.table(name)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
