@@ -257,7 +257,8 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
     sketches = rows.where("set_id IS NOT NULL").withColumnsRenamed({"set_id": "node", "n_shingles": "n"}).groupBy("node").agg(*(F.min(c).alias(c) for c in ["n", *_SKETCH]), F.min("doc_id").alias("doc_id"))
     sketches = stored(sketches.join(nodes, "node"), "sketches")
     # one document stands for each set; a table in buckets is not shuffled again for every round of pairs
-    named = texts.join(sketches.select("node", "doc_id"), "doc_id").select("node", "text")
+    # the number of nodes grows with the corpus, so the same plan serves every size
+    named = texts.join(sketches.select("node", "doc_id").hint("merge"), "doc_id").select("node", "text")
     sets = bucketed(_sets(named, words), "node", "items")
     members = groups.select("sig", F.col("set_id").alias("node")).join(sketches.select("node", "score"), "node")
     members = stored(members, "members")
