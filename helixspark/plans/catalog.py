@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helixspark.functions import hashing, sequence
-from helixspark.operators import count, extract, minimizer
+from helixspark.operators import count, extract, minimizer, ranges
 from helixspark.plans import oracle
 from helixspark.sources.fasta import from_packed, to_packed
+from helixspark.streaming.counts import banded, streaming_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -73,6 +75,20 @@ def _prefix_ids(r: DataFrame) -> DataFrame:
     return ranged.withColumn("within", within).join(before, "part").select("rid", (F.col("before") + F.col("within")).cast("long").alias("ordinal"))
 
 
+def _owners(r: DataFrame) -> DataFrame:
+    return ranges.owners(r.select("rid"), ranges.contiguous_ranges(r, 7))
+
+
+def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts as a stream, counted to its end."""
+    path, name = f"{sf_dir}/document[s].parquet", f"counts_{uuid.uuid4().hex}"  # a pattern may name a file or a folder
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    texts = stream.select(F.col("doc_id").alias("rid"), sequence.normalise(F.col("text"), "drop").alias("seq"))
+    query = streaming_counts(texts, 21).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return banded(spark.table(name), *BAND)
+
+
 def _forward(r: DataFrame) -> DataFrame:
     return extract.kmers(count.spread(r), K).groupBy("kmer").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"))
 
@@ -115,6 +131,9 @@ def queries() -> dict[str, Query]:
         "round_robin": _over_reads(lambda r: minimizer.round_robin(_sizes(r), 5)),
         "murmur64": _over_reads(_hashes),
         "wang_hash": _over_reads(_wang),
+        "contiguous_ranges": _over_reads(lambda r: ranges.contiguous_ranges(r, 7)),
+        "range_owners": _over_reads(_owners),
+        "streaming_count_k21": _streamed,
         "top_kmers": _over_reads(lambda r: count.top_kmers(count.all_counts(r, 21), 100)),
     }
     return found
@@ -158,6 +177,10 @@ def oracle_sql() -> dict[str, str]:
         "murmur64": f"{with_reads}, {o.murmur(f'(SELECT rid, substr(seq, 1, {M}) AS mmer FROM reads WHERE length(seq) >= {M})', 'rid, mmer', 'mmer', M)} SELECT rid, mmer, {o.signed('h')} AS hash FROM hashed",
         "top_kmers": f"{o.counts(21)} SELECT kmer, cnt FROM c ORDER BY cnt DESC, kmer LIMIT 100",
     }
+    parts = f"{with_reads}, p AS (SELECT rid, length(seq) AS len, least(floor((sum(length(seq)) OVER (ORDER BY rid) - length(seq))::DOUBLE * 7 / sum(length(seq)) OVER ()), 6)::INTEGER AS part FROM reads)"
+    found["contiguous_ranges"] = f"{parts} SELECT part, min(rid) AS first, max(rid) AS last, sum(len)::BIGINT AS n_bases FROM p GROUP BY 1"
+    found["range_owners"] = f"{parts} SELECT rid, part FROM p"
+    found["streaming_count_k21"] = found["canonical_count_k21"]
     found["wang_hash"] = _wang_sql(with_reads)
     return found
 

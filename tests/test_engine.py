@@ -132,3 +132,20 @@ def test_entry_contract(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
     if os.path.isdir("/root/testdata/sf0.001"):
         assert entry.entry(spark).count() > 0
+
+
+def test_contiguous_ranges(spark):
+    from helixspark.operators import ranges
+
+    df = spark.createDataFrame([(i, "A" * n) for i, n in enumerate([5, 1, 1, 1, 8, 2, 2])], "rid long, seq string")
+    found = ranges.contiguous_ranges(df, 2)
+    assert {tuple(r) for r in found.collect()} == {(0, 0, 4, 16), (1, 5, 6, 4)}
+    assert {tuple(r) for r in ranges.owners(df.select("rid"), found).collect()} == {(i, int(i > 4)) for i in range(7)}
+
+
+def test_diagnostics():
+    from helixspark.diagnostics import memory, timed
+
+    with timed("nothing") as took:
+        pass
+    assert took["seconds"] >= 0 and all(v > 0 for v in memory().values())
