@@ -1,13 +1,14 @@
 """Removal of repeated byte strings: every byte under a string of ``window`` bytes that starts more than once goes.
 
-The order of all suffixes to the depth of a window is found as a refinement of blocks of suffixes that agree so far; a block
-is named by a hash, so that shards refine by themselves and only names meet. Three depths suffice:
+Shards refine the order of their suffixes by themselves, and only what may agree across shards meets:
 
 1. Of each window the gram of 32 bytes with the least hash is its anchor; equal windows have equal anchors. A run of
    windows with one anchor is a segment. Anchors that occur at one place of the corpus end here.
-2. A segment with its whole text (its windows' bytes) is named; equal segments are counted, whatever their number, and
-   windows of a segment that occurs twice are repeated.
-3. Windows of different segments with one anchor are named to their full depth and counted where the segments meet.
+2. Equal segments are counted by name, whatever their number; all windows of a segment that occurs twice are repeated.
+3. Different segments with one anchor meet in a bucket. There the segments are cut into phrases at places that depend on
+   their bytes, shards of them get a suffix array and its Burrows-Wheeler transform, and the transforms are merged by
+   refining their interleave (see bwt.py). Intervals with a common prefix of three phrases hold every pair
+   of segments with a window in common; the windows of those are compared to the byte.
 
 Only one copy of a segment's bytes leaves a task, and a segment that many rows hold is one row for each task. Anchors
 with more different segments than ``bucket_segments`` are not brought together: their windows are counted by name.
@@ -22,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from helixspark.llm import bwt
 from helixspark.llm.jaccard import _BASE, _INVERSE, _powers, mixed
 from helixspark.llm.storage import parts, shuffle_width, stored
 
@@ -74,15 +76,45 @@ def segments(data: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.n
     return edge, np.append(edge[1:], len(least)) - 1, least[edge], rolling
 
 
-def repeated_starts(blobs: list[np.ndarray], window: int) -> list[np.ndarray]:
-    """Of each blob, whether the window at each start occurs elsewhere in the blobs."""
-    names = [Rolling(b).all(window) for b in blobs]
-    flat = np.concatenate(names)
-    order = np.argsort(flat, kind="stable")
-    same = flat[order][1:] == flat[order][:-1]
-    hit = np.zeros(len(flat), bool)
-    hit[order] = np.append(same, False) | np.append(False, same)
-    return np.split(hit, np.cumsum([len(n) for n in names])[:-1])
+def phrase_strings(blobs: list[np.ndarray], rolling: Rolling, offset: np.ndarray, window: int, gram: int) -> list[np.ndarray]:
+    """Each blob as numbers of its phrases, with 0 at the end.
+
+    A phrase begins at each gram whose hash is the least of some ``width`` neighbouring grams. ``width`` is such that a
+    window has at least four of these places at which the bytes outside it have no say, so equal windows
+    have three phrases in a row in common.
+    """
+    width = max(1, (window - gram + 3) // 6)
+    hashes = rolling.all(gram)
+    least = window_least(hashes, width)
+    none = np.zeros(width - 1, np.uint64)
+    largest = ~window_least(~np.concatenate([none, least, none]), width)  # of the minima of the windows that hold a gram
+    begins = largest == hashes
+    begins[offset[offset < len(begins)]] = True
+    cut = np.union1d(np.flatnonzero(begins), offset)
+    names = np.unique(rolling.of(cut, np.diff(cut, append=rolling.n)), return_inverse=True)[1] + 1
+    return [np.append(x, 0) for x in np.split(names, np.searchsorted(cut, offset[1:]))]
+
+
+def repeated_starts(blobs: list[np.ndarray], window: int, gram: int, shards: int = 8) -> list[np.ndarray]:
+    """Of each blob, whether the window at each start occurs elsewhere in the blobs.
+
+    Shards of the blobs have their phrases' Burrows-Wheeler transforms merged; blobs in an interval of three common phrases
+    may share a window, and only their windows are compared to the byte.
+    """
+    size = np.fromiter(map(len, blobs), np.int64, len(blobs))
+    offset, rolling = np.cumsum(size) - size, Rolling(np.concatenate(blobs))
+    likely = bwt.repeated(phrase_strings(blobs, rolling, offset, window, gram), shards, 3)
+    starts = size - window + 1
+    inside = np.repeat(likely, starts)
+    place = np.repeat(offset - (np.cumsum(starts) - starts), starts) + np.arange(int(starts.sum()))
+    names = rolling.of(place[inside], np.full(int(inside.sum()), window))
+    order = np.argsort(names, kind="stable")
+    same = names[order][1:] == names[order][:-1]
+    among = np.zeros(len(names), bool)
+    among[order] = np.append(same, False) | np.append(False, same) if len(names) else among
+    hit = np.zeros(len(inside), bool)
+    hit[inside] = among
+    return np.split(hit, np.cumsum(starts)[:-1])
 
 
 def ranges(hit: np.ndarray) -> list[dict]:
@@ -161,11 +193,11 @@ def _segments(window: int, gram: int):
     return run
 
 
-def _meet(window: int):
+def _meet(window: int, gram: int):
     """Sorted by anchor and segment: segments that differ meet, an anchor at a time or many small ones together."""
 
     def resolve(rows: list[tuple]) -> pa.RecordBatch:
-        hits = repeated_starts([np.frombuffer(r[2], np.uint8) for r in rows], window)
+        hits = repeated_starts([np.frombuffer(r[2], np.uint8) for r in rows], window, min(16, gram))
         return pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([ranges(h) for h in hits], _RANGES)], names=["anchor", "segment", "ranges"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,7 +245,7 @@ def repeated_ranges(texts: DataFrame, window: int, gram: int, bucket_segments: i
     per_anchor = counted.groupBy("anchor").agg(F.count("*").alias("different"), F.sum("copies").alias("copies")).where("different > 1 OR copies = 1")
     bytes_of = held.where("data IS NOT NULL").select("anchor", "segment", "data")
     small = bytes_of.join(per_anchor.where(F.col("different") <= bucket_segments).select("anchor"), "anchor", "left_semi")
-    met = small.repartition(width, "anchor").sortWithinPartitions("anchor", "segment").mapInArrow(_meet(window), "anchor long, segment long, ranges array<struct<a: long, b: long>>")
+    met = small.repartition(width, "anchor").sortWithinPartitions("anchor", "segment").mapInArrow(_meet(window, gram), "anchor long, segment long, ranges array<struct<a: long, b: long>>")
     met = met.select("anchor", "segment", F.explode("ranges").alias("r")).select("anchor", "segment", "r.a", "r.b")
     # anchors with very many segments: windows by name, once for each segment and start
     large = bytes_of.join(per_anchor.where(F.col("different") > bucket_segments).select("anchor"), "anchor", "left_semi").mapInArrow(_names(window), "anchor long, segment long, start long, name long")
