@@ -80,7 +80,7 @@ def test_balanced_dispatch():
         loads[worker] += [10, 9, 3, 3, 2, 1][task]
     assert len(place) == 6 and max(loads.values()) <= 14 * 1.5
     with pytest.raises(ValueError):
-        minimizer.balanced({0: 10, 1: 10, 2: 10}, 2)
+        minimizer.balanced({i: 10 for i in range(5)}, 4)
 
 
 def test_fasta_round_trip(spark, tmp_path, capsys):
