@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from helixspark.llm import pretokens
-from helixspark.llm.storage import parts, shuffle_width
+from helixspark.llm.storage import parts, shuffle_width, trim
 
 RANKS = "byte_bpe_50k.tiktoken"
 BLOCK_BYTES = 16 << 20
@@ -75,8 +75,11 @@ def _blocks(pattern: str, buckets: int, block_bytes: int):
                 if held >= block_bytes:
                     yield block()
                     docs, sequences, words, held, made = [], [], pretokens.Numbering(), 0, made + 1
+                    trim()
         if docs:
             yield block()
+        docs, sequences, words = [], [], pretokens.Numbering()
+        trim()
 
     return run
 
@@ -104,6 +107,8 @@ def _encode_bucket(vocabulary, pattern: str):
                 ids.append(found)
             counts = np.fromiter(map(len, ids), np.uint32, len(ids)) // 4
             out.append(zstandard.compress(len(ids).to_bytes(4, "little") + counts.tobytes() + b"".join(ids)))
+        known.clear()
+        trim()
         return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "ids": pa.array(out, pa.binary())})
 
     return run
@@ -139,6 +144,7 @@ def _reassemble(blocks: pa.Table, encoded: pa.Table) -> pa.Table:
             if held > _CHUNK:
                 out.append(pa.record_batch([docs, counts, ids], schema=_ENCODED))
                 docs, ids, counts, held = [], [], [], 0
+    trim()
     return pa.Table.from_batches([*out, pa.record_batch([docs, counts, ids], schema=_ENCODED)])
 
 

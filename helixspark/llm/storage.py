@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import os
 import shutil
 import tempfile
@@ -11,7 +13,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 
@@ -32,10 +35,15 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: later stages restart from files, not from lineage."""
+def stored(df: DataFrame, label: str, narrow: bool = False) -> DataFrame:
+    """Write a table to the shared folder and read it back: later stages restart from files, not from lineage.
+
+    A narrow one (a few numbers a row) goes to an eighth as many files as a shuffle has partitions.
+    """
     spark = df.sparkSession
     path = new_path(spark, label)
+    if narrow:
+        df = df.coalesce(max(4, shuffle_width(spark) // 8))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -48,6 +56,24 @@ def bucketed(df: DataFrame, key: str, label: str) -> DataFrame:
     return spark.table(name)
 
 
+def trim() -> None:
+    """Hand freed memory back to the system: Python workers live on for later stages, beside those stages' own."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def hashed_sample(df: DataFrame, key: Column, wanted: int, rows: int) -> DataFrame:
+    """At most ``wanted`` rows of a table of ``rows``, those with the smallest hashes of ``key``.
+
+    A threshold on another hash first leaves little more than that, so that no task sorts much and few rows meet in one.
+    """
+    share = 1.2 * wanted / max(1, rows)
+    if share < 0.8:
+        df = df.where(F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1 << 31)) < int(share * (1 << 31)))
+    return df.orderBy(F.xxhash64(key), key).limit(wanted)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
