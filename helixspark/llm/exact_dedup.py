@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from helixspark.llm.storage import stored
+
 #: The characters of [\x20\x09-\x0D].
 WHITESPACE = " \t\n\x0b\x0c\r"
 
@@ -34,7 +36,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     winners = contents.groupBy("text_sha256").agg(F.max("best").alias("best"), F.max("group_size").alias("group_size"), F.count("*").alias("contents"))
     keep = (-F.col("best.order")).alias("keep_id")
     winners = winners.select("text_sha256", keep, F.when(F.col("contents") == 1, F.col("group_size")).otherwise(F.raise_error(F.lit("two texts share a SHA-256"))).cast("long").alias("group_size"))
-    out = rows.select("doc_id", "text_sha256").join(winners, "text_sha256")
+    # read from a table, the winners are an input of the join like the rows, and Spark can split a hot digest's rows
+    out = rows.select("doc_id", "text_sha256").join(stored(winners, "winners"), "text_sha256")
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
