@@ -152,13 +152,14 @@ def _anchors(window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in parts(batch, 1, _PART_BYTES):
-                keys, found = [], []
+                keys, found, places = [], [], []
                 for key, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
-                    anchor = anchor_places(_bytes(text), window, gram)
-                    found.append(anchor.view(np.int64))
+                    anchor, count = np.unique(anchor_places(_bytes(text), window, gram).view(np.int64), return_counts=True)
+                    found.append(anchor)
+                    places.append(count)
                     keys.append(np.full(len(anchor), key, np.int64))
                 if found:
-                    yield pa.record_batch([pa.array(np.concatenate(keys)), pa.array(np.concatenate(found))], names=["row", "anchor"])
+                    yield pa.record_batch([pa.array(np.concatenate(x)) for x in (keys, found, places)], names=["row", "anchor", "places"])
 
     return run
 
@@ -233,8 +234,9 @@ def _names(window: int):
 def repeated_ranges(texts: DataFrame, window: int, gram: int, bucket_segments: int) -> DataFrame:
     """row, a, b: the windows that start at a..b of the row's text occur more than once. ``texts`` has row and text."""
     width = shuffle_width(texts.sparkSession)
-    found = stored(texts.mapInArrow(_anchors(window, gram), "row long, anchor long"), "anchors")
-    shared = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    found = stored(texts.mapInArrow(_anchors(window, gram), "row long, anchor long, places long"), "anchors")
+    # from a table, so that Spark can split the rows of an anchor that very many texts have
+    shared = stored(found.groupBy("anchor").agg(F.sum("places").alias("n")).where("n > 1").select("anchor"), "shared")
     wanted = found.join(shared, "anchor", "left_semi").groupBy("row").agg(F.collect_set("anchor").alias("wanted"))
     held = texts.join(wanted, "row").select("row", "text", "wanted").mapInArrow(_segments(window, gram), "row long, first long, starts long, anchor long, segment long, data binary")
     held = stored(held, "segments")
