@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helixspark.llm.components import connected_components
-from helixspark.llm.storage import bucketed, parts, stored
+from helixspark.llm.storage import bucketed, parts, stored, trim
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0xD1342543DE82EF95
@@ -162,6 +162,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
     for batch in batches:
         for part in parts(batch, 1, _BATCH_BYTES):
             yield part, [(t.as_py() or "").encode() for t in part.column(1)]
+    trim()
 
 
 SKETCH_WORDS = 16
@@ -265,9 +266,9 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
     links = stored(docs.sparkSession.createDataFrame([], "a long, b long"), "links")
     tested, labels = links, None
     for turn in range(1, ROUNDS + 1):
-        pairs = stored(_round(members, labels, turn).join(tested, ["a", "b"], "left_anti"), "pairs")
+        pairs = stored(_round(members, labels, turn).join(tested, ["a", "b"], "left_anti"), "pairs", narrow=True)
         tested = tested.union(pairs)
-        found = stored(verified(plausible(pairs, sketches, percent), sets, percent), "links")
+        found = stored(verified(plausible(pairs, sketches, percent), sets, percent), "links", narrow=True)
         if not found.limit(1).count():
             break
         links = links.union(found)
@@ -277,7 +278,7 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
     placed = stored(placed.join(torn, "sig", "left_semi").select("sig", "node", "label").join(sketches.drop("score", "doc_id"), "node"), "torn")
     differ = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label"))
     more = placed.alias("x").join(placed.alias("y"), differ & _may_link(percent)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    found = stored(verified(more.join(tested, ["a", "b"], "left_anti"), sets, percent), "links")
+    found = stored(verified(more.join(tested, ["a", "b"], "left_anti"), sets, percent), "links", narrow=True)
     if found.limit(1).count():
         labels = connected_components(links.union(found))
     rows = rows.select("doc_id", "n_shingles", F.col("set_id").alias("node"))
