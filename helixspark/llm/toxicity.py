@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from helixspark.llm.storage import hashed_sample, stored, trim
+
 # Identity terms by kind. Terms of one kind can stand for each other.
 IDENTITY_TERMS = {
     "gender": ["women", "men", "girls", "boys"],
@@ -74,9 +76,9 @@ def _sigmoid(z):
 class _Rows:
     """Binary feature rows."""
 
-    def __init__(self, rows: list[set[int]], width: int):
+    def __init__(self, rows: list[np.ndarray], width: int):
         self.row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        self.col = np.array([i for r in rows for i in sorted(r)], np.int64)
+        self.col = np.concatenate([np.zeros(0, np.int64), *rows])
         self.n, self.width = len(rows), width
 
     def times(self, w):
@@ -86,37 +88,55 @@ class _Rows:
         return np.bincount(self.col, g[self.row], self.width)
 
 
-def swapped(words: set[str], draw: np.random.Generator) -> tuple[set[str], set[str]]:
-    """A set of words and its counterfactual: each identity term becomes another of its kind."""
-    terms = sorted(words & _KIND.keys())
+def swapped(terms: list[str], draw: np.random.Generator) -> tuple[list[str], list[str]]:
+    """A sentence's identity terms and their counterfactual: each becomes another of its kind. Without any, a mention is made up."""
     if not terms:
         kind = draw.choice(sorted(IDENTITY_TERMS))
         terms = [str(draw.choice(IDENTITY_TERMS[kind]))]
-        words = words | {*terms}
-    other = {str(draw.choice([x for x in IDENTITY_TERMS[_KIND[t]] if x != t])) for t in terms}
-    return words, (words - {*terms}) | other
+    return terms, [str(draw.choice([x for x in IDENTITY_TERMS[_KIND[t]] if x != t])) for t in terms]
+
 
+def _numbered(features: list[str]) -> dict[str, int]:
+    return {f: i for i, f in enumerate(dict.fromkeys([*features, *(f for t in _KIND for f in features_of(t))]))}
+
+
+def row_of(words: set[str], model: Model, cache: dict) -> tuple[bytes, list[str]]:
+    """The features of the words that are no identity terms, as int32, and the identity terms."""
+    terms = sorted(words & _KIND.keys())
+    return np.array(sorted(model.vector(words.difference(terms), cache)), np.int32).tobytes(), terms
 
-def fit(sample: list[tuple[set[str], int]], features: list[str], swap_penalty: float = 1.0, ridge: float = 1e-4, rounds: int = 400, seed: int = 7) -> Model:
-    """Fit by Adam on the whole of a bounded sample. ``features`` come from selected_features()."""
-    named = {f: i for i, f in enumerate(dict.fromkeys([*features, *(f for t in _KIND for f in features_of(t))]))}
-    toxic = np.array([y for _, y in sample], float)
+
+def fit(sample: list[tuple[set[str], int]], features: list[str], **options) -> Model:
+    """Fit on sets of words and their labels. ``features`` come from selected_features()."""
+    model, cache = Model(_numbered(features), np.zeros(0), 0.0), {}
+    return fit_rows([(*row_of(words, model, cache), toxic) for words, toxic in sample], features, **options)
+
+
+def fit_rows(sample: list[tuple[bytes, list[str], int]], features: list[str], swap_penalty: float = 1.0, ridge: float = 1e-4, rounds: int = 400, seed: int = 7) -> Model:
+    """Fit by Adam on the whole of a bounded sample of rows as row_of() makes them, with labels."""
+    named = _numbered(features)
+    toxic = np.array([y for _, _, y in sample], float)
     if not len(sample) or toxic.min() == toxic.max():  # nothing to tell apart
         share = (toxic.sum() + 0.1) / (len(sample) + 1)
         return Model(named, np.zeros(len(named)), float(np.log(share / (1 - share))))
-    model, cache, draw = Model(named, np.zeros(len(named)), 0.0), {}, np.random.default_rng(seed)
-    x = _Rows([model.vector(w, cache) for w, _ in sample], len(named))
-    pairs = [swapped(w, draw) for w, _ in sample]
-    a, b = (_Rows([model.vector(p[k], cache) for p in pairs], len(named)) for k in (0, 1))
+    model, draw = Model(named, np.zeros(len(named)), 0.0), np.random.default_rng(seed)
+    plain = [np.frombuffer(base, np.int32) for base, _, _ in sample]
+    of_term = {t: np.array(model.word_features(t), np.int32) for t in _KIND}
+    none = np.zeros(0, np.int32)
+    mentioned = lambda mentions: _Rows([np.setdiff1d(np.concatenate([none, *(of_term[t] for t in terms)]), p) if terms else none for p, terms in zip(plain, mentions, strict=True)], len(named))
+    pairs = [swapped(terms, draw) for _, terms, _ in sample]
+    # what the rows and both counterfactuals share, and what the mentions add
+    base, x, a, b = _Rows(plain, len(named)), mentioned([terms for _, terms, _ in sample]), mentioned([p[0] for p in pairs]), mentioned([p[1] for p in pairs])
     weight = np.where(toxic == 1, 0.5 / toxic.sum(), 0.5 / (len(toxic) - toxic.sum()))
     w, bias = np.zeros(len(named)), 0.0
     m, v = np.zeros(len(named) + 1), np.zeros(len(named) + 1)
     for t in range(1, rounds + 1):
-        error = weight * (_sigmoid(x.times(w) + bias) - toxic)
-        sa, sb = _sigmoid(a.times(w) + bias), _sigmoid(b.times(w) + bias)
+        z = base.times(w) + bias
+        error = weight * (_sigmoid(z + x.times(w)) - toxic)
+        sa, sb = _sigmoid(z + a.times(w)), _sigmoid(z + b.times(w))
         change = 2 * swap_penalty * (sa - sb) / len(sample)
         ga, gb = change * sa * (1 - sa), -change * sb * (1 - sb)
-        grad = np.append(x.back(error) + a.back(ga) + b.back(gb) + ridge * w, error.sum() + ga.sum() + gb.sum())
+        grad = np.append(base.back(error + ga + gb) + x.back(error) + a.back(ga) + b.back(gb) + ridge * w, error.sum() + ga.sum() + gb.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         step = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, bias = w - step[:-1], bias - step[-1]
@@ -130,7 +150,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
     Where a document has several labels, toxic wins; rows without a label count as none.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    known = known.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    known = stored(known.where(~held_out(F.col("doc_id"))), "labels")
+    known = hashed_sample(known, F.col("doc_id"), rows, known.count())
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return texts.join(F.broadcast(known), "doc_id")  # bounded by ``rows`` ids and labels
 
@@ -165,17 +186,22 @@ def selected_features(sample: DataFrame, count: int, min_rows: int = 5) -> list[
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, features: int = 4096, **options) -> Model:
     """Fit on a sample of at most ``sample_rows`` labelled rows; the driver holds only their selected features."""
-    sample = labelled_sample(docs, labels, sample_rows)
+    sample = stored(labelled_sample(docs, labels, sample_rows), "sample")
     chosen = selected_features(sample, features)
-    wanted = {f for f in chosen} | {f for t in _KIND for f in features_of(t)}
+    shape = Model(_numbered(chosen), np.zeros(0), 0.0)
 
-    def useful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache: dict = {}
         for batch in batches:
-            words = [sorted(w for w in words_of(t.as_py()) if wanted.intersection(features_of(w))) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.list_(pa.string())), batch.column(2)], names=["doc_id", "words", "toxic"])
-
-    rows = sample.mapInArrow(useful, "doc_id long, words array<string>, toxic int").collect()
-    return fit([({*r.words}, r.toxic) for r in sorted(rows, key=lambda r: (r.doc_id, r.words))], chosen, **options)
+            rows = [row_of(words_of(t.as_py()), shape, cache) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.list_(pa.string())), batch.column(2)], names=["doc_id", "base", "terms", "toxic"])
+
+    rows = sample.mapInArrow(vectors, "doc_id long, base binary, terms array<string>, toxic int").collect()
+    rows = sorted((r.doc_id, bytes(r.base), r.terms, r.toxic) for r in rows)
+    model = fit_rows([r[1:] for r in rows], chosen, **options)
+    del rows
+    trim()
+    return model
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
@@ -193,6 +219,8 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
                 cache.clear()
             scores = [model.score(words_of(t.as_py()), cache) for t in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "score"])
+        cache.clear()
+        trim()
 
     out = docs.mapInArrow(run, _with_score(docs.schema))
     return out.select(*[F.col(f"`{c}`") for c in names], held_out(F.col("doc_id").cast("long")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
