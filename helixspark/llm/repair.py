@@ -7,6 +7,7 @@ round replaces the frequent ones, left to right without overlap.
 
 from __future__ import annotations
 
+import itertools
 import struct
 from dataclasses import dataclass
 
@@ -104,12 +105,15 @@ def _replace(sequence: np.ndarray, at: np.ndarray, symbols: np.ndarray) -> np.nd
     return out[keep]
 
 
-def compressed(ids: np.ndarray, base: int, min_count: int = 32, max_rounds: int = 4, max_symbols: int = 1 << 16) -> Grammar:
-    """The grammar of ``ids``. A round replaces the pairs that occur at least ``min_count`` times and a sixteenth as often as the most frequent one."""
+def compressed(ids: np.ndarray, base: int, min_count: int = 32, max_rounds: int | None = None, max_symbols: int = 1 << 16) -> Grammar:
+    """The grammar of ``ids``. A round replaces the pairs that occur at least ``min_count`` times and a sixteenth as often as the most frequent one.
+
+    Rounds go on until no pair occurs ``min_count`` times or the symbols are used up, unless ``max_rounds`` ends them before.
+    """
     sequence = ids.astype(np.uint32)
     rules, lengths = np.zeros((0, 2), np.uint32), np.zeros(0, np.int64)
     narrow = base <= 1 << 16 and max_symbols <= 1 << 16
-    for _ in range(max_rounds):
+    for _ in itertools.count() if max_rounds is None else range(max_rounds):
         room = max_symbols - base - len(rules)
         if len(sequence) < 2 * min_count or room <= 0:
             break

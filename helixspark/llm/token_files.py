@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from helixspark.llm import pretokens
 from helixspark.llm.repair import Grammar, compressed
-from helixspark.llm.storage import new_path, shuffle_width
+from helixspark.llm.storage import new_path, shuffle_width, trim
 
 TOKENIZER = "byte_bpe_50k.json"
 SHARD_TOKENS = 500_000
@@ -122,6 +122,7 @@ def shards(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int | Non
                 docs, sequences, held, made = [], [], 0, made + 1
     if docs:
         yield shard()
+    trim()
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str | None = None, end_id: int | None = 0, id_col: str = "doc_id", text_col: str = "text", shard_tokens: int = SHARD_TOKENS) -> None:
@@ -148,6 +149,7 @@ def _decoded(shards: DataFrame, schema: str, describe) -> DataFrame:
                 starts = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
                 values = [describe(ids[a:b]) for a, b in zip(starts, starts[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([pa.array([part] * len(docs), pa.int32()), pa.array([shard] * len(docs), pa.int32()), pa.array(docs, pa.int64()), pa.array(starts[:-1], pa.int64()), pa.array(counts, pa.int64()), pa.array(values, *([pa.binary()] if schema == "binary" else [pa.int64()]))], names=["part", "shard", "doc_id", "within", "n_tokens", "value"])
+        trim()
 
     return shards.mapInArrow(run, f"part int, shard int, doc_id long, within long, n_tokens long, value {schema}")
 

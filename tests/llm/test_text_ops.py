@@ -184,6 +184,14 @@ def test_grammar_compresses_and_keeps_within_symbols():
     assert (repair.Grammar.from_bytes(repair.compressed(high, 70_002, max_symbols=1 << 20).to_bytes()).ids() == high).all()
 
 
+def test_grammar_of_copies_goes_on_until_no_pair_is_frequent():
+    ids = np.tile(np.random.default_rng(1).integers(0, 50_000, 1000, dtype=np.uint32), 500)
+    grammar = repair.compressed(ids, 50_257)  # as the query does
+    assert len(grammar.sequence) < 4000 and (grammar.ids() == ids).all()
+    pairs, counts = np.unique(np.stack([grammar.sequence[:-1], grammar.sequence[1:]]), axis=1, return_counts=True)
+    assert counts.max() < 32
+
+
 # Decontamination
 
 
