@@ -218,6 +218,28 @@ def test_leaks_are_found_and_clean_documents_left(spark, docs_of):
     assert decontamination.leaks(docs_of([]), benchmark).count() == 0 and decontamination.leaks(docs_of(docs[:3]), benchmark.limit(0)).count() == 0
 
 
+def planted(rng, words, docs, item_words, n_items=20):
+    """Documents of ``words`` (least, most) words of a vocabulary of 20,000, a third with an exact copy of an item, and which have which."""
+    draw = lambda n: " ".join(f"w{rng.randrange(20_000)}" for _ in range(n))
+    items = [(i, draw(item_words)) for i in range(n_items)]
+    rows, truth = [], set()
+    for d in range(docs):
+        body = draw(rng.randint(*words)).split()
+        if d % 3 == 0:
+            i, text = rng.choice(items)
+            at = rng.randint(0, len(body))
+            body[at:at] = text.split()
+            truth.add((d, i))
+        rows.append((d, " ".join(body)))
+    return rows, items, truth
+
+
+def test_copies_in_long_documents_are_found(spark, docs_of):
+    rows, items, truth = planted(random.Random(4), (6_000, 14_000), 60, 40)
+    found = decontamination.leaks(docs_of(rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == truth
+
+
 ODD_IDS = [(1000 + k, t) for k, (_, t) in enumerate(ODD)]
 
 
