@@ -240,6 +240,13 @@ def test_copies_in_long_documents_are_found(spark, docs_of):
     assert {(r.doc_id, r.item_id) for r in found} == truth
 
 
+@pytest.mark.parametrize("item_words", [60, 250, 600])
+def test_long_items_are_found(spark, docs_of, item_words):
+    rows, items, truth = planted(random.Random(5), (100, 600), 90, item_words)
+    found = decontamination.leaks(docs_of(rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == truth
+
+
 ODD_IDS = [(1000 + k, t) for k, (_, t) in enumerate(ODD)]
 
 
