@@ -32,7 +32,7 @@ FEATURES = ["length", "digit_share", "upper_share", "letter_digit", "case_change
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, place (number of the white-space word), word, before, after, value: words with a run of key characters."""
+    """doc_id, place (number of the white-space word), word, before, after, run (its number within the word), value: each run of key characters."""
     words = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.split(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), r"\s+").alias("words"))
     near = lambda i, by: F.coalesce(F.get("words", i + by), F.lit(""))
     # neighbours are taken before the candidates become rows, so that no row carries its whole text
@@ -43,9 +43,11 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def with_value(found: DataFrame) -> DataFrame:
-    """The value is the longest run after a name and an equals sign or colon, if there is one."""
+    """A row for each run of key characters of the word, without a name and an equals sign or colon that the word or a later run begins with."""
     tail = F.regexp_replace("word", r"^[\"'(]*[A-Za-z][A-Za-z0-9_.-]{0,30}[=:]+(?=[\"']?[A-Za-z0-9+/_=-]{16})", "")
-    return found.withColumn("value", F.array_max(F.transform(F.regexp_extract_all(tail, F.lit(f"({CANDIDATE})"), 1), lambda v: F.struct(F.length(v).alias("n"), v.alias("v")))).getField("v")).where("value IS NOT NULL")
+    # a later run may hold a name of its own, as in a query string
+    own = lambda v, i: F.when(i == 0, v).otherwise(F.regexp_replace(v, r"^[A-Za-z][A-Za-z0-9_-]{0,30}=+(?=[A-Za-z0-9+/_=-]{16})", ""))
+    return found.select("*", F.posexplode(F.transform(F.regexp_extract_all(tail, F.lit(f"({CANDIDATE})"), 1), own)).alias("run", "value"))
 
 
 def with_features(found: DataFrame) -> DataFrame:
@@ -136,14 +138,14 @@ def as_expression(model: RandomForestClassificationModel) -> Column:
 
 
 def scan_secrets(docs: DataFrame, model: RandomForestClassificationModel | None = None, id_col: str = "doc_id", text_col: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
-    """doc_id, place, value, before, score and secret of each candidate; false positives are those with secret = false.
+    """doc_id, place, run, value, before, score and secret of each candidate; false positives are those with secret = false.
 
     Null and empty texts have no candidates. Rows that repeat an id each give theirs; a null id stays null. Other columns
-    are ignored. Candidates of any length are judged whole.
+    are ignored. Candidates of any length are judged whole, and a word gives one for each of its runs.
     """
     model = model or train(labelled_findings(docs.sparkSession))
     found = with_features(candidates(docs, id_col, text_col)).withColumn("score", as_expression(model))
-    return found.select("doc_id", "place", "value", "before", "score", (F.col("score") >= min_score).alias("secret"))
+    return found.select("doc_id", "place", "run", "value", "before", "score", (F.col("score") >= min_score).alias("secret"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
