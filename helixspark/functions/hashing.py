@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from helixspark.functions.arrays import joined
 from helixspark.functions.sequence import CODES
 
 SEED = 313
@@ -94,36 +96,34 @@ def wang64_inverse(x: np.ndarray) -> np.ndarray:
     return (x + np.uint64(1)) * inverse((1 << 21) - 1)
 
 
-def superfast32(data: bytes) -> int:
-    """Paul Hsieh's SuperFastHash of a byte string; 0 for an empty one."""
-    if not data:
-        return 0
-    mask, h = 0xFFFFFFFF, len(data) & 0xFFFFFFFF
-    word = lambda i: data[i] | data[i + 1] << 8
-    signed = lambda b: b - 256 if b > 127 else b
-    whole = len(data) // 4 * 4
-    for i in range(0, whole, 4):
-        h = (h + word(i)) & mask
-        h = ((h << 16) ^ ((word(i + 2) << 11) ^ h)) & mask
-        h = (h + (h >> 11)) & mask
-    rest = len(data) - whole
-    if rest == 3:
-        h = (h + word(whole)) & mask
-        h ^= (h << 16) & mask
-        h ^= (signed(data[whole + 2]) << 18) & mask
-        h = (h + (h >> 11)) & mask
-    elif rest == 2:
-        h = (h + word(whole)) & mask
-        h ^= (h << 11) & mask
-        h = (h + (h >> 17)) & mask
-    elif rest == 1:
-        h = (h + signed(data[whole])) & mask
-        h ^= (h << 10) & mask
-        h = (h + (h >> 1)) & mask
-    for left, right in ((3, 5), (4, 17), (25, 6)):
-        h ^= (h << left) & mask
-        h = (h + (h >> right)) & mask
-    return h
+def superfast32(column: pa.Array) -> np.ndarray:
+    """Paul Hsieh's SuperFastHash of byte strings, all rows at once, four bytes at a time; 0 for empty ones. Bytes that stand alone are signed."""
+    data, offsets = joined(column)
+    start, length = offsets[:-1], np.diff(offsets)
+    wide = np.concatenate([data, np.zeros(4, np.uint8)]).astype(np.uint32)
+    shorts, signed = wide[:-1] | wide[1:] << np.uint32(8), wide.astype(np.uint8).view(np.int8).astype(np.int32).view(np.uint32)
+    h = length.astype(np.uint32)
+    by_length = np.argsort(-length, kind="stable")
+    left, right = (lambda x, n: x << np.uint32(n)), (lambda x, n: x >> np.uint32(n))
+    blocks = length[by_length] // 4
+    for i in range(int(blocks.max(initial=0))):
+        rows = by_length[: np.searchsorted(-blocks, -i, "left")]  # those with a block i
+        at, x = start[rows] + 4 * i, h[rows]
+        x = x + shorts[at]
+        x = left(x, 16) ^ (left(shorts[at + 2], 11) ^ x)
+        h[rows] = x + right(x, 11)
+    for rest, shift, back in ((3, 16, 11), (2, 11, 17), (1, 10, 1)):
+        rows = np.flatnonzero(length % 4 == rest)
+        at, x = start[rows] + length[rows] // 4 * 4, h[rows]
+        x = x + (signed[at] if rest == 1 else shorts[at])
+        x = x ^ left(x, shift)
+        if rest == 3:
+            x = x ^ left(signed[at + 2], 18)
+        h[rows] = x + right(x, back)
+    for shift, back in ((3, 5), (4, 17), (25, 6)):
+        h = h ^ left(h, shift)
+        h = h + right(h, back)
+    return np.where(length == 0, np.uint32(0), h)
 
 
 def left_aligned(codes: np.ndarray) -> np.ndarray:
@@ -156,6 +156,7 @@ def wang64_inverse_of(value: pd.Series) -> pd.Series:
     return pd.Series(wang64_inverse(value.to_numpy(np.int64).view(np.uint64)).view(np.int64))
 
 
-@F.pandas_udf(T.LongType())
-def superfast32_of(data: pd.Series) -> pd.Series:
-    return pd.Series([superfast32(x if isinstance(x, bytes) else str(x).encode()) for x in data])
+@F.arrow_udf(T.LongType())
+def superfast32_of(data: pa.Array) -> pa.Array:
+    """The unsigned 32-bit hash of a string's or binary's bytes; null is empty."""
+    return pa.array(superfast32(data).astype(np.int64))

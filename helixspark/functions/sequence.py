@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from helixspark.functions.arrays import joined, pieces, rows_of
+
 #: Bytes of text to 2-bit codes; 4 marks what is not a base.
 CODES = np.full(256, 4, np.uint8)
 for _code, _letters in enumerate(("AaNn", "Cc", "Gg", "Tt")):
@@ -15,6 +17,15 @@ for _code, _letters in enumerate(("AaNn", "Cc", "Gg", "Tt")):
         CODES[ord(_letter)] = _code
 
 
+def checked_codes(text: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """2-bit codes of the bytes of sequences; anything but a base fails, and the message shows its sequence."""
+    codes = CODES[text]
+    if (codes > 3).any():
+        row = int(np.searchsorted(offsets, int(np.argmax(codes > 3)), "right")) - 1
+        raise ValueError(f"not a DNA sequence: {text[offsets[row] : offsets[row + 1]][:80].tobytes().decode(errors='replace')}")
+    return codes
+
+
 def normalise(seq: Column, invalid: str = "error") -> Column:
     """Upper case with N as A. Other characters fail ('error'), become A ('as_a') or are taken out ('drop')."""
     if invalid not in ("error", "as_a", "drop"):
@@ -23,7 +34,7 @@ def normalise(seq: Column, invalid: str = "error") -> Column:
     if invalid == "as_a":
         return F.regexp_replace(upper, "[^CGT]", "A")
     if invalid == "drop":
-        return F.translate(F.regexp_replace(upper, "[^ACGTN]", ""), "N", "A")
+        return F.translate(F.regexp_replace(upper, "[^ACGTN]+", ""), "N", "A")
     plain = F.translate(upper, "N", "A")
     return F.when(plain.rlike("^[ACGT]*$"), plain).when(plain.isNotNull(), F.raise_error(F.concat(F.lit("not a DNA sequence: "), F.substring(seq, 1, 80))))
 
@@ -81,34 +92,27 @@ def kmer_count_of(length: Column, k: int) -> Column:
     return F.greatest(length - (k - 1), F.lit(0))
 
 
-@F.pandas_udf(T.BinaryType())
-def encode_2bit(seq: pd.Series) -> pd.Series:
-    """Four bases a byte, the first in the high bits; the last byte is filled with zeros."""
-
-    def one(text):
-        if text is None:
-            return None
-        codes = CODES[np.frombuffer(text.encode(), np.uint8)]
-        if (codes > 3).any():
-            raise ValueError(f"not a DNA sequence: {text[:80]}")
-        quads = np.concatenate([codes, np.zeros(-len(codes) % 4, np.uint8)]).reshape(-1, 4)
-        return (quads @ np.array([64, 16, 4, 1], np.uint8)).astype(np.uint8).tobytes()
-
-    return seq.map(one)
-
-
-@F.pandas_udf(T.StringType())
-def decode_2bit(data: pd.Series, length: pd.Series) -> pd.Series:
-    """The ``length`` bases of a 2-bit encoding."""
-    letters = np.frombuffer(b"ACGT", np.uint8)
-
-    def one(packed, n):
-        if packed is None:
-            return None
-        codes = (np.frombuffer(packed, np.uint8)[:, None] >> np.array([6, 4, 2, 0], np.uint8)) & 3
-        return letters[codes.ravel()[: int(n)]].tobytes().decode()
-
-    return pd.Series([one(d, n) for d, n in zip(data, length, strict=True)])
+@F.arrow_udf(T.BinaryType())
+def encode_2bit(seq: pa.Array) -> pa.Array:
+    """Four bases a byte, the first in the high bits; the last byte is filled with zeros. Null stays null."""
+    text, offsets = joined(seq)
+    codes = checked_codes(text, offsets)
+    length = np.diff(offsets)
+    size = (length + 3) // 4
+    out = np.concatenate([[0], np.cumsum(size)])
+    quads = np.zeros(4 * int(out[-1]), np.uint8)
+    quads[np.repeat(4 * out[:-1] - offsets[:-1], length) + np.arange(len(codes))] = codes
+    return rows_of(quads.reshape(-1, 4) @ np.array([64, 16, 4, 1], np.uint8), out, pa.binary(), ~np.asarray(seq.is_null()))
+
+
+@F.arrow_udf(T.StringType())
+def decode_2bit(data: pa.Array, length: pa.Array) -> pa.Array:
+    """The ``length`` bases of a 2-bit encoding. Null stays null."""
+    packed, offsets = joined(data)
+    letters = np.frombuffer(b"ACGT", np.uint8)[(packed[:, None] >> np.array([6, 4, 2, 0], np.uint8)) & 3].ravel()
+    valid = ~np.asarray(data.is_null()) & ~np.asarray(length.is_null())
+    size = np.where(valid, np.asarray(length.fill_null(0), np.int64), 0)
+    return rows_of(*pieces(letters, 4 * offsets[:-1], size), pa.string(), valid)
 
 
 def pack(kmer: Column) -> Column:

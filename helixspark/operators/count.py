@@ -9,21 +9,13 @@ from helixspark.config import check_band, check_length
 from helixspark.operators import extract
 
 
-def spread(reads: DataFrame) -> DataFrame:
-    """Deal small inputs out to all cores, as a read makes as many rows as it has bases; large ones have enough splits."""
-    spark = reads.sparkSession
-    size = int(str(reads._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    cores = spark.sparkContext.defaultParallelism
-    return reads.repartition(cores) if size < cores * (128 << 20) else reads
-
-
 def in_band(cnt: Column, min_count: int, max_count: int) -> Column:
     check_band(min_count, max_count)
     return cnt.between(min_count, max_count)
 
 
 def packed_totals(reads: DataFrame, k: int) -> DataFrame:
-    return extract.packed_counts(spread(extract.long_enough(reads, k)), k).groupBy(*extract.word_columns(k)).agg(F.sum("cnt").alias("cnt"))
+    return extract.packed_counts(reads, k).groupBy(*extract.word_columns(k)).agg(F.sum("cnt").alias("cnt"))
 
 
 def all_counts(reads: DataFrame, k: int, method: str = "packed") -> DataFrame:
@@ -32,7 +24,7 @@ def all_counts(reads: DataFrame, k: int, method: str = "packed") -> DataFrame:
     if method == "packed":
         return packed_totals(reads, k).select(extract.unpacked(k).alias("kmer"), "cnt")
     if method == "text":
-        return extract.canonical_kmers(spread(reads), k).groupBy("kmer").agg(F.count("*").alias("cnt"))
+        return extract.canonical_kmers(reads, k).groupBy("kmer").agg(F.count("*").alias("cnt"))
     raise ValueError(f"method must be packed or text, not {method}")
 
 
@@ -57,16 +49,15 @@ def occurrences(reads: DataFrame, k: int, min_count: int, max_count: int, method
     keep = in_band(F.col("cnt"), min_count, max_count)
     if method == "packed":
         words = extract.word_columns(k)
-        rows = extract.packed_occurrences(spread(extract.long_enough(reads, k)), k).join(packed_totals(reads, k).where(keep), words)
+        rows = extract.packed_occurrences(reads, k, max_count).join(packed_totals(reads, k).where(keep), words)
         return rows.select(extract.unpacked(k).alias("kmer"), "cnt", "rid", "pos")
-    return extract.canonical_kmers(spread(reads), k).join(all_counts(reads, k, method).where(keep), "kmer").select("kmer", "cnt", "rid", "pos")
+    return extract.canonical_kmers(reads, k).join(all_counts(reads, k, method).where(keep), "kmer").select("kmer", "cnt", "rid", "pos")
 
 
 def partial_counts(reads: DataFrame, k: int, parts: int) -> DataFrame:
     """part, kmer, cnt: unfiltered counts of ``parts`` shares of the reads."""
     split = reads.withColumn("part", F.pmod("rid", F.lit(parts)).cast("int"))
-    starts = F.explode(F.sequence(F.lit(0), F.length("seq") - k)).alias("pos")
-    rows = extract.long_enough(split, k).select("part", "seq", starts).select("part", extract.canonical(F.substr("seq", F.col("pos") + 1, F.lit(k))).alias("kmer"))
+    rows = extract.canonical_kmers(split.select(F.col("part").alias("rid"), "seq"), k).withColumnRenamed("rid", "part")
     return rows.groupBy("part", "kmer").agg(F.count("*").alias("cnt"))
 
 

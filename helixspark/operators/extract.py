@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from helixspark.config import check_length
-from helixspark.functions.sequence import CODES, canonical
+from helixspark.functions.arrays import joined
+from helixspark.functions.sequence import canonical, checked_codes
 
 #: Bases in one LONG, so that it is never negative and sorts as the text.
 WORD = 31
@@ -25,9 +26,10 @@ def long_enough(reads: DataFrame, k: int) -> DataFrame:
 def kmers(reads: DataFrame, k: int, name: str = "kmer") -> DataFrame:
     """rid, pos and the forward k-mer of every window; reads shorter than k have none."""
     check_length(name, k)
-    # the filter comes first: sequence(0, -1) would count down
-    starts = F.explode(F.sequence(F.lit(0), F.length("seq") - k)).alias("pos")
-    return long_enough(reads, k).select("rid", "seq", starts).select("rid", "pos", F.substr("seq", F.col("pos") + 1, F.lit(k)).alias(name))
+    # the filter on the start comes after, as one on the sequence would be computed anew below whatever made the sequence
+    starts = F.explode_outer(F.sequence(F.lit(0), F.greatest(F.length("seq") - k, F.lit(0)))).alias("pos")
+    rows = reads.select("rid", "seq", starts).where(F.col("pos") + k <= F.length("seq"))
+    return rows.select("rid", "pos", F.substr("seq", F.col("pos") + 1, F.lit(k)).alias(name))
 
 
 def canonical_kmers(reads: DataFrame, k: int, name: str = "kmer") -> DataFrame:
@@ -51,34 +53,36 @@ def word_columns(k: int) -> list[str]:
     return [f"w{i}" for i in range(-(-k // WORD))]
 
 
-def packed_windows(codes: np.ndarray, k: int) -> np.ndarray:
-    """Packed words of every window of k base codes, by doubling the width: shape (windows, words), int64."""
+def packed_windows(codes: np.ndarray, k: int, word: int = WORD) -> np.ndarray:
+    """Packed words (of up to ``word`` bases) of every window of k base codes, by doubling the width: shape (windows, words), uint64."""
     n = len(codes) - k + 1
     if n <= 0:
-        return np.zeros((0, -(-k // WORD)), np.int64)
-    widths = {1: codes.astype(np.int64)}
+        return np.zeros((0, -(-k // word)), np.uint64)
+    widths = {1: codes.astype(np.uint64)}
     w = 1
-    while 2 * w <= min(k, WORD):
+    while 2 * w <= min(k, word):
         a = widths[w]
-        widths[2 * w] = (a[: len(a) - w] << (2 * w)) | a[w:]
+        widths[2 * w] = (a[: len(a) - w] << np.uint64(2 * w)) | a[w:]
         w *= 2
 
     def of(start: int, size: int) -> np.ndarray:
-        out, done = np.zeros(n, np.int64), 0
+        out, done = None, 0
         for w in sorted(widths, reverse=True):
             while size - done >= w:
-                at = start + done
-                out = (out << (2 * w)) | widths[w][at : at + n]
+                more = widths[w][start + done : start + done + n]
+                out = more if out is None else (out << np.uint64(2 * w)) | more
                 done += w
         return out
 
-    return np.stack([of(a, min(WORD, k - a)) for a in range(0, k, WORD)], axis=1)
+    return np.stack([of(a, min(word, k - a)) for a in range(0, k, word)], axis=1)
 
 
-def canonical_windows(codes: np.ndarray, k: int) -> np.ndarray:
+def canonical_windows(codes: np.ndarray, k: int, word: int = WORD) -> np.ndarray:
     """As packed_windows, of the lesser of each window and its reverse complement."""
-    forward = packed_windows(codes, k)
-    back = packed_windows((3 - codes)[::-1], k)[::-1]
+    forward = packed_windows(codes, k, word)
+    back = packed_windows((3 - codes)[::-1], k, word)[::-1]
+    if forward.shape[1] == 1:
+        return np.minimum(forward, back)
     less, open_ = np.zeros(len(forward), bool), np.ones(len(forward), bool)
     for i in range(forward.shape[1]):
         less |= open_ & (back[:, i] < forward[:, i])
@@ -86,31 +90,36 @@ def canonical_windows(codes: np.ndarray, k: int) -> np.ndarray:
     return np.where(less[:, None], back, forward)
 
 
-def _combined(words: np.ndarray, counts: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct rows and their counts."""
-    counts = np.ones(len(words), np.int64) if counts is None else counts
-    if not len(words):
-        return words, counts
-    order = np.argsort(words[:, 0]) if words.shape[1] == 1 else np.lexsort(words.T[::-1])
-    words, counts = words[order], counts[order]
-    first = np.append(True, (words[1:] != words[:-1]).any(axis=1))
-    return words[first], np.add.reduceat(counts, np.flatnonzero(first))
+def _grouped(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order of the rows, where equal ones begin in it, and how many are equal."""
+    order = np.argsort(words[:, 0], kind="stable") if words.shape[1] == 1 else np.lexsort(words.T[::-1])
+    ordered = words[order]
+    begin = np.flatnonzero(np.append(True, (ordered[1:] != ordered[:-1]).any(axis=1))[: len(ordered)])
+    return order, begin, np.diff(begin, append=len(ordered))
 
 
-def slices(seqs: Iterator[str], k: int) -> Iterator[np.ndarray]:
-    """Base codes of sequences in pieces of bounded length that overlap by k - 1 bases, so that every window is in one."""
-    for seq in seqs:
-        if seq is None or len(seq) < k:
-            continue
-        codes = CODES[np.frombuffer(seq.encode(), np.uint8)]
-        if (codes > 3).any():
-            raise ValueError(f"not a DNA sequence: {seq[:80]}")
-        for a in range(0, len(codes) - k + 1, _SLICE):
-            yield codes[a : a + _SLICE + k - 1]
+def slices(column: pa.Array, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Base codes of a batch of reads in pieces of bounded length that overlap by k - 1 bases, so that every window is in one.
+
+    With each piece: the starts in it of windows that lie within one read, and the row and position of these.
+    """
+    text, offsets = joined(column)
+    codes = checked_codes(text, offsets)
+    row = np.repeat(np.arange(len(column), dtype=np.int32), np.diff(offsets))
+    for a in range(0, len(codes) - k + 1, _SLICE):
+        piece = codes[a : a + _SLICE + k - 1]
+        own = row[a : a + len(piece) - k + 1]
+        start = np.flatnonzero(own == row[a + k - 1 : a + len(piece)])
+        if len(start):
+            yield piece, start, own[start], start + a - offsets[own[start]]
+
+
+def _word_arrays(words: np.ndarray) -> list[pa.Array]:
+    return [pa.array(np.ascontiguousarray(words[:, i]).view(np.int64)) for i in range(words.shape[1])]
 
 
 def packed_counts(reads: DataFrame, k: int) -> DataFrame:
-    """Partial counts of canonical k-mers, as packed words, combined within about a million windows."""
+    """Partial counts of canonical k-mers, as packed words, combined within about a million windows. Reads shorter than k have none."""
     check_length("k", k)
     names = word_columns(k)
     schema = T.StructType([T.StructField(c, T.LongType(), False) for c in [*names, "cnt"]])
@@ -119,13 +128,14 @@ def packed_counts(reads: DataFrame, k: int) -> DataFrame:
         held, size = [], 0
 
         def flush() -> pa.RecordBatch:
-            words, counts = _combined(np.concatenate(held), None)
-            return pa.record_batch([*(pa.array(np.ascontiguousarray(words[:, i])) for i in range(len(names))), pa.array(counts)], names=[*names, "cnt"])
+            words = np.concatenate(held)
+            order, begin, count = _grouped(words)
+            return pa.record_batch([*_word_arrays(words[order[begin]]), pa.array(count)], names=[*names, "cnt"])
 
         for batch in batches:
-            for codes in slices((s.as_py() for s in batch.column(0)), k):
-                held.append(canonical_windows(codes, k))
-                size += len(held[-1])
+            for codes, start, _, _ in slices(batch.column(0), k):
+                held.append(canonical_windows(codes, k)[start])
+                size += len(start)
                 if size >= _SLICE:
                     yield flush()
                     held, size = [], 0
@@ -135,20 +145,26 @@ def packed_counts(reads: DataFrame, k: int) -> DataFrame:
     return reads.select("seq").mapInArrow(run, schema)
 
 
-def packed_occurrences(reads: DataFrame, k: int) -> DataFrame:
-    """rid, pos and the packed words of every canonical k-mer."""
+def packed_occurrences(reads: DataFrame, k: int, max_count: int | None = None) -> DataFrame:
+    """rid, pos and the packed words of every canonical k-mer.
+
+    A k-mer that occurs more than ``max_count`` times within about a million windows does so in all reads too: its
+    occurrences are not sent, so that a k-mer that is everywhere does not fill the task of its key.
+    """
     check_length("k", k)
     names = word_columns(k)
     schema = T.StructType([T.StructField("rid", T.LongType()), T.StructField("pos", T.IntegerType()), *(T.StructField(c, T.LongType(), False) for c in names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rid, seq in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                at = 0
-                for codes in slices(iter([seq.as_py()]), k):
-                    words = canonical_windows(codes, k)
-                    yield pa.record_batch([pa.array([rid] * len(words), pa.int64()), pa.array(np.arange(at, at + len(words)), pa.int32()), *(pa.array(np.ascontiguousarray(words[:, i])) for i in range(len(names)))], names=["rid", "pos", *names])
-                    at += len(words)
+            rids = batch.column(0)
+            for codes, start, row, pos in slices(batch.column(1), k):
+                words = canonical_windows(codes, k)[start]
+                if max_count is not None:
+                    order, _, count = _grouped(words)
+                    keep = np.sort(order[np.repeat(count <= max_count, count)])
+                    words, row, pos = words[keep], row[keep], pos[keep]
+                yield pa.record_batch([rids.take(pa.array(row)), pa.array(pos, pa.int32()), *_word_arrays(words)], names=["rid", "pos", *names])
 
     return reads.select("rid", "seq").mapInArrow(run, schema)
 

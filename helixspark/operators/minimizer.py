@@ -14,12 +14,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixspark.functions.hashing import left_aligned, murmur64
-from helixspark.functions.sequence import CODES, canonical
-from helixspark.operators.count import spread
-from helixspark.operators.extract import long_enough
+from helixspark.functions.arrays import joined, parts, pieces, rows_of
+from helixspark.functions.hashing import murmur64, murmur128
+from helixspark.functions.sequence import canonical, supermer_bytes
+from helixspark.operators.extract import canonical_windows, slices
 
 _SIGN = -(1 << 63)
+_PART_BASES = 1 << 20
 
 
 def window_minima(values: np.ndarray, width: int) -> np.ndarray:
@@ -33,43 +34,37 @@ def window_minima(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def mmer_hashes(codes: np.ndarray, m: int) -> np.ndarray:
-    """Hash of every window's canonical m-mer; windows are compared base by base only where they tie so far."""
-    forward = np.lib.stride_tricks.sliding_window_view(codes, m)
-    back = np.lib.stride_tricks.sliding_window_view((3 - codes)[::-1], m)[::-1]
-    f, b = left_aligned(forward), left_aligned(back)
-    less, open_ = np.zeros(len(f), bool), np.ones(len(f), bool)
-    for i in range(f.shape[1]):
-        less |= open_ & (b[:, i] < f[:, i])
-        open_ &= b[:, i] == f[:, i]
-    return murmur64(np.where(less[:, None], b, f))
+    """Hash of every window's canonical m-mer."""
+    return murmur64(hash_words(codes, m))
 
 
-def read_minimizers(seq: str, k: int, m: int) -> np.ndarray:
-    """The minimizer hash of every k-mer of a read, in slices of bounded memory."""
-    codes = CODES[np.frombuffer(seq.encode(), np.uint8)]
-    if (codes > 3).any():
-        raise ValueError(f"not a DNA sequence: {seq[:80]}")
-    step = 1 << 16
-    return np.concatenate([window_minima(mmer_hashes(codes[a : a + step + k - 1], m), k - m + 1) for a in range(0, len(codes) - k + 1, step)])
+def hash_words(codes: np.ndarray, m: int) -> np.ndarray:
+    """The canonical m-mers as they are hashed: 32 bases a word, from the high bits."""
+    words = canonical_windows(codes, m, 32)
+    words[:, -1] <<= np.uint64(64 - 2 * (m - 32 * (words.shape[1] - 1)))
+    return words
 
 
-def _per_read(reads: DataFrame, k: int, schema: str, make) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rid, seq in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                yield make(rid, seq.as_py())
+def _minima(column: pa.Array, k: int, m: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Row, position and minimizer of the k-mers of a batch of reads, in slices of bounded memory."""
+    for codes, start, row, pos in slices(column, k):
+        yield row, pos, window_minima(mmer_hashes(codes, m), k - m + 1)[start]
 
-    return spread(long_enough(reads, k)).select("rid", "seq").mapInArrow(run, schema)
+
+def read_minimizers(seq: str, k: int, m: int) -> np.ndarray:
+    """The minimizer hash of every k-mer of a read."""
+    return np.concatenate([np.zeros(0, np.uint64), *(found for _, _, found in _minima(pa.array([seq]), k, m))])
 
 
 def minimizers(reads: DataFrame, k: int, m: int) -> DataFrame:
     """rid, pos, minimizer: the LONG with the bits of the unsigned hash."""
 
-    def make(rid, seq):
-        found = read_minimizers(seq, k, m)
-        return pa.record_batch([pa.array([rid] * len(found), pa.int64()), pa.array(np.arange(len(found)), pa.int32()), pa.array(found.view(np.int64))], names=["rid", "pos", "minimizer"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, pos, found in _minima(batch.column("seq"), k, m):
+                yield pa.record_batch([batch.column("rid").take(pa.array(row)), pa.array(pos, pa.int32()), pa.array(found.view(np.int64))], names=["rid", "pos", "minimizer"])
 
-    return _per_read(reads, k, "rid long, pos int, minimizer long", make)
+    return reads.select("rid", "seq").mapInArrow(run, "rid long, pos int, minimizer long")
 
 
 def unsigned(value: Column) -> Column:
@@ -94,15 +89,37 @@ def supermers(reads: DataFrame, k: int, m: int, tasks: int, max_len: int = 250)
     if max_len < k:
         raise ValueError("max_len must be at least k")
 
-    def make(rid, seq):
-        task = (read_minimizers(seq, k, m) % np.uint64(tasks)).astype(np.int32)
-        edge = np.flatnonzero(np.diff(task, prepend=-1))
-        # a long run starts anew after as many k-mers as fit
-        starts = np.concatenate([np.arange(a, b, max_len - k + 1) for a, b in zip(edge, [*edge[1:], len(task)], strict=True)])
-        ends = np.append(starts[1:], len(task)) + k - 1
-        return pa.record_batch([pa.array([rid] * len(starts), pa.int64()), pa.array(starts, pa.int32()), pa.array(ends - starts, pa.int32()), pa.array(task[starts]), pa.array([seq[a:b] for a, b in zip(starts, ends, strict=True)])], names=["rid", "pos", "len", "task", "seq"])
-
-    return _per_read(reads, k, "rid long, pos int, len int, task int, seq string", make)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in parts(batch, "seq", _PART_BASES):
+                text, offsets = joined(part.column("seq"))
+                # the last run of a slice may go on in the next one
+                row, pos, task = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int32)
+                for more_row, more_pos, found in _minima(part.column("seq"), k, m):
+                    row, pos = np.append(row, more_row), np.append(pos, more_pos)
+                    task = np.append(task, (found % np.uint64(tasks)).astype(np.int32))
+                    starts = _starts(row, task, max_len - k + 1)
+                    yield cut(part, text, offsets, row, pos, task, starts)
+                    row, pos, task = (x[starts[-1] :] for x in (row, pos, task))
+                if len(row):
+                    yield cut(part, text, offsets, row, pos, task, np.array([0, len(row)]))
+
+    def cut(part, text, offsets, row, pos, task, starts) -> pa.RecordBatch:
+        first = starts[:-1]
+        length = np.diff(starts) + k - 1
+        seq = rows_of(*pieces(text, offsets[row[first]] + pos[first], length), pa.string())
+        return pa.record_batch([part.column("rid").take(pa.array(row[first])), pa.array(pos[first], pa.int32()), pa.array(length, pa.int32()), pa.array(task[first]), seq], names=["rid", "pos", "len", "task", "seq"])
+
+    return reads.select("rid", "seq").mapInArrow(run, "rid long, pos int, len int, task int, seq string")
+
+
+def _starts(row: np.ndarray, task: np.ndarray, most: int) -> np.ndarray:
+    """Where runs of one read and task begin; a long run begins anew after ``most`` k-mers."""
+    edge = np.flatnonzero(np.append(True, (task[1:] != task[:-1]) | (row[1:] != row[:-1])))
+    length = np.diff(edge, append=len(task))
+    each = -(-length // most)
+    within = np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each)
+    return np.repeat(edge, each) + within * most
 
 
 def supermer_kmers(found: DataFrame, k: int) -> DataFrame:
@@ -127,26 +144,56 @@ def round_robin(sizes: DataFrame, workers: int) -> DataFrame:
     return sizes.select("task", F.pmod("task", F.lit(workers)).cast("int").alias("worker"))
 
 
-def balanced(sizes: dict[int, int], workers: int, limit: float = 1.5, step: float = 0.05) -> dict[int, int]:
-    """A worker for each task (of a bounded number of tasks), such that loads stay under a multiple of the mean.
+def task_bytes(found: DataFrame) -> DataFrame:
+    """task, n_bytes: what the supermers of a task take on the wire, each with four bytes for its length."""
+    return found.groupBy("task").agg(F.sum(supermer_bytes(F.col("len")) + 4).cast("long").alias("n_bytes"))
+
 
-    The largest tasks go one to a worker, the rest from small to large in turn to the next worker with room. The
-    multiple starts at 0.95 and grows by ``step``; if it would reach ``limit`` there is no such assignment.
+def balanced(sizes: DataFrame, workers: int, size_col: str = "n_bytes", weight_col: str | None = None, limit: float = 1.5, step: float = 0.05) -> DataFrame:
+    """task, worker: an assignment of a bounded number of tasks (a row for each comes to the driver) under a multiple of the mean load.
+
+    The largest tasks go one to a worker, from the first on. The others, from small to large (ties: by task), go in turn
+    to the next worker, from the last back to the first, that has room for their size; what they add to its load is their size times
+    their weight. The multiple starts at 1 - ``step`` and grows by ``step``; if it would reach ``limit``, there is no assignment.
     """
-    order = sorted(sizes, key=lambda t: (sizes[t], t))
+    weight = F.lit(1) if weight_col is None else F.col(weight_col)
+    rows = sizes.select("task", F.col(size_col).cast("long").alias("size"), weight.cast("long").alias("weight")).orderBy("size", "task").collect()
+    placed = _assignment([tuple(r) for r in rows], workers, limit, step)
+    return sizes.sparkSession.createDataFrame(sorted(placed.items()), "task int, worker int")
+
+
+def _assignment(order: list[tuple[int, int, int]], workers: int, limit: float, step: float) -> dict[int, int]:
+    mean, tries = sum(size for _, size, _ in order) // workers, 1
     head, rest = order[::-1][:workers], order[: max(0, len(order) - workers)]
-    mean, tries = sum(sizes.values()) / workers, 0
-    while (multiple := 0.95 + tries * step) < limit - 1e-9:
+    while (multiple := 1 + (tries - 2) * step) < limit - 1e-9:
         tries += 1
-        place = {t: w for w, t in enumerate(head)}
-        load, turn = [sizes[t] for t in head] + [0] * (workers - len(head)), 0
-        for task in rest:
-            room = [w for w in ((turn + i) % workers for i in range(workers)) if load[w] + sizes[task] <= mean * multiple]
-            if not room:
+        load, place, at = [0] * workers, {}, workers - 1
+        for worker, (task, size, weight) in enumerate(head):
+            place[task], load[worker] = worker, size * weight
+        for task, size, weight in rest:
+            turn = next((t for t in range(workers) if load[(at - t) % workers] + size <= int(mean * multiple)), None)
+            if turn is None:
                 break
-            place[task] = room[0]
-            load[room[0]] += sizes[task]
-            turn = (room[0] + 1) % workers
+            worker = (at - turn) % workers
+            place[task], load[worker], at = worker, load[worker] + size * weight, (worker - 1) % workers
         else:
             return place
-    raise ValueError(f"no assignment of {len(sizes)} tasks to {workers} workers stays under {limit} times the mean")
+    raise ValueError(f"no assignment of {len(order)} tasks to {workers} workers stays under {limit} times the mean")
+
+
+def hash_owner(hashes: np.ndarray, owners: int) -> np.ndarray:
+    """Of equal ranges of the unsigned 64-bit numbers, the one that holds each hash: floor(hash * owners / 2 ** 64)."""
+    low = (hashes & np.uint64(0xFFFFFFFF)) * np.uint64(owners) >> np.uint64(32)
+    return ((hashes >> np.uint64(32)) * np.uint64(owners) + low >> np.uint64(32)).astype(np.int32)
+
+
+def kmer_hashes(reads: DataFrame, k: int, owners: int) -> DataFrame:
+    """rid, pos of every k-mer, both halves of its canonical form's hash (hash, second, as LONGs with their bits), its low 32 bits (low), and the owner of its hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for codes, start, row, pos in slices(batch.column("seq"), k):
+                one, two = murmur128(hash_words(codes, k)[start])
+                yield pa.record_batch([batch.column("rid").take(pa.array(row)), pa.array(pos, pa.int32()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array((one & np.uint64(0xFFFFFFFF)).astype(np.int64)), pa.array(hash_owner(one, owners))], names=["rid", "pos", "hash", "second", "low", "owner"])
+
+    return reads.select("rid", "seq").mapInArrow(run, "rid long, pos int, hash long, second long, low long, owner int")

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from helixspark import cli
 from helixspark.functions import hashing, sequence
 from helixspark.operators import count, extract, minimizer, ranges
 from helixspark.plans import oracle
-from helixspark.sources.fasta import from_packed, to_packed
-from helixspark.streaming.counts import banded, streaming_counts
+from helixspark.sources.fasta import append_reads, format_histogram, from_packed, index_fasta, numbered, read_counts, read_fasta, read_fasta_indexed, reads_from, to_packed, write_counts, write_fai, write_fasta, write_reads
+from helixspark.storage import new_path
+from helixspark.streaming.counts import append_counts, appended_totals
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,8 +25,7 @@ K, M, TASKS, MAX_LEN = 31, 17, 64, 250
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """rid, seq: each text's letters A, C, G, T and N, with N as A; texts without any are left out."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.select(F.col("doc_id").alias("rid"), sequence.normalise(F.col("text"), "drop").alias("seq")).where("length(seq) > 0")
+    return reads_from(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text", "drop").select("rid", "seq")
 
 
 def _counts(k: int, method: str = "packed") -> Query:
@@ -42,8 +42,89 @@ def _flat_occurrences(r: DataFrame) -> DataFrame:
 
 
 def _hashes(r: DataFrame) -> DataFrame:
-    mmer = F.substr("seq", F.lit(1), F.lit(M))
-    return extract.long_enough(r, M).select("rid", mmer.alias("mmer"), hashing.murmur64_of(mmer).alias("hash"))
+    """The hash of every m-mer as it stands, summed up by read."""
+    found = extract.mmers(r, M).select("rid", hashing.murmur64_of("mmer").alias("hash"))
+    return found.groupBy("rid").agg(F.count("*").alias("n"), F.bit_xor("hash").alias("mixed"), F.min("hash").alias("least"), F.max("hash").alias("largest"))
+
+
+def _kmer_hashes(k: int) -> Callable[[DataFrame], DataFrame]:
+    """The hashes of every canonical k-mer, summed up by read and owner."""
+
+    def make(r: DataFrame) -> DataFrame:
+        found = minimizer.kmer_hashes(r, k, 7)
+        return found.groupBy("rid", "owner").agg(F.count("*").alias("n"), F.bit_xor("hash").alias("mixed"), F.bit_xor("second").alias("second"), F.sum("low").alias("low"))
+
+    return make
+
+
+def _superfast(r: DataFrame) -> DataFrame:
+    found = extract.mmers(r, M).select("rid", hashing.superfast32_of("mmer").alias("hash"))
+    return found.groupBy("rid").agg(F.count("*").alias("n"), F.sum("hash").alias("total"), F.bit_xor("hash").alias("mixed"))
+
+
+def _bases_at(r: DataFrame) -> DataFrame:
+    """The code of every base, forward and in the reverse complement, summed up by read with its place."""
+    at = F.posexplode(F.split("seq", "")).alias("i", "base")
+    rows = r.select("rid", "seq", at).select("rid", "i", sequence.base_code(F.col("base")).alias("code"), sequence.revcomp_at(F.col("seq"), F.col("i")).alias("back"))
+    place = F.col("i") + 1
+    return rows.groupBy("rid").agg(F.count("*").alias("n"), F.sum(F.col("code") * place).cast("long").alias("forward"), F.sum(F.col("back") * place).cast("long").alias("back"))
+
+
+def _compared(r: DataFrame) -> DataFrame:
+    """Each read against its reverse complement: equality and order."""
+    back = sequence.reverse_complement(F.col("seq"))
+    return r.select("rid", (F.col("seq") == back).alias("same"), (F.col("seq") < back).alias("less"))
+
+
+def _fasta(indexed: bool) -> Callable[[DataFrame], DataFrame]:
+    """The reads written as FASTA and read again; with an index made of the file, by its byte ranges."""
+
+    def make(r: DataFrame) -> DataFrame:
+        spark, path = r.sparkSession, new_path(r.sparkSession, "fasta")
+        write_fasta(r.coalesce(1) if indexed else r, path)  # an index is one file's
+        if indexed:
+            write_fai(index_fasta(spark, path).coalesce(1), path + ".fai")
+            return read_fasta_indexed(spark, path).select(F.col("name").cast("long").alias("rid"), "seq")
+        return read_fasta(spark, path).select(F.col("name").cast("long").alias("rid"), "seq")
+
+    return make
+
+
+def _index(r: DataFrame) -> DataFrame:
+    path = new_path(r.sparkSession, "fasta")
+    write_fasta(r, path)
+    return index_fasta(r.sparkSession, path).select(F.col("name").cast("long").alias("rid"), "len", F.col("bases").cast("long").alias("bases"), F.col("width").cast("long").alias("width"))
+
+
+def _count_files(r: DataFrame) -> DataFrame:
+    path = new_path(r.sparkSession, "counts")
+    write_counts(count.count_kmers(r, 21, *BAND), path)
+    return read_counts(r.sparkSession, path)
+
+
+def _dumped(r: DataFrame) -> DataFrame:
+    path = new_path(r.sparkSession, "reads")
+    write_reads(r, path)
+    return r.sparkSession.read.text(path).select(F.col("value").alias("seq"))
+
+
+def _appended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reads in two parts, one behind the other."""
+    r = reads(spark, sf_dir)
+    return append_reads(r.where("rid % 2 = 0"), r.where("rid % 2 <> 0"))
+
+
+def _histogram_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = format_histogram(count.kmer_histogram(count.count_kmers(reads(spark, sf_dir), 31, *BAND)))
+    return spark.createDataFrame([(i, line) for i, line in enumerate(text.split("\n"))], "line int, text string")
+
+
+def _command(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The command line over the reads as a FASTA folder; what it prints and writes."""
+    path, out = new_path(spark, "fasta"), new_path(spark, "counts")
+    write_fasta(reads(spark, sf_dir), path)
+    cli.main([path, out, "-k", "31", "--min-count", "2", "--max-count", "50"], spark)
+    return read_counts(spark, out)
 
 
 def _wang(r: DataFrame) -> DataFrame:
@@ -68,11 +149,9 @@ def _scalars(r: DataFrame) -> DataFrame:
 
 
 def _prefix_ids(r: DataFrame) -> DataFrame:
-    """Reads numbered without gaps in the order of their ids: within ranges of ids, plus what the ranges before hold."""
-    ranged = r.select("rid", F.floor(F.col("rid") / 1000).alias("part"))
-    before = ranged.groupBy("part").agg(F.count("*").alias("n")).select("part", (F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("before"))
-    within = F.row_number().over(Window.partitionBy("part").orderBy("rid")) - 1
-    return ranged.withColumn("within", within).join(before, "part").select("rid", (F.col("before") + F.col("within")).cast("long").alias("ordinal"))
+    """Reads numbered without gaps in the order of their ids."""
+    found = numbered(r.select(F.col("rid").alias("order"), F.col("rid").alias("own")), ["order"])
+    return found.select(F.col("own").alias("rid"), F.col("rid").alias("ordinal"))
 
 
 def _owners(r: DataFrame) -> DataFrame:
@@ -81,21 +160,22 @@ def _owners(r: DataFrame) -> DataFrame:
 
 def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The texts as a stream, counted to its end."""
-    path, name = f"{sf_dir}/document[s].parquet", f"counts_{uuid.uuid4().hex}"  # a pattern may name a file or a folder
+    path, out = f"{sf_dir}/document[s].parquet", new_path(spark, "stream")  # a pattern may name a file or a folder
     stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
-    texts = stream.select(F.col("doc_id").alias("rid"), sequence.normalise(F.col("text"), "drop").alias("seq"))
-    query = streaming_counts(texts, 21).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return banded(spark.table(name), *BAND)
+    texts = stream.select(F.col("doc_id").alias("rid"), "text").repartition(spark.sparkContext.defaultParallelism)
+    texts = texts.select("rid", sequence.normalise(F.col("text"), "drop").alias("seq"))
+    append_counts(texts, 21, f"{out}/counts", f"{out}/checkpoint", availableNow=True).awaitTermination()
+    return appended_totals(spark, 21, f"{out}/counts", *BAND)
 
 
 def _forward(r: DataFrame) -> DataFrame:
-    return extract.kmers(count.spread(r), K).groupBy("kmer").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"))
+    return extract.kmers(r, K).groupBy("kmer").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"))
 
 
 def _roll(r: DataFrame) -> DataFrame:
-    """The first k-mer of a read rolled by the next base is its second."""
-    return extract.long_enough(r, K + 1).select("rid", sequence.roll(F.substr("seq", F.lit(1), F.lit(K)), F.substr("seq", F.lit(K + 1), F.lit(1))).alias("kmer"))
+    """Every k-mer but a read's first, rolled from the one before it by the next base."""
+    both = extract.kmers(r, K + 1, "both")
+    return both.select("rid", (F.col("pos") + 1).alias("pos"), sequence.roll(F.substr("both", F.lit(1), F.lit(K)), F.substr("both", F.lit(K + 1), F.lit(1))).alias("kmer"))
 
 
 def queries() -> dict[str, Query]:
@@ -103,15 +183,15 @@ def queries() -> dict[str, Query]:
     found |= {
         "text_count_k31": _counts(31, "text"),
         "forward_kmers": _over_reads(_forward),
-        "canonical_kmers": _over_reads(lambda r: extract.canonical_kmers(count.spread(r), 64)),
-        "mmers": _over_reads(lambda r: extract.mmers(count.spread(r), M).groupBy("mmer").agg(F.count("*").alias("n"))),
-        "canonical_mmers": _over_reads(lambda r: extract.canonical_mmers(count.spread(r), M).groupBy(extract.mmer_text(F.col("mmer")).alias("mmer")).agg(F.count("*").alias("n"))),
+        "canonical_kmers": _over_reads(lambda r: extract.canonical_kmers(r, 64)),
+        "mmers": _over_reads(lambda r: extract.mmers(r, M).groupBy("mmer").agg(F.count("*").alias("n"))),
+        "canonical_mmers": _over_reads(lambda r: extract.canonical_mmers(r, M).groupBy(extract.mmer_text(F.col("mmer")).alias("mmer")).agg(F.count("*").alias("n"))),
         "band_filter": _over_reads(lambda r: count.count_kmers(r, 21, 3, 5)),
         "histogram": _over_reads(lambda r: count.kmer_histogram(count.count_kmers(r, 11, *BAND))),
         "max_count": _over_reads(lambda r: count.max_count(count.count_kmers(r, 11, 1, 65535))),
         "surviving": _over_reads(lambda r: count.surviving(count.count_kmers(r, 31, *BAND))),
         "distinct_total": _over_reads(lambda r: count.distinct_total(r, 31)),
-        "partial_then_merge": _over_reads(lambda r: count.merge_counts(count.partial_counts(count.spread(r), 21, 7), *BAND)),
+        "partial_then_merge": _over_reads(lambda r: count.merge_counts(count.partial_counts(r, 21, 7), *BAND)),
         "occurrences": _over_reads(_flat_occurrences),
         "read_lengths": _over_reads(count.read_lengths),
         "totals": _over_reads(lambda r: count.totals(r, K)),
@@ -130,6 +210,24 @@ def queries() -> dict[str, Query]:
         "heavy_tasks": _over_reads(lambda r: minimizer.heavy_tasks(_sizes(r), TASKS, 1.2)),
         "round_robin": _over_reads(lambda r: minimizer.round_robin(_sizes(r), 5)),
         "murmur64": _over_reads(_hashes),
+        "kmer_hash_k31": _over_reads(_kmer_hashes(31)),
+        "kmer_hash_k64": _over_reads(_kmer_hashes(64)),
+        "kmer_hash_k95": _over_reads(_kmer_hashes(95)),
+        "superfast32": _over_reads(_superfast),
+        "bases_at": _over_reads(_bases_at),
+        "compared": _over_reads(_compared),
+        "raw_bytes": _over_reads(lambda r: r.select("rid", F.hex(sequence.encode_2bit("seq")).alias("data"))),
+        "lowest_count": _over_reads(lambda r: count.all_counts(r, 31).agg(F.min("cnt").alias("least"), (F.min("cnt") >= 1).alias("positive"))),
+        "fasta_scan": _over_reads(_fasta(False)),
+        "fasta_indexed": _over_reads(_fasta(True)),
+        "fasta_index": _over_reads(_index),
+        "count_files": _over_reads(_count_files),
+        "dump_reads": _over_reads(_dumped),
+        "append_reads": _appended,
+        "histogram_text": _histogram_text,
+        "command_line": _command,
+        "task_bytes": _over_reads(lambda r: minimizer.task_bytes(_supermers(r))),
+        "balanced_dispatch": _over_reads(lambda r: minimizer.balanced(minimizer.task_bytes(_supermers(r)), 5)),
         "wang_hash": _over_reads(_wang),
         "contiguous_ranges": _over_reads(lambda r: ranges.contiguous_ranges(r, 7)),
         "range_owners": _over_reads(_owners),
@@ -165,7 +263,7 @@ def oracle_sql() -> dict[str, str]:
         "normalise": f"{with_reads} SELECT rid, seq FROM reads",
         "encode_round_trip": f"{with_reads} SELECT rid, seq FROM reads",
         "sequence_scalars": f"{with_reads} SELECT rid, (length(seq) + 3) // 4 AS n_bytes, 4 * ((length(seq) + 3) // 4) - length(seq) AS padding, length(seq) // 4 + 1 AS supermer_bytes, (instr('ACGT', seq[1]) - 1)::INTEGER AS first_code, (4 - instr('ACGT', seq[-1]))::INTEGER AS first_rc, seq[1] AS first_base, greatest(length(seq) - {K - 1}, 0) AS n_kmers FROM reads",
-        "roll": f"{with_reads} SELECT rid, substr(seq, 2, {K}) AS kmer FROM reads WHERE length(seq) > {K}",
+        "roll": f"{with_reads}, {o.windows(K)} SELECT rid, pos, kmer FROM f WHERE pos > 0",
         "prefix_sum_ids": f"{with_reads} SELECT rid, row_number() OVER (ORDER BY rid) - 1 AS ordinal FROM reads",
         "minimizer": f"{o.minimizers(K, M)} SELECT rid, pos, {o.signed('h')} AS minimizer FROM z",
         "minimizer_task": f"{o.minimizers(K, M)} SELECT rid, (h % {TASKS}::UBIGINT)::INTEGER AS task, count(*) AS n FROM z GROUP BY 1, 2",
@@ -174,12 +272,32 @@ def oracle_sql() -> dict[str, str]:
         "task_sizes": f"{supers}{sizes} SELECT * FROM n",
         "heavy_tasks": f"{supers}{sizes} SELECT task, n_kmers, n_kmers * {TASKS} > 1.2 * sum(n_kmers) OVER () AS heavy FROM n",
         "round_robin": f"{supers}{sizes} SELECT task, task % 5 AS worker FROM n",
-        "murmur64": f"{with_reads}, {o.murmur(f'(SELECT rid, substr(seq, 1, {M}) AS mmer FROM reads WHERE length(seq) >= {M})', 'rid, mmer', 'mmer', M)} SELECT rid, mmer, {o.signed('h')} AS hash FROM hashed",
+        "murmur64": f"{with_reads}, {o.windows(M, 'mmer')}, {o.murmur('f', 'rid, pos', 'mmer', M)}, g AS (SELECT rid, {o.signed('h')} AS hash FROM hashed) SELECT rid, count(*) AS n, bit_xor(hash) AS mixed, min(hash) AS least, max(hash) AS largest FROM g GROUP BY 1",
+        "superfast32": f"{with_reads}, {o.windows(M, 'mmer')}, {o.superfast('f', 'rid', 'mmer', M)} SELECT rid, count(*) AS n, sum(h)::BIGINT AS total, bit_xor(h::BIGINT) AS mixed FROM fast GROUP BY 1",
+        "bases_at": f"{with_reads}, b AS (SELECT rid, seq, unnest(range(1, length(seq) + 1)) AS i FROM reads) SELECT rid, count(*) AS n, sum((instr('ACGT', substr(seq, i, 1)) - 1) * i)::BIGINT AS forward, sum((instr('ACGT', substr({o.rc('seq')}, i, 1)) - 1) * i)::BIGINT AS back FROM (SELECT * FROM b) GROUP BY 1",
+        "compared": f"{with_reads} SELECT rid, seq = {o.rc('seq')} AS same, seq < {o.rc('seq')} AS less FROM reads",
+        "raw_bytes": f"{with_reads}, p AS (SELECT rid, rpad(translate(seq, 'ACGT', '0123'), (((length(seq) + 3) // 4) * 4)::INTEGER, '0') AS d FROM reads) SELECT rid, array_to_string(list_transform(range(1, length(d) + 1, 2), lambda i: substr('0123456789ABCDEF', 4 * substr(d, i, 1)::INTEGER + substr(d, i + 1, 1)::INTEGER + 1, 1)), '') AS data FROM p",
+        "lowest_count": f"{o.counts(31, 1, 10**15)} SELECT min(cnt) AS least, min(cnt) >= 1 AS positive FROM c",
+        "fasta_scan": f"{with_reads} SELECT rid, seq FROM reads",
+        "fasta_indexed": f"{with_reads} SELECT rid, seq FROM reads",
+        "fasta_index": f"{with_reads} SELECT rid, length(seq) AS len, least(length(seq), 70) AS bases, least(length(seq), 70) + 1 AS width FROM reads",
+        "dump_reads": f"{with_reads} SELECT seq FROM reads",
+        "append_reads": f"{with_reads}, s AS (SELECT rid, seq, row_number() OVER (ORDER BY rid % 2 <> 0, rid) - 1 AS n FROM reads) SELECT n AS rid, seq FROM s",
+        "histogram_text": f"{o.counts(31, *BAND)}, g AS (SELECT cnt, count(*) AS n FROM c GROUP BY 1) SELECT 0 AS line, '#count' || chr(9) || 'numkmers' AS text UNION ALL SELECT (row_number() OVER (ORDER BY cnt))::INTEGER, cnt || chr(9) || n FROM g",
+        "task_bytes": f"{supers} SELECT task, sum(len // 4 + 5)::BIGINT AS n_bytes FROM s GROUP BY 1",
         "top_kmers": f"{o.counts(21)} SELECT kmer, cnt FROM c ORDER BY cnt DESC, kmer LIMIT 100",
     }
-    parts = f"{with_reads}, p AS (SELECT rid, length(seq) AS len, least(floor((sum(length(seq)) OVER (ORDER BY rid) - length(seq))::DOUBLE * 7 / sum(length(seq)) OVER ()), 6)::INTEGER AS part FROM reads)"
-    found["contiguous_ranges"] = f"{parts} SELECT part, min(rid) AS first, max(rid) AS last, sum(len)::BIGINT AS n_bases FROM p GROUP BY 1"
-    found["range_owners"] = f"{parts} SELECT rid, part FROM p"
+    # a part's first read is the first, after that of the part before it, that brings that part to the mean
+    greedy = f"WITH RECURSIVE {o.READS}, p AS (SELECT rid, length(seq) AS len, sum(length(seq)) OVER (ORDER BY rid) AS upto, sum(length(seq)) OVER () / 7.0 AS mean FROM reads), b AS (SELECT 0 AS part, (SELECT min(rid) FROM p) AS first, 0::HUGEINT AS before UNION ALL SELECT part + 1, min(rid), min(upto - len) FROM b JOIN p ON rid > first AND upto - before >= mean WHERE part < 6 GROUP BY part)"
+    owned = f"{greedy}, w AS (SELECT rid, len, max(part)::INTEGER AS part FROM p JOIN b ON rid >= first GROUP BY 1, 2)"
+    found["contiguous_ranges"] = f"{owned} SELECT part, min(rid) AS first, max(rid) AS last, sum(len)::BIGINT AS n_bases FROM w GROUP BY 1"
+    found["range_owners"] = f"{owned} SELECT rid, part FROM w"
+    for k in (31, 64, 95):
+        hashes = o.murmur(f"(SELECT rid, pos, {c('kmer')} AS kmer FROM f)", "rid, pos", "kmer", k)
+        owner = "((h::UHUGEINT * 7::UHUGEINT) >> 64)::INTEGER"
+        found[f"kmer_hash_k{k}"] = f"{with_reads}, {o.windows(k)}, {hashes}, g AS (SELECT rid, {owner} AS owner, h & 4294967295::UBIGINT AS low, {o.signed('h')} AS one, {o.signed('h2')} AS two FROM hashed) SELECT rid, owner, count(*) AS n, bit_xor(one) AS mixed, bit_xor(two) AS second, sum(low)::BIGINT AS low FROM g GROUP BY 1, 2"
+    found["count_files"] = found["canonical_count_k21"]
+    found["command_line"] = found["canonical_count_k31"]
     found["streaming_count_k21"] = found["canonical_count_k21"]
     found["wang_hash"] = _wang_sql(with_reads)
     return found

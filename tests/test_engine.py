@@ -1,13 +1,15 @@
-import collections
 import os
+import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from helixspark import cli
 from helixspark.operators import count, extract, minimizer
 from helixspark.sources import fasta
-from helixspark.streaming.counts import banded, streaming_counts
+from helixspark.streaming.counts import append_counts, appended_totals, banded, streaming_counts
 
 RAW = ["ACGTACGTAC", "acgtnACGTT", "GTTTT", "ACG"]
 K5 = {"AAAAC": [(2, 0)], "AACGT": [(1, 4), (1, 5)], "ACGTA": [(0, 0), (0, 3), (0, 4), (1, 0)], "CGTAA": [(1, 1)], "CGTAC": [(0, 1), (0, 2), (0, 5)], "CGTTA": [(1, 3)], "GTAAC": [(1, 2)]}
@@ -38,10 +40,42 @@ def test_methods_agree(spark, k):
 
 def test_long_reads_are_cut_without_loss(spark, monkeypatch):
     monkeypatch.setattr(extract, "_SLICE", 10)
-    seq = "ACGTTGCAGATTACAGGCCA"
-    expected = collections.Counter(min(w, w[::-1].translate(str.maketrans("ACGT", "TGCA"))) for w in (seq[i : i + 5] for i in range(16)))
-    pieces = [tuple(row) for codes in extract.slices(iter([seq]), 5) for row in extract.canonical_windows(codes, 5).tolist()]
-    assert sorted(collections.Counter(pieces).values()) == sorted(expected.values())
+    seqs = ["ACGTTGCAGATTACAGGCCA", "ACG", None, "", "GATTACAGATTACAGA"]
+    expected = [(i, p, min(w, w[::-1].translate(str.maketrans("ACGT", "TGCA")))) for i, s in enumerate(seqs) for p in range(len(s or "") - 4) for w in [s[p : p + 5]]]
+    rows = [(i, p, "".join("ACGT"[int(w) >> 2 * j & 3] for j in range(4, -1, -1))) for codes, start, row, pos in extract.slices(pa.array(seqs), 5) for i, p, (w,) in zip(row.tolist(), pos.tolist(), extract.canonical_windows(codes, 5)[start], strict=True)]
+    assert rows == expected
+
+
+@pytest.mark.parametrize("step", [7, 64, 1 << 20])
+def test_slices_do_not_cut_supermers(spark, monkeypatch, step):
+    draw = random.Random(3)
+    seqs = ["".join(draw.choice("ACGT") for _ in range(draw.randint(0, 300))) for _ in range(40)] + ["A" * 500]
+    whole = minimizer._starts
+    monkeypatch.setattr(extract, "_SLICE", step)
+    monkeypatch.setattr(minimizer, "_PART_BASES", 1000)
+    row, task = [], []
+    for i, s in enumerate(seqs):
+        found = minimizer.read_minimizers(s, 9, 4) % np.uint64(5)
+        row += [i] * len(found)
+        task += found.astype(int).tolist()
+    starts = whole(np.array(row), np.array(task), 20 - 9 + 1)
+    # the same function as tasks run it, over slices of a batch
+    df = spark.createDataFrame(list(enumerate(seqs)), "rid long, seq string").coalesce(1)
+    held = []
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, run, schema: held.extend(run(iter(pa.RecordBatch.from_pandas(self.toPandas()) for _ in range(1)))) or df)
+    minimizer.supermers(df, 9, 4, 5, 20)
+    got = [(r["rid"], r["pos"], r["len"], r["task"], r["seq"]) for b in held for r in b.to_pylist()]
+    first = {i: row.index(i) for i in set(row)}
+    ends = [*starts[1:], len(row)]
+    assert got == [(row[a], int(a - first[row[a]]), int(b - a + 8), task[a], seqs[row[a]][a - first[row[a]] : b - first[row[a]] + 8]) for a, b in zip(starts.tolist(), ends, strict=True)]
+
+
+def test_frequent_kmers_are_not_sent(spark):
+    df = spark.createDataFrame([(0, "A" * 400 + "C" + "ACGTTGCA" * 3), (1, "ACGTTGCA")], "rid long, seq string")
+    sent = extract.packed_occurrences(df.coalesce(1), 5, 10)
+    assert sent.count() == extract.packed_occurrences(df, 5).count() - 396
+    both = [{tuple(map(str, r)) for r in count.count_kmers(df, 5, 2, 10, with_positions=True, method=m).collect()} for m in ("packed", "text")]
+    assert both[0] == both[1] and both[0]
 
 
 def test_histogram_totals_and_empty_input(spark, reads):
@@ -73,14 +107,16 @@ def test_minimizers_are_strand_symmetric():
     assert [hex(int(x)) for x in minimizer.read_minimizers("ACGTAACGTT", 5, 3)] == ["0x1a23ab22a9a17e7a"] * 3 + ["0x6337af9674d0ba30"] * 3
 
 
-def test_balanced_dispatch():
-    place = minimizer.balanced({0: 10, 1: 9, 2: 3, 3: 3, 4: 2, 5: 1}, 2)
-    loads = collections.Counter()
-    for task, worker in place.items():
-        loads[worker] += [10, 9, 3, 3, 2, 1][task]
-    assert len(place) == 6 and max(loads.values()) <= 14 * 1.5
+def test_balanced_dispatch(spark):
+    tasks = spark.createDataFrame([(0, 10, 1), (1, 9, 1), (2, 3, 2), (3, 3, 1), (4, 2, 1), (5, 1, 1)], "task int, n_bytes long, coe long")
+    # the largest two first; the others from small to large, from the last worker back, under 14 times the multiple
+    assert {tuple(r) for r in minimizer.balanced(tasks, 2).collect()} == {(0, 0), (1, 1), (5, 1), (4, 0), (2, 1), (3, 0)}
+    # the size that is looked at is the plain one, but a weight of two counts twice once it is placed
+    assert {tuple(r) for r in minimizer.balanced(tasks, 2, weight_col="coe").collect()} == {(0, 0), (1, 1), (5, 1), (4, 0), (2, 1), (3, 0)}
     with pytest.raises(ValueError):
-        minimizer.balanced({i: 10 for i in range(5)}, 4)
+        minimizer.balanced(spark.createDataFrame([(i, 10) for i in range(5)], "task int, n_bytes long"), 4)
+    assert minimizer.balanced(tasks.limit(0), 3).count() == 0
+    assert minimizer.hash_owner(np.array([0, 1 << 63, (1 << 64) - 1], np.uint64), 7).tolist() == [0, 3, 6]
 
 
 def test_fasta_round_trip(spark, tmp_path, capsys):
@@ -93,6 +129,7 @@ def test_fasta_round_trip(spark, tmp_path, capsys):
     expected = [(0, "r0", "ACGTACGTAC"), (1, "r1", "ACGTAACGTT"), (2, "r2", "GTTTT"), (3, "r3", "ACG")]
     assert sorted(tuple(r) for r in fasta.read_fasta(spark, path).collect()) == expected
     assert sorted(tuple(r) for r in fasta.read_fasta_indexed(spark, path).collect()) == expected
+    assert [tuple(r) for r in fasta.index_fasta(spark, path).collect()] == [("r0", 10, 10, 7, 8), ("r1", 10, 26, 10, 11), ("r2", 5, 41, 5, 6), ("r3", 3, 52, 3, 5)]
     assert [(r.rid, r.name, r.len) for r in fasta.read_fai(spark, path + ".fai").orderBy("rid").collect()][1] == (1, "r1", 10)
     out = str(tmp_path / "out")
     printed = cli.main([path, out, "-k", "5", "--min-count", "2", "--max-count", "3"], spark)
@@ -117,13 +154,44 @@ def test_many_splits_keep_file_order(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
+def test_an_index_goes_by_bytes_not_by_names(spark, tmp_path):
+    path = str(tmp_path / "in.fa")
+    draw = random.Random(5)
+    seqs = ["".join(draw.choice("ACGT") for _ in range(draw.randint(0, 900))) for _ in range(60)]
+    with open(path, "w") as f:
+        f.writelines(f">same {i}\n" + "".join(s[a : a + 50] + "\n" for a in range(0, len(s), 50)) for i, s in enumerate(seqs))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        index = fasta.index_fasta(spark, path)
+        assert [r.len for r in index.collect()] == [len(s) for s in seqs]
+        with open(path, "rb") as f:
+            data = f.read()
+        assert all(data[r.pos - 1 : r.pos] == b"\n" and data[r.pos : r.pos + 20].split(b"\n")[0].decode() == s[:20] for r, s in zip(index.collect(), seqs, strict=True))
+        fasta.write_fai(index.where("len % 2 = 0").coalesce(1), path + ".fai")
+        found = fasta.read_fasta_indexed(spark, path)
+        assert sorted(r.seq for r in found.collect()) == sorted(s for s in seqs if len(s) % 2 == 0)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_appended_reads_are_numbered_on(spark):
+    a, b = (spark.createDataFrame([(i, s * (i + 1)) for i in range(n)], "rid long, seq string") for s, n in (("A", 5), ("C", 4)))
+    assert sorted(tuple(r) for r in fasta.append_reads(a, b).collect()) == [*((i, "A" * (i + 1)) for i in range(5)), *((5 + i, "C" * (i + 1)) for i in range(4))]
+
+
 def test_stream_equals_batch(spark, reads, tmp_path):
     source = str(tmp_path / "reads")
     reads.repartition(3).write.parquet(source)
     stream = spark.readStream.schema(reads.schema).option("maxFilesPerTrigger", 1).parquet(source)
     query = streaming_counts(stream, 5).writeStream.outputMode("complete").format("memory").queryName("streamed").option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).start()
     query.awaitTermination()
-    assert {tuple(r) for r in banded(spark.table("streamed"), 2, 65535).collect()} == {tuple(r) for r in count.count_kmers(reads, 5, 2, 65535).collect()}
+    expected = {tuple(r) for r in count.count_kmers(reads, 5, 2, 65535).collect()}
+    assert {tuple(r) for r in banded(spark.table("streamed"), 2, 65535).collect()} == expected
+    out = str(tmp_path / "appended")
+    for _ in range(2):  # a second run finds nothing new
+        append_counts(stream, 5, out, str(tmp_path / "second"), availableNow=True).awaitTermination()
+        assert {tuple(r) for r in appended_totals(spark, 5, out, 2).collect()} == expected
 
 
 def test_entry_contract(spark):
@@ -134,13 +202,26 @@ def test_entry_contract(spark):
         assert entry.entry(spark).count() > 0
 
 
-def test_contiguous_ranges(spark):
+def test_contiguous_ranges(spark, monkeypatch):
     from helixspark.operators import ranges
 
-    df = spark.createDataFrame([(i, "A" * n) for i, n in enumerate([5, 1, 1, 1, 8, 2, 2])], "rid long, seq string")
-    found = ranges.contiguous_ranges(df, 2)
-    assert {tuple(r) for r in found.collect()} == {(0, 0, 4, 16), (1, 5, 6, 4)}
-    assert {tuple(r) for r in ranges.owners(df.select("rid"), found).collect()} == {(i, int(i > 4)) for i in range(7)}
+    def greedy(sizes, parts):
+        out, at = [], 0
+        while at < len(sizes):
+            end = at + 1
+            while end < len(sizes) and (len(out) == parts - 1 or sum(sizes[at : end + 1]) < sum(sizes) / parts):
+                end += 1
+            out.append((len(out), 3 * at, 3 * (end - 1), sum(sizes[at:end])))
+            at = end
+        return out
+
+    draw = random.Random(2)
+    monkeypatch.setattr(ranges, "_READS", 3)
+    for sizes, parts in [([5, 1, 1, 1, 8, 2, 2], 2), ([9], 3), ([1, 1], 5), ([], 2), ([draw.choice([1, 2, 30]) for _ in range(40)], 4)]:
+        df = spark.createDataFrame([(3 * i, "A" * n) for i, n in enumerate(sizes)], "rid long, seq string")
+        found = ranges.contiguous_ranges(df, parts, steps=6)
+        assert sorted(tuple(r) for r in found.collect()) == greedy(sizes, parts)
+        assert {tuple(r) for r in ranges.owners(df.select("rid"), found).collect()} == {(r, p) for p, a, b, _ in greedy(sizes, parts) for r in range(a, b + 1, 3)}
 
 
 def test_diagnostics():

@@ -1,11 +1,12 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from helixspark.config import KmerConfig
-from helixspark.functions import hashing, sequence
+from helixspark.functions import arrays, hashing, sequence
 from helixspark.functions.sequence import CODES
 from helixspark.operators.extract import canonical_windows
 
@@ -28,7 +29,39 @@ def test_wang_golden_and_inverse():
 def test_long_keys_hash_all_words():
     a, b = codes("A" * 95), codes("A" * 94 + "C")
     assert hashing.murmur64(hashing.left_aligned(a[None]))[0] != hashing.murmur64(hashing.left_aligned(b[None]))[0]
-    assert hashing.superfast32(b"") == 0 and hashing.superfast32(b"abcde") != hashing.superfast32(b"abcdf")
+
+
+def superfast(data):
+    """The hash a byte at a time, in Python's integers."""
+    h, cut = len(data), lambda x: x & 0xFFFFFFFF
+    for i in range(0, len(data) - 3, 4):
+        h = cut(h + int.from_bytes(data[i : i + 2], "little"))
+        h = cut(h << 16) ^ int.from_bytes(data[i + 2 : i + 4], "little") << 11 ^ h
+        h = cut(h + (cut(h) >> 11))
+    rest = data[len(data) // 4 * 4 :]
+    alone = lambda b: cut(b - 256 if b > 127 else b)
+    if rest:
+        h = cut(h + (alone(rest[0]) if len(rest) == 1 else int.from_bytes(rest[:2], "little")))
+        h ^= cut(h << {1: 10, 2: 11, 3: 16}[len(rest)])
+        if len(rest) == 3:
+            h ^= cut(alone(rest[2]) << 18)
+        h = cut(h + (h >> {1: 1, 2: 17, 3: 11}[len(rest)]))
+    for left, right in ((3, 5), (4, 17), (25, 6)):
+        h ^= cut(h << left)
+        h = cut(h + (h >> right))
+    return h if data else 0
+
+
+@given(st.lists(st.binary(max_size=23), max_size=8))
+def test_superfast_of_columns(rows):
+    assert hashing.superfast32(pa.array([*rows, None], pa.binary())).tolist() == [*map(superfast, rows), 0]
+
+
+@given(st.lists(st.one_of(st.none(), st.text("ACGT", max_size=30)), max_size=6))
+def test_joined_and_back(rows):
+    column = pa.array(["GG", *rows], pa.string())[1:]
+    data, offsets = arrays.joined(column)
+    assert arrays.rows_of(data, offsets, pa.string(), ~np.asarray(column.is_null())).to_pylist() == rows
 
 
 @given(st.text("ACGT", min_size=3, max_size=120), st.integers(3, 95))
