@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixspark.llm.storage import new_path
+from helixspark.llm.storage import new_path, stored
 
 ID_PREFIX = "urn:capture:"
 RECORDS_PER_FILE = 3000
@@ -53,25 +53,29 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     and the others are revisits of it; rows with smaller payloads are all responses. Null html is an empty
     payload, a null url the empty URI, line ends in a URL become %0D and %0A, a null id is written as an empty
     id and never is the response if another row has the same payload. Rows that repeat an id and payload have
-    the same role; each gets a record of its own. Other columns are ignored. An empty table gives no record.
+    the same role; each gets a record of its own, under the same record id. A revisit's WARC-Refers-To is the record id of its
+    response. Other columns are ignored. An empty table gives no record.
     """
     base = pages.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{url_col}`").cast("string"), F.lit("")).alias("url"), F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit("")).alias("body"))
-    base = base.withColumns({"digest": base32_sha1(F.col("body").cast("binary")), "bytes": F.octet_length("body")})
-    small = base.select("id", "digest", "bytes")
+    base = base.withColumns({"digest": base32_sha1(F.col("body").cast("binary")), "bytes": F.octet_length("body"), "mix": F.xxhash64("body")})
+    # payloads are equal by SHA-1, length and another hash, as pairs of different contents with one SHA-1 are known
+    same = ["digest", "bytes", "mix"]
+    small = base.select("id", *same).where(F.col("bytes") >= min_revisit_bytes)
     # the payload itself never moves by digest: a payload that a third of all pages share would meet in one task
-    first = small.where(F.col("bytes") >= min_revisit_bytes).groupBy("digest").agg(F.max("id").alias("first"))
-    roles = small.where(F.col("bytes") >= min_revisit_bytes).join(first, "digest").where(~F.col("id").eqNullSafe(F.col("first"))).select("id", "digest", "first").distinct()
-    captures = base.join(roles.select(F.col("id").alias("rid"), F.col("digest").alias("rdigest"), "first"), F.col("id").eqNullSafe(F.col("rid")) & (F.col("digest") == F.col("rdigest")), "left")
-    captures = captures.withColumn("no", F.monotonically_increasing_id())
+    first = stored(small.groupBy(*same).agg(F.max("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "first")
+    roles = small.join(first, same).where(~F.col("id").eqNullSafe(F.col("first"))).select("id", *same, "first").distinct()
+    roles = roles.select(F.col("id").alias("rid"), *[F.col(c).alias(f"r{c}") for c in same], "first")
+    captures = base.join(roles, [F.col("id").eqNullSafe(F.col("rid")), *(F.col(c) == F.col(f"r{c}") for c in same)], "left")
     page = F.coalesce(F.col("id").cast("string"), F.lit(""))
-    name = lambda kind: F.concat(F.lit(f"{ID_PREFIX}"), page, F.lit(":"), F.col("no").cast("string"), F.lit(f":{kind}"))
+    named = lambda of, kind: F.concat(F.lit(ID_PREFIX), of, F.lit(":"), F.col("digest"), F.lit(":"), F.lower(F.hex("mix")), F.lit(f":{kind}"))
+    name = lambda kind: named(page, kind)
     revisit = F.col("first").isNotNull()
     url = F.replace(F.replace(F.col("url"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     status = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes").cast("string"), F.lit("\r\n\r\n"))
     response = _record(
         [
             ("WARC-Type", F.when(revisit, "revisit").otherwise("response")), ("WARC-Record-ID", _angled(name("response"))), ("WARC-Date", F.lit(date)), ("WARC-Target-URI", url),
-            ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))), ("WARC-Refers-To", F.when(revisit, _angled(F.concat(F.lit(ID_PREFIX), F.col("first").cast("string"))))),
+            ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))), ("WARC-Refers-To", F.when(revisit, _angled(named(F.col("first").cast("string"), "response")))),
             ("WARC-Profile", F.when(revisit, "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), ("Content-Type", F.lit("application/http; msgtype=response")),
         ],
         F.when(revisit, status).otherwise(F.concat(status, F.col("body"))),
@@ -191,15 +195,21 @@ def warc_round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """Write ``pages`` as archives, read them back, assemble, and report each page's record."""
     path = new_path(spark, "warc")
     write_warc(pages, path)
-    captures = assemble(read_warc(spark, path, with_payload=False))
+    # parsed once; the records' kinds are then read from a table
+    captures = assemble(stored(read_warc(spark, path, with_payload=False).drop("payload"), "records").withColumn("payload", F.lit(None).cast("binary")))
     number = lambda c: F.when(c != "", c).cast("long")
-    return captures.select(
-        number(F.col("metadata.fields")["page-id"]).alias("page_id"),
+    page = number(F.col("metadata.fields")["page-id"])
+    captures = captures.select(
+        "record_id",
+        page.alias("page_id"),
         F.coalesce(F.col("response.payload_bytes"), F.col("metadata.fields")["payload-bytes"].cast("long")).alias("payload_bytes"),
         F.col("response.payload_digest").alias("payload_digest"),
         F.col("response.warc_type").alias("record_type"),
-        number(F.regexp_extract(F.col("response.refers_to"), r"^urn:capture:(-?\d+)", 1)).alias("refers_to"),
+        F.col("response.refers_to").alias("target"),
     )
+    captures = stored(captures, "captures")
+    targets = captures.where("record_type = 'response'").groupBy(F.col("record_id").alias("target")).agg(F.max("page_id").alias("refers_to"))
+    return captures.join(targets, "target", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
