@@ -19,16 +19,31 @@ from pyspark.sql import functions as F
 
 from helixspark.llm.storage import hashed_sample, stored, trim
 
-# Identity terms by kind. Terms of one kind can stand for each other.
+# Identity terms by language and kind. Terms of one kind and language can stand for each other.
 IDENTITY_TERMS = {
-    "gender": ["women", "men", "girls", "boys"],
-    "orientation": ["gay", "lesbian", "straight", "bisexual"],
-    "origin": ["african", "arab", "asian", "european", "american", "latino", "mexican", "chinese", "turkish"],
-    "religion": ["muslim", "jewish", "christian", "hindu", "buddhist", "atheist"],
-    "colour": ["black", "white", "brown"],
-    "age": ["old", "young", "elderly", "teenage"],
-    "ability": ["deaf", "blind", "disabled", "autistic"],
-    "status": ["immigrant", "refugee", "homeless", "citizen"],
+    "en gender": ["women", "men", "girls", "boys"],
+    "en orientation": ["gay", "lesbian", "straight", "bisexual"],
+    "en origin": ["african", "arab", "asian", "european", "american", "latino", "mexican", "chinese", "turkish"],
+    "en religion": ["muslim", "jewish", "christian", "hindu", "buddhist", "atheist"],
+    "en colour": ["black", "white", "brown"],
+    "en age": ["old", "young", "elderly", "teenage"],
+    "en ability": ["deaf", "blind", "disabled", "autistic"],
+    "en status": ["immigrant", "refugee", "homeless", "citizen"],
+    "de gender": ["frauen", "männer", "mädchen", "jungen"],
+    "de orientation": ["schwule", "lesben", "heterosexuelle", "bisexuelle"],
+    "de origin": ["afrikaner", "araber", "asiaten", "europäer", "türken", "polen"],
+    "de religion": ["muslime", "juden", "christen", "hindus", "buddhisten", "atheisten"],
+    "de status": ["einwanderer", "flüchtlinge", "obdachlose", "bürger"],
+    "es gender": ["mujeres", "hombres", "niñas", "niños"],
+    "es orientation": ["gays", "lesbianas", "heterosexuales", "bisexuales"],
+    "es origin": ["africanos", "árabes", "asiáticos", "europeos", "mexicanos", "chinos"],
+    "es religion": ["musulmanes", "judíos", "cristianos", "hindúes", "budistas", "ateos"],
+    "es status": ["inmigrantes", "refugiados", "indigentes", "ciudadanos"],
+    "fr gender": ["femmes", "hommes", "filles", "garçons"],
+    "fr orientation": ["homosexuels", "lesbiennes", "hétérosexuels", "bisexuels"],
+    "fr origin": ["africains", "arabes", "asiatiques", "européens", "algériens", "chinois"],
+    "fr religion": ["musulmans", "juifs", "chrétiens", "hindous", "bouddhistes", "athées"],
+    "fr status": ["immigrés", "réfugiés", "clochards", "citoyens"],
 }
 
 _WORD = re.compile(r"\w+")
@@ -147,9 +162,9 @@ def fit_rows(sample: list[tuple[bytes, list[str], int]], features: list[str], sw
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
     """At most ``rows`` labelled rows that are not held out, those with the smallest hash of their id: doc_id, text, toxic.
 
-    Where a document has several labels, toxic wins; rows without a label count as none.
+    A label above 0 is toxic, others are not. Where a document has several labels, toxic wins; a null label or id counts as none.
     """
-    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
+    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
     known = stored(known.where(~held_out(F.col("doc_id"))), "labels")
     known = hashed_sample(known, F.col("doc_id"), rows, known.count())
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -157,7 +172,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
 
 
 def held_out(doc_id):
-    return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
+    """By the crc32 of the id as text; a null id is not held out."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def selected_features(sample: DataFrame, count: int, min_rows: int = 5) -> list[str]:
@@ -185,7 +201,11 @@ def selected_features(sample: DataFrame, count: int, min_rows: int = 5) -> list[
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, features: int = 4096, **options) -> Model:
-    """Fit on a sample of at most ``sample_rows`` labelled rows; the driver holds only their selected features."""
+    """Fit on a sample of at most ``sample_rows`` labelled rows; the driver holds only their selected features.
+
+    Null texts count as empty ones. Documents that repeat an id are each a row of the sample; rows and labels without an id, and
+    labels without a document, are left out. Where the sample is empty or has one label only, every score is the share of toxic rows.
+    """
     sample = stored(labelled_sample(docs, labels, sample_rows), "sample")
     chosen = selected_features(sample, features)
     shape = Model(_numbered(chosen), np.zeros(0), 0.0)
