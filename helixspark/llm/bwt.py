@@ -14,19 +14,22 @@ import numpy as np
 
 def transform(strings: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """The transform of a shard, and the place (in the concatenated strings) of each rotation in order."""
-    if not strings:
+    return transform_flat(np.concatenate([np.zeros(0, np.int64), *strings]).astype(np.int64), np.fromiter(map(len, strings), np.int64, len(strings)))
+
+
+def transform_flat(flat: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As transform(), of strings that stand one after another."""
+    if not len(flat):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    flat = np.concatenate(strings).astype(np.int64)
-    length = np.fromiter(map(len, strings), np.int64, len(strings))
     first = np.repeat(np.cumsum(length) - length, length)
     size = np.repeat(length, length)
     within = np.arange(len(flat)) - first
-    rank = np.unique(flat, return_inverse=True)[1].astype(np.int64)
+    rank = flat if int(flat.max()) < 1 << 31 else _ranked(flat)  # any order of the symbols will do, if it is the same for all shards
     step = 1
     while step < int(length.max()):  # doubling: ranks by twice as many symbols
-        after = rank[first + (within + step) % size]
-        pair = rank * (int(after.max()) + 1) + after
-        found = np.unique(pair, return_inverse=True)[1].astype(np.int64)
+        after = within + step
+        after = rank[first + (after % size)]
+        found = _ranked(rank * (int(after.max()) + 1) + after)
         done = int(found.max()) == int(rank.max())
         rank = found
         if done:
@@ -36,13 +39,31 @@ def transform(strings: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return flat[first[order] + (within[order] - 1) % size[order]], order
 
 
+def _ranked(values: np.ndarray) -> np.ndarray:
+    order = np.argsort(values)
+    edge = np.append(False, values[order][1:] != values[order][:-1])
+    rank = np.empty(len(values), np.int64)
+    rank[order] = np.cumsum(edge)
+    return rank
+
+
+def _stable(values: np.ndarray) -> np.ndarray:
+    """The stable order of non-negative numbers, by 16 bits at a time, which numpy sorts by counting."""
+    order = np.argsort((values & 0xFFFF).astype(np.uint16), kind="stable")
+    high = values >> 16
+    while high.any():
+        order = order[np.argsort((high[order] & 0xFFFF).astype(np.uint16), kind="stable")]
+        high = high >> 16
+    return order
+
+
 def merged(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """The interleave after ``depth`` passes, and the common prefix of each place with the one before, ``depth`` at most.
 
     The places of one shard keep their order, so the i-th place of a shard in the interleave is its i-th rotation.
     """
     sizes = [len(t) for t in transforms]
-    shard = np.repeat(np.arange(len(transforms)), sizes)
+    shard = np.repeat(np.arange(len(transforms), dtype=np.uint16), sizes)
     block = np.zeros(len(shard), np.int64)  # of places whose first symbols agree so far
     common = np.full(len(shard), depth, np.int64)
     common[:1] = 0
@@ -53,7 +74,7 @@ def merged(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.nda
         place = np.empty(len(shard), np.int64)
         place[by_shard] = np.arange(len(shard))
         symbol = flat[place]
-        order = np.argsort(symbol, kind="stable")
+        order = _stable(symbol)
         symbol, block, shard = symbol[order], block[order], shard[order]
         edge = np.append(True, (symbol[1:] != symbol[:-1]) | (block[1:] != block[:-1])) if len(shard) else np.zeros(0, bool)
         common[edge & (common == depth)] = k
@@ -63,14 +84,29 @@ def merged(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.nda
 
 def repeated(strings: list[np.ndarray], shards: int, depth: int) -> np.ndarray:
     """Which strings share ``depth`` symbols in a row with a rotation elsewhere: those in an interval of common prefixes."""
-    bounds = np.linspace(0, len(strings), min(shards, max(1, len(strings))) + 1).astype(int)
-    made = [transform(strings[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
-    shard, common = merged([t for t, _ in made], depth)
+    length = np.fromiter(map(len, strings), np.int64, len(strings))
+    flat = np.concatenate([np.zeros(0, np.int64), *strings]).astype(np.int64)
+    own = np.arange(len(strings)) * min(shards, max(1, len(strings))) // max(1, len(strings))
+    out = np.zeros(len(strings), bool)
+    out[np.repeat(np.arange(len(strings)), length)[repeated_places(flat, length, own, depth)]] = True
+    return out
+
+
+def repeated_places(flat: np.ndarray, length: np.ndarray, shard_of: np.ndarray, depth: int) -> np.ndarray:
+    """Of strings that stand one after another, whether the ``depth`` symbols at each place stand elsewhere too.
+
+    ``shard_of`` has the shard of each string, ascending. Each shard has its transform; these are merged, and only the intervals
+    of common prefixes that the merge derives say what is repeated.
+    """
+    made = []
+    edges = np.flatnonzero(np.append(True, np.diff(shard_of) != 0)) if len(shard_of) else np.zeros(0, np.int64)
+    starts = np.append(np.cumsum(length) - length, len(flat))
+    for a, b in zip(edges, [*edges[1:], len(shard_of)], strict=False):
+        made.append((int(starts[a]), *transform_flat(flat[starts[a] : starts[b]], length[a:b])))
+    shard, common = merged([t for _, t, _ in made], depth)
     inside = common >= depth
     inside = inside | np.append(inside[1:], False)
-    out = np.zeros(len(strings), bool)
-    for i, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
-        length = np.fromiter(map(len, strings[a:b]), np.int64, b - a)
-        owner = np.repeat(np.arange(a, b), length)
-        out[owner[made[i][1][inside[shard == i]]]] = True
+    out = np.zeros(len(flat), bool)
+    for i, (start, _, order) in enumerate(made):
+        out[start + order[inside[shard == i]]] = True
     return out

@@ -5,13 +5,15 @@ Shards refine the order of their suffixes by themselves, and only what may agree
 1. Of each window the gram of 32 bytes with the least hash is its anchor; equal windows have equal anchors. A run of
    windows with one anchor is a segment. Anchors that occur at one place of the corpus end here.
 2. Equal segments are counted by name, whatever their number; all windows of a segment that occurs twice are repeated.
-3. Different segments with one anchor meet in a bucket. There the segments are cut into phrases at places that depend on
-   their bytes, shards of them get a suffix array and its Burrows-Wheeler transform, and the transforms are merged by
-   refining their interleave (see bwt.py). Intervals with a common prefix of three phrases hold every pair
-   of segments with a window in common; the windows of those are compared to the byte.
+3. Different segments with one anchor meet in a bucket; the map tasks that they come from are its shards. Each shard gets
+   suffix arrays and their Burrows-Wheeler transforms, and the transforms are merged by refining their interleave (see
+   bwt.py), first of phrases cut at places that depend on the bytes, which leaves out segments that share no window with
+   another, then of blocks that are compared to the byte. A window is repeated if it lies in an interval of the merge with a
+   common prefix of ``window`` bytes.
 
 Only one copy of a segment's bytes leaves a task, and a segment that many rows hold is one row for each task. Anchors
-with more different segments than ``bucket_segments`` are not brought together: their windows are counted by name.
+with more different segments than ``bucket_segments`` are not brought together: their windows are counted by name, a hash of
+64 bits. A segment's name is one too, beside its anchor.
 """
 
 from __future__ import annotations
@@ -20,17 +22,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixspark.llm import bwt
 from helixspark.llm.jaccard import _BASE, _INVERSE, _powers, mixed
-from helixspark.llm.storage import parts, shuffle_width, stored
+from helixspark.llm.storage import parts, shuffle_width, stored, trim
 
 WINDOW = 400
 GRAM = 32
-BUCKET_SEGMENTS = 20_000
+BUCKET_SEGMENTS = 5_000
 _PART_BYTES = 4 << 20
+_MEET_BYTES = 1 << 20
 _CODES = mixed((np.arange(256, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -95,26 +99,57 @@ def phrase_strings(blobs: list[np.ndarray], rolling: Rolling, offset: np.ndarray
     return [np.append(x, 0) for x in np.split(names, np.searchsorted(cut, offset[1:]))]
 
 
-def repeated_starts(blobs: list[np.ndarray], window: int, gram: int, shards: int = 8) -> list[np.ndarray]:
-    """Of each blob, whether the window at each start occurs elsewhere in the blobs.
+def block_names(data: np.ndarray, rolling: Rolling, at: np.ndarray, block: int) -> np.ndarray:
+    """A number from 1 for the ``block`` bytes at each place, the same for the same bytes: named by hash, then compared with the name's first bearer, to the byte."""
+    hashes = rolling.of(at, np.full(len(at), block))
+    found, bearer, name = np.unique(hashes, return_index=True, return_inverse=True)
+    other = at[bearer][name]
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    words = np.lib.stride_tricks.as_strided(padded, (len(data) + 1, 8), (1, 1)).copy().view(np.uint64).ravel() if block >= 8 else padded
+    equal = np.ones(len(at), bool)
+    for i in [*range(0, block - 7, 8), block - 8] if block >= 8 else range(block):
+        equal &= words[at + i] == words[other + i]
+    if not equal.all():  # two contents under one hash: by content
+        name = np.unique(np.stack([data[at + i] for i in range(block)], axis=1), axis=0, return_inverse=True)[1].ravel()
+    return name + 1
 
-    Shards of the blobs have their phrases' Burrows-Wheeler transforms merged; blobs in an interval of three common phrases
-    may share a window, and only their windows are compared to the byte.
+
+def block_size(window: int) -> int:
+    """The largest part of a window, an eighth of it at most, of which it is a multiple."""
+    return max(b for b in range(1, max(1, window // 8) + 1) if window % b == 0)
+
+
+def repeated_starts(blobs: list[np.ndarray], window: int, gram: int, shard_of: np.ndarray) -> list[np.ndarray]:
+    """Of each blob, whether the window at each start occurs elsewhere in the blobs. ``shard_of`` has each blob's shard, ascending.
+
+    Blobs are merged twice. Of phrases: a blob without three phrases in common with another shares no window and goes. The
+    others as blocks: for each of the places 0 to block - 1, the blocks from there on are a string, so that every place of a blob
+    begins a suffix of one; suffixes with a common prefix of window / block blocks are equal windows, to the byte.
     """
     size = np.fromiter(map(len, blobs), np.int64, len(blobs))
-    offset, rolling = np.cumsum(size) - size, Rolling(np.concatenate(blobs))
-    likely = bwt.repeated(phrase_strings(blobs, rolling, offset, window, gram), shards, 3)
-    starts = size - window + 1
-    inside = np.repeat(likely, starts)
-    place = np.repeat(offset - (np.cumsum(starts) - starts), starts) + np.arange(int(starts.sum()))
-    names = rolling.of(place[inside], np.full(int(inside.sum()), window))
-    order = np.argsort(names, kind="stable")
-    same = names[order][1:] == names[order][:-1]
-    among = np.zeros(len(names), bool)
-    among[order] = np.append(same, False) | np.append(False, same) if len(names) else among
-    hit = np.zeros(len(inside), bool)
-    hit[inside] = among
-    return np.split(hit, np.cumsum(starts)[:-1])
+    offset, data = np.cumsum(size) - size, np.concatenate(blobs)
+    likely = bwt.repeated(phrase_strings(blobs, Rolling(data), offset, window, gram), 8, 3)
+    out = [np.zeros(n - window + 1, bool) for n in size.tolist()]
+    if not likely.any():
+        return out
+    which = np.flatnonzero(likely)
+    data, size, shard_of = np.concatenate([blobs[i] for i in which]), size[which], shard_of[which]
+    offset, block = np.cumsum(size) - size, block_size(window)
+    places = size - block + 1
+    blob = np.repeat(np.arange(len(which)), places)
+    within = np.arange(len(blob)) - np.repeat(np.cumsum(places) - places, places)
+    names = block_names(data, Rolling(data), offset[blob] + within, block)
+    # the strings of a blob: place % block says which, place // block where in it; 0 ends each
+    length = (places[:, None] - np.arange(block) + block - 1) // block + 1
+    first = (np.cumsum(length.ravel()) - length.ravel()).reshape(length.shape)
+    flat = np.zeros(int(length.sum()), np.int64)
+    at = first[blob, within % block] + within // block
+    flat[at] = names
+    hit = bwt.repeated_places(flat, length.ravel(), np.repeat(shard_of, block), window // block)[at]
+    starts = np.cumsum(places) - places
+    for i, a, n in zip(which.tolist(), starts.tolist(), size.tolist(), strict=True):
+        out[i] = hit[a : a + n - window + 1]
+    return out
 
 
 def ranges(hit: np.ndarray) -> list[dict]:
@@ -151,30 +186,31 @@ def _bytes(text) -> np.ndarray:
 def _anchors(window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in parts(batch, 1, _PART_BYTES):
-                keys, found, places = [], [], []
-                for key, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+            for part in parts(batch, 2, _PART_BYTES):
+                found, places = [], []
+                for text in part.column("text"):
                     anchor, count = np.unique(anchor_places(_bytes(text), window, gram).view(np.int64), return_counts=True)
                     found.append(anchor)
                     places.append(count)
-                    keys.append(np.full(len(anchor), key, np.int64))
                 if found:
-                    yield pa.record_batch([pa.array(np.concatenate(x)) for x in (keys, found, places)], names=["row", "anchor", "places"])
+                    own = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
+                    yield pa.record_batch([part.column("doc").take(own), part.column("row").take(own), *(pa.array(np.concatenate(x)) for x in (found, places))], names=["doc", "row", "anchor", "places"])
 
     return run
 
 
 _RANGES = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
-_SEGMENTS = pa.schema([("row", pa.int64()), ("first", pa.int64()), ("starts", pa.int64()), ("anchor", pa.int64()), ("segment", pa.int64()), ("data", pa.binary())])
+_SEGMENTS = pa.schema([("doc", pa.int64()), ("row", pa.int64()), ("first", pa.int64()), ("starts", pa.int64()), ("anchor", pa.int64()), ("segment", pa.int64()), ("data", pa.binary()), ("shard", pa.int32())])
 
 
 def _segments(window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = TaskContext.get().partitionId() if TaskContext.get() else 0
         sent: set[int] = set()  # names of segments whose bytes this task has sent; forgotten when many
         for batch in batches:
-            for part in parts(batch, 1, _PART_BYTES):
+            for part in parts(batch, 2, _PART_BYTES):
                 rows = []
-                for key, text, wanted in zip(part.column(0).to_pylist(), part.column(1), part.column(2), strict=True):
+                for doc, key, text, wanted in zip(part.column("doc").to_pylist(), part.column("row").to_pylist(), part.column("text"), part.column("wanted"), strict=True):
                     data = _bytes(text)
                     first, last, anchor, rolling = segments(data, window, gram)
                     wanted = np.sort(np.array(wanted.as_py(), np.int64))
@@ -184,7 +220,7 @@ def _segments(window: int, gram: int):
                     names = rolling.of(first[keep], size).view(np.int64)
                     for i, name, n in zip(keep.tolist(), names.tolist(), size.tolist(), strict=True):
                         a = int(first[i])
-                        rows.append((key, a, n - window + 1, int(anchor[i : i + 1].view(np.int64)[0]), name, None if name in sent else data[a : a + n].tobytes()))
+                        rows.append((doc, key, a, n - window + 1, int(anchor[i : i + 1].view(np.int64)[0]), name, None if name in sent else data[a : a + n].tobytes(), shard))
                         sent.add(name)
                 if len(sent) > 500_000:
                     sent.clear()
@@ -195,25 +231,27 @@ def _segments(window: int, gram: int):
 
 
 def _meet(window: int, gram: int):
-    """Sorted by anchor and segment: segments that differ meet, an anchor at a time or many small ones together."""
+    """Sorted by anchor and segment: segments that differ meet, an anchor at a time or many small ones together. The tasks that they come from are the shards."""
 
     def resolve(rows: list[tuple]) -> pa.RecordBatch:
-        hits = repeated_starts([np.frombuffer(r[2], np.uint8) for r in rows], window, min(16, gram))
+        rows = sorted(rows, key=lambda r: r[3] % 8)
+        hits = repeated_starts([np.frombuffer(r[2], np.uint8) for r in rows], window, min(16, gram), np.array([r[3] % 8 for r in rows]))
         return pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([ranges(h) for h in hits], _RANGES)], names=["anchor", "segment", "ranges"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, held = [], 0
         for batch in batches:
-            for anchor, segment, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            for anchor, segment, data, shard in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
                 if rows and rows[-1][:2] == (anchor, segment):
                     continue  # the same segment from another task
-                if held >= _PART_BYTES and rows[-1][0] != anchor:
+                if held >= _MEET_BYTES and rows[-1][0] != anchor:
                     yield resolve(rows)
                     rows, held = [], 0
-                rows.append((anchor, segment, data.as_py()))
+                rows.append((anchor, segment, data.as_py(), shard))
                 held += len(rows[-1][2])
         if rows:
             yield resolve(rows)
+        trim()
 
     return run
 
@@ -223,7 +261,7 @@ def _names(window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for anchor, segment, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            for anchor, segment, data in zip(batch.column("anchor").to_pylist(), batch.column("segment").to_pylist(), batch.column("data"), strict=True):
                 names = Rolling(np.frombuffer(data.as_py(), np.uint8)).all(window).view(np.int64)
                 n = len(names)
                 yield pa.record_batch([pa.array(np.full(n, anchor)), pa.array(np.full(n, segment)), pa.array(np.arange(n)), pa.array(names)], names=["anchor", "segment", "start", "name"])
@@ -232,20 +270,20 @@ def _names(window: int):
 
 
 def repeated_ranges(texts: DataFrame, window: int, gram: int, bucket_segments: int) -> DataFrame:
-    """row, a, b: the windows that start at a..b of the row's text occur more than once. ``texts`` has row and text."""
+    """doc, row, a, b: the windows that start at a..b of the row's text occur more than once. ``texts`` has doc, row and text; doc and row together tell rows apart."""
     width = shuffle_width(texts.sparkSession)
-    found = stored(texts.mapInArrow(_anchors(window, gram), "row long, anchor long, places long"), "anchors")
+    found = stored(texts.mapInArrow(_anchors(window, gram), "doc long, row long, anchor long, places long"), "anchors")
     # from a table, so that Spark can split the rows of an anchor that very many texts have
     shared = stored(found.groupBy("anchor").agg(F.sum("places").alias("n")).where("n > 1").select("anchor"), "shared")
-    wanted = found.join(shared, "anchor", "left_semi").groupBy("row").agg(F.collect_set("anchor").alias("wanted"))
-    held = texts.join(wanted, "row").select("row", "text", "wanted").mapInArrow(_segments(window, gram), "row long, first long, starts long, anchor long, segment long, data binary")
+    wanted = found.join(shared, "anchor", "left_semi").groupBy("doc", "row").agg(F.collect_set("anchor").alias("wanted"))
+    held = texts.join(wanted, ["doc", "row"]).select("doc", "row", "text", "wanted").mapInArrow(_segments(window, gram), "doc long, row long, first long, starts long, anchor long, segment long, data binary, shard int")
     held = stored(held, "segments")
-    members = held.select("row", "first", "starts", "anchor", "segment")
+    members = held.select("doc", "row", "first", "starts", "anchor", "segment")
     counted = members.groupBy("anchor", "segment").agg(F.count("*").alias("copies"), F.max("starts").alias("starts"))
     counted = stored(counted, "counted")
     # a lone segment may repeat windows in itself; one that occurs again is covered as a whole
     per_anchor = counted.groupBy("anchor").agg(F.count("*").alias("different"), F.sum("copies").alias("copies")).where("different > 1 OR copies = 1")
-    bytes_of = held.where("data IS NOT NULL").select("anchor", "segment", "data")
+    bytes_of = held.where("data IS NOT NULL").select("anchor", "segment", "data", "shard")
     small = bytes_of.join(per_anchor.where(F.col("different") <= bucket_segments).select("anchor"), "anchor", "left_semi")
     met = small.repartition(width, "anchor").sortWithinPartitions("anchor", "segment").mapInArrow(_meet(window, gram), "anchor long, segment long, ranges array<struct<a: long, b: long>>")
     met = met.select("anchor", "segment", F.explode("ranges").alias("r")).select("anchor", "segment", "r.a", "r.b")
@@ -256,7 +294,7 @@ def repeated_ranges(texts: DataFrame, window: int, gram: int, bucket_segments: i
     named = large.join(twice, ["anchor", "name"], "left_semi").select("anchor", "segment", F.col("start").alias("a"), F.col("start").alias("b"))
     whole = counted.where("copies > 1").select("anchor", "segment", F.lit(0).cast("long").alias("a"), (F.col("starts") - 1).alias("b"))
     parts_ = met.unionByName(named).unionByName(whole)
-    return members.join(parts_, ["anchor", "segment"]).select("row", (F.col("first") + F.col("a")).alias("a"), (F.col("first") + F.col("b")).alias("b"))
+    return members.join(parts_, ["anchor", "segment"]).select("doc", "row", (F.col("first") + F.col("a")).alias("a"), (F.col("first") + F.col("b")).alias("b"))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bucket_segments: int = BUCKET_SEGMENTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -267,9 +305,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, buck
     repeat each other's windows. Other columns are ignored; an empty table gives an empty result.
     """
     key, text = F.col(f"`{id_col}`").cast("long"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    texts = docs.select(key.alias("doc_id"), text.alias("text"), F.xxhash64(key, text).alias("row"))
-    starts = repeated_ranges(texts.select("row", "text"), window, gram, bucket_segments).groupBy("row").agg(F.collect_set(F.struct("a", "b")).alias("starts"))
-    joined = texts.join(starts, "row", "left").select("doc_id", "text", "starts")
+    texts = docs.select(key.alias("doc_id"), F.coalesce(key, F.lit(0)).alias("doc"), F.xxhash64(key, text).alias("row"), text.alias("text"))
+    starts = repeated_ranges(texts.select("doc", "row", "text"), window, gram, bucket_segments).groupBy("doc", "row").agg(F.collect_set(F.struct("a", "b")).alias("starts"))
+    joined = texts.join(starts, ["doc", "row"], "left").select("doc_id", "text", "starts")
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("first", pa.int64()), ("length", pa.int64())]))), ("kept", pa.binary())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
