@@ -13,7 +13,7 @@ compared with one member each, those first that share most with others, which br
 copies into one component. Only members of different components are then compared with each other, and of those pairs
 only the ones leave the join whose parity sketches allow a link: a bit of the sketch is the parity of the elements that hash
 to it, so the bits in which two sketches differ are a lower bound of the symmetric difference. Every link is verified on the
-whole sets, with integers.
+whole sets, with integers. At the end the links of each component are counted, by blocks of its sets.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helixspark.llm.components import connected_components
-from helixspark.llm.storage import bucketed, parts, stored, trim
+from helixspark.llm.storage import bucketed, parts, shuffle_width, stored, trim
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0xD1342543DE82EF95
@@ -243,11 +243,11 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id of each row.
+    """doc_id, n_shingles, component_id and n_links of each row; n_links counts the other rows that it links with.
 
     A document's set holds its distinct word shingles; white space parts words and A-Z are lowered. With fewer words the
     whole sequence is the one element; without words, or with null text, the set is empty and links with nothing, so
-    the component is the document itself. Rows that repeat an id are each returned; where they have different sets, the
+    the component is the document itself and n_links 0. Rows that repeat an id are each returned; where they have different sets, the
     id links what either links. A null id links like any other; its component is the smallest id that is not null, or
     null. Other columns are ignored; an empty table gives an empty result.
     """
@@ -282,9 +282,76 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
     if found.limit(1).count():
         labels = connected_components(links.union(found))
     rows = rows.select("doc_id", "n_shingles", F.col("set_id").alias("node"))
-    whole = stored(_placed(rows, labels).select("doc_id", "n_shingles", "label"), "labelled")
-    first = whole.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("first"))
-    return whole.join(first, "label", "left").select("doc_id", "n_shingles", F.coalesce("first", "doc_id").alias("component_id"))
+    whole = stored(rows.join(_of_nodes(rows, sets, labels, percent), "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
+    first = stored(whole.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "first", narrow=True)
+    return whole.join(first, "label", "left").select("doc_id", "n_shingles", F.coalesce("first", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def _of_nodes(rows: DataFrame, sets: DataFrame, labels: DataFrame | None, percent: int) -> DataFrame:
+    """node, label, n_links of the sets that link with another or that several rows have."""
+    copies = stored(rows.where("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("copies")).where("copies > 1"), "copies", narrow=True)
+    if labels is None:
+        return copies.select("node", F.col("node").alias("label"), (F.col("copies") - 1).alias("n_links"))
+    nodes = stored(labels.join(copies, "node", "full").select("node", "label", F.coalesce("copies", F.lit(1)).alias("copies")), "nodes", narrow=True)
+    links = link_counts(sets, nodes.where("label IS NOT NULL"), percent)
+    found = nodes.join(links, "node", "left").select("node", F.coalesce("label", "node").alias("label"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    return stored(found, "nodes", narrow=True)
+
+
+#: Shingles in a block of a component's sets.
+BLOCK_ITEMS = 1 << 20
+
+
+def link_counts(sets: DataFrame, nodes: DataFrame, percent: int, block_items: int = BLOCK_ITEMS) -> DataFrame:
+    """node, links: with how many rows of other sets each set links. ``nodes`` has node, label and copies, the rows of each set.
+
+    Sets that link are in one component. A component's sets are dealt to blocks, and each two blocks meet in a task, where
+    the sets of one are counted against those of the other: pairs are neither rows nor sent, and a row leaves for each set of two blocks.
+    Every pair within a component is looked at, so the work grows with the square of a component's different sets.
+    """
+    held = sets.join(nodes, "node").select("label", "node", "copies", "items")
+    total = stored(held.groupBy("label").agg(F.sum(F.size("items")).alias("total")), "totals", narrow=True)
+    blocks = F.ceil(F.col("total") / block_items).cast("int")
+    dealt = held.join(total, "label").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("label", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "copies", "items")
+    met = dealt.repartition(shuffle_width(sets.sparkSession), "label", "lo", "hi").sortWithinPartitions("label", "lo", "hi")
+
+    def count(group: list[tuple]) -> pa.RecordBatch:
+        lo, hi = group[0][0][1:]
+        size = np.array([len(g[4]) for g in group], np.int64)
+        items = np.unique(np.concatenate([g[4] for g in group]), return_inverse=True)[1]
+        copies, first = np.array([g[3] for g in group], np.int64), np.cumsum(size) - size
+        one, two = ([i for i, g in enumerate(group) if g[1] == side] for side in (lo, hi))
+        links = np.zeros(len(group), np.int64)
+        mark = np.zeros(int(items.max()) + 1, bool)
+        theirs = np.concatenate([items[first[j] : first[j] + size[j]] for j in two]) if two else np.zeros(0, np.int64)
+        edge, two = np.cumsum(size[two]) - size[two], np.array(two, np.int64)
+        for i in one if len(two) else ():
+            own = items[first[i] : first[i] + size[i]]
+            mark[own] = True
+            shared = np.add.reduceat(mark[theirs], edge, dtype=np.int64)
+            mark[own] = False
+            hit = two[(100 * shared >= percent * (size[i] + size[two] - shared)) & (two != i)]
+            links[i] += copies[hit].sum()
+            if lo != hi:
+                links[hit] += copies[i]
+        return pa.record_batch([pa.array([g[2] for g in group], pa.int64()), pa.array(links)], names=["node", "links"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group: list[tuple] = []
+        for batch in batches:
+            keys = zip(*(batch.column(c).to_pylist() for c in ("label", "lo", "hi")), strict=True)
+            for key, own, node, copies, items in zip(keys, *(batch.column(c).to_pylist() for c in ("own", "node", "copies")), batch.column("items"), strict=True):
+                if group and group[0][0] != key:
+                    yield count(group)
+                    group = []
+                group.append((key, own, node, copies, items.values.to_numpy().copy()))
+        if group:
+            yield count(group)
+        trim()
+
+    return met.mapInArrow(run, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
 
 
 def _placed(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
