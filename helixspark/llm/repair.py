@@ -84,7 +84,7 @@ class Grammar:
         return cls(base, rules, lengths, np.frombuffer(data, kind, n, at + 4 * n_rules).astype(np.uint32))
 
 
-_SLOT_BITS = 16
+_SLOT_BITS = 18
 
 
 def _slot(pairs: np.ndarray) -> np.ndarray:
@@ -93,38 +93,57 @@ def _slot(pairs: np.ndarray) -> np.ndarray:
     return mixed >> wide(pairs.itemsize * 8 - _SLOT_BITS)
 
 
+def _apart(at: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Which of the pairs at places ``at`` to replace: of pairs that overlap, the one of the highest rank, then those that are left; of a pair that overlaps itself, every other one from the left.
+
+    This depends on nothing but the neighbouring symbols, so copies stay copies.
+    """
+    kept, open_ = np.zeros(len(at), bool), np.arange(len(at))
+    while len(open_):
+        here, high = at[open_], rank[open_]
+        beside = np.diff(here) == 1
+        begin = np.flatnonzero(np.append(True, ~beside | (high[1:] != high[:-1])))  # of runs of one pair over itself
+        best = (np.arange(len(here)) - np.repeat(begin, np.diff(begin, append=len(here)))) % 2 == 0
+        best[1:] &= ~(beside & (high[:-1] > high[1:]))
+        best[:-1] &= ~(beside & (high[1:] > high[:-1]))
+        kept[open_[best]] = True
+        gone = best.copy()
+        gone[1:] |= best[:-1] & beside
+        gone[:-1] |= best[1:] & beside
+        open_ = open_[~gone]
+    return kept
+
+
 def _replace(sequence: np.ndarray, at: np.ndarray, symbols: np.ndarray) -> np.ndarray:
-    """Put symbols[i] in place of the pair at at[i]; of overlapping pairs, every other one from the left."""
-    run = np.flatnonzero(np.diff(at, prepend=-2) != 1)  # first of each run of adjacent matches
-    place = np.arange(len(at)) - np.repeat(run, np.diff(run, append=len(at)))
-    at, symbols = at[place % 2 == 0], symbols[place % 2 == 0]
+    """Put symbols[i] in place of the pair at at[i]."""
     out = sequence.copy()
     out[at] = symbols
-    keep = np.ones(len(sequence), bool)
-    keep[at + 1] = False
-    return out[keep]
+    stay = np.ones(len(sequence), bool)
+    stay[at + 1] = False
+    return out[stay]
 
 
-def compressed(ids: np.ndarray, base: int, min_count: int = 32, max_rounds: int | None = None, max_symbols: int = 1 << 16) -> Grammar:
+def compressed(ids: np.ndarray, base: int, min_count: int = 32, max_rounds: int | None = None, max_symbols: int = 1 << 31) -> Grammar:
     """The grammar of ``ids``. A round replaces the pairs that occur at least ``min_count`` times and a sixteenth as often as the most frequent one.
 
-    Rounds go on until no pair occurs ``min_count`` times or the symbols are used up, unless ``max_rounds`` ends them before.
+    Rounds go on until no pair occurs ``min_count`` times, unless ``max_rounds`` or ``max_symbols`` ends them before. Symbols
+    are handled in 16 bits as long as they fit.
     """
     sequence = ids.astype(np.uint32)
-    rules, lengths = np.zeros((0, 2), np.uint32), np.zeros(0, np.int64)
-    narrow = base <= 1 << 16 and max_symbols <= 1 << 16
+    rules, lengths = np.zeros((0, 2), np.uint32), np.ones(base, np.int64)  # lengths of all symbols, the plain ones first
     for _ in itertools.count() if max_rounds is None else range(max_rounds):
-        room = max_symbols - base - len(rules)
-        if len(sequence) < 2 * min_count or room <= 0:
+        room = max_symbols - len(lengths)
+        if len(sequence) <= min_count or room <= 0:
             break
-        wide = np.uint32 if narrow else np.uint64
-        pairs = (sequence[:-1].astype(wide) << wide(16 if narrow else 32)) | sequence[1:].astype(wide)
+        wide, bits = (np.uint32, 16) if len(lengths) <= 1 << 16 else (np.uint64, 32)
+        pairs = (sequence[:-1].astype(wide) << wide(bits)) | sequence[1:].astype(wide)
         ordered = np.sort(pairs)
         edge = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
         count = np.diff(edge, append=len(ordered))
-        frequent = np.flatnonzero(count >= max(min_count, int(count.max()) // 16))
-        if not len(frequent) or count.max() < min_count:
+        most = int(count.max())
+        if most < min_count:
             break
+        frequent = np.flatnonzero(count >= max(min_count, most // 16))
         if len(frequent) > room:
             frequent = np.sort(frequent[np.argsort(-count[frequent], kind="stable")[:room]])
         chosen = ordered[edge[frequent]]  # ascending
@@ -133,13 +152,20 @@ def compressed(ids: np.ndarray, base: int, min_count: int = 32, max_rounds: int
         table = np.zeros(1 << _SLOT_BITS, np.int32)
         table[slot] = np.arange(len(chosen), dtype=np.int32)
         won = table[slot] == np.arange(len(chosen))
-        chosen = chosen[won]
+        chosen, rank = chosen[won], count[frequent][won]
+        rank[np.lexsort((slot[won], rank))] = np.arange(len(chosen))  # by frequency
         table[slot[won]] = np.arange(len(chosen), dtype=np.int32)
         found = table[_slot(pairs)]
         at = np.flatnonzero(chosen[found] == pairs)
-        sequence = _replace(sequence, at, (base + len(rules) + found[at]).astype(np.uint32))
-        new = np.stack([chosen >> wide(16 if narrow else 32), chosen & wide(0xFFFF if narrow else 0xFFFFFFFF)], 1).astype(np.uint32)
-        sizes = np.concatenate([np.ones(base, np.int64), lengths])
-        lengths = np.concatenate([lengths, sizes[new].sum(1)])
+        found = found[at]
+        keep = _apart(at, rank[found])
+        # a pair that others leave few places waits; the first of all has half of its own at least
+        used = np.bincount(found[keep], minlength=len(chosen)) >= max(1, min_count // 4)
+        keep &= used[found]
+        at, found, chosen = at[keep], (np.cumsum(used) - 1)[found[keep]], chosen[used]
+        sequence = _replace(sequence, at, (len(lengths) + found).astype(np.uint32))
+        new = np.stack([chosen >> wide(bits), chosen & wide((1 << bits) - 1)], 1).astype(np.uint32)
+        lengths = np.concatenate([lengths, lengths[new].sum(1)])
         rules = np.concatenate([rules, new])
+    lengths = lengths[base:]
     return Grammar(base, rules, lengths, sequence)

@@ -8,6 +8,7 @@ document's start is the sum of the shards before it and of the documents before
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -25,17 +26,21 @@ from helixspark.llm.repair import Grammar, compressed
 from helixspark.llm.storage import new_path, shuffle_width, trim
 
 TOKENIZER = "byte_bpe_50k.json"
-SHARD_TOKENS = 500_000
+SHARD_TOKENS = 2_000_000
 _SHARDS = "part int, shard int, n_tokens long, docs array<long>, counts array<long>, grammar binary"
 KNOWN_WORDS = 2_000_000
 _MARK = chr(0xE000)
-_ENCODERS: dict[tuple, Encoder] = {}  # of this Python worker, by the vocabulary's checksum and the end id
+_ENCODERS: dict[tuple, Encoder] = {}  # of this Python worker, by the vocabulary's checksum, the end id and how special tokens are read
 
 
 class Encoder:
-    """Numbers words and holds the ids of those it has met; at most about ``KNOWN_WORDS`` of them."""
+    """Numbers words and holds the ids of those it has met; at most about ``KNOWN_WORDS`` of them.
 
-    def __init__(self, vocabulary: str):
+    Where a special token's string stands in a text, it is that token, as the library has it, and the text on either side is
+    cut into words by itself; with ``special_as_text`` it is text like any other.
+    """
+
+    def __init__(self, vocabulary: str, special_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one thread a task: the cores have tasks of their own
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -45,7 +50,13 @@ class Encoder:
         byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.tokenizer.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(_MARK, "removed"), byte_level])
         self.single = Tokenizer.from_str(vocabulary)
-        self.single.encode_special_tokens = True
+        self.single.encode_special_tokens = special_as_text
+        added = [] if special_as_text else [*self.single.get_added_tokens_decoder().values()]
+        if odd := [t.content for t in added if t.lstrip or t.rstrip or t.single_word]:
+            raise ValueError(f"special tokens that depend on what stands beside them: {odd}")
+        self.special = {t.content for t in added}
+        self.marks = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if added else None
+        self.split = pretokens.splitter()
         self.base = self.tokenizer.get_vocab_size()
         self.clear()
 
@@ -54,6 +65,14 @@ class Encoder:
         self.words[""] = 0  # no pre-token is empty; the number stands for the end of a document
         self.done = self.filled = 0
 
+    def numbers(self, text: str) -> np.ndarray:
+        """The numbers of a text's words and special tokens; no word is the string of a special token."""
+        if self.marks is None or not self.marks.search(text):
+            return self.words.of(text, self.split)
+        parts = self.marks.split(text)  # every other one is a token
+        found = [self.words.of(x, self.split) if i % 2 == 0 else np.array([self.words[x]], np.uint32) for i, x in enumerate(parts)]
+        return np.concatenate(found)
+
     def update(self, end_ids: list[int]) -> None:
         """Encode the words that are new; ``starts`` and ``lengths`` then place every word's ids in ``ids``."""
         new = list(islice(self.words, self.done, None))
@@ -64,7 +83,7 @@ class Encoder:
             lengths.append(len(end_ids))
         for a in range(0, len(new), 1_000):
             joined = _MARK.join(words := new[a : a + 1_000])
-            if joined.count(_MARK) != len(words) - 1:
+            if joined.count(_MARK) != len(words) - 1 or not self.special.isdisjoint(words):
                 for found in self.single.encode_batch(words, add_special_tokens=False):
                     ids.extend(found.ids)
                     lengths.append(len(found))
@@ -87,15 +106,15 @@ def _appended(room: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
     return room
 
 
-def encoder(vocabulary: str, end_id: int | None) -> Encoder:
-    key = (zlib.crc32(vocabulary.encode()), end_id)
+def encoder(vocabulary: str, end_id: int | None, special_as_text: bool) -> Encoder:
+    key = (zlib.crc32(vocabulary.encode()), end_id, special_as_text)
     if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(vocabulary)
+        _ENCODERS[key] = Encoder(vocabulary, special_as_text)
     return _ENCODERS[key]
 
 
-def shards(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int | None, shard_tokens: int) -> Iterator[pa.RecordBatch]:
-    known, split = encoder(vocabulary, end_id), pretokens.splitter()
+def shards(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int | None, shard_tokens: int, special_as_text: bool = False) -> Iterator[pa.RecordBatch]:
+    known = encoder(vocabulary, end_id, special_as_text)
     part = TaskContext.get().partitionId() if TaskContext.get() else 0
     end_ids = [] if end_id is None else [end_id]
     end = np.zeros(1, np.uint32)  # the number of the end of a document
@@ -115,7 +134,7 @@ def shards(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int | Non
     for batch in batches:
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             docs.append(doc)
-            sequences.append(known.words.of(text.as_py() or "", split))
+            sequences.append(known.numbers(text.as_py() or ""))
             held += len(sequences[-1]) + 1
             if held >= shard_tokens:
                 yield shard()
@@ -125,19 +144,20 @@ def shards(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int | Non
     trim()
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer_path: str | None = None, end_id: int | None = 0, id_col: str = "doc_id", text_col: str = "text", shard_tokens: int = SHARD_TOKENS) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer_path: str | None = None, end_id: int | None = 0, id_col: str = "doc_id", text_col: str = "text", shard_tokens: int = SHARD_TOKENS, special_as_text: bool = False) -> None:
     """Encode every text whole, append ``end_id`` if it is given, and write the ids in ascending document id.
 
     A null text is empty: its only id is the end id. Null ids come first; rows that repeat an id stand together,
     ordered by text. Other columns are ignored. An empty table gives no shard. Shards close at the first document
-    end after ``shard_tokens`` pre-tokens, so a very long text is one shard.
+    end after ``shard_tokens`` pre-tokens, so a very long text is one shard. Strings of special tokens are these tokens, unless
+    ``special_as_text``.
     """
     spark = docs.sparkSession
     with open(tokenizer_path or public_tokenizers.path(TOKENIZER), encoding="utf-8") as file:
         vocabulary = spark.sparkContext.broadcast(file.read())  # bounded: a vocabulary, not data
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     ordered = texts.repartitionByRange(shuffle_width(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(lambda batches: shards(batches, vocabulary.value, end_id, shard_tokens), _SHARDS).write.parquet(path)
+    ordered.mapInArrow(lambda batches: shards(batches, vocabulary.value, end_id, shard_tokens, special_as_text), _SHARDS).write.parquet(path)
 
 
 def _decoded(shards: DataFrame, schema: str, describe) -> DataFrame:
