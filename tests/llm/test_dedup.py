@@ -5,7 +5,7 @@ import re
 import pytest
 
 from tests.llm.odd import ODD
-from helixspark.llm import exact_dedup, jaccard, repeats
+from helixspark.llm import bwt, exact_dedup, jaccard, repeats
 
 random.seed(4)
 WORDS = ["alpha", "beta", "gamma", "delta", "the", "of", "and", "Zeta", "êta", "thêta", "iota", "kappa"]
@@ -21,9 +21,10 @@ def exact_brute(rows):
     for (i, t), n in zip(rows, norm, strict=True):
         groups.setdefault(n, []).append((-len(t or ""), i is None, i, i))
     out = []
-    for (i, _), n in zip(rows, norm, strict=True):
+    for (i, t), n in zip(rows, norm, strict=True):
         keep = min(groups[n], key=lambda x: (x[0], x[1], x[2] if x[2] is not None else 0))[3]
-        out.append((i, keep, len(groups[n]), i == keep, hashlib.sha256(n.encode()).hexdigest()))
+        longest = -min(x[0] for x in groups[n])
+        out.append((i, keep, len(groups[n]), i == keep and len(t or "") == longest, hashlib.sha256(n.encode()).hexdigest()))
     return out
 
 
@@ -38,22 +39,29 @@ def test_exact_dedup(docs_of, rows):
     assert exact_dedup.keep_one(df, salts=3).columns == df.columns
 
 
+def test_a_kept_row_is_known_by_its_text_too(docs_of):
+    least = -(1 << 63)
+    rows = [(4, "a b c"), (5, "a bc"), (5, "other"), (7, "x y"), (7, "x  y"), (least, "z"), (least + 1, "z"), (0, "z")]
+    assert sorted((r.doc_id, r.text) for r in exact_dedup.keep_one(docs_of(rows)).collect()) == [(least, "z"), (4, "a b c"), (5, "other"), (7, "x  y")]
+
+
 def sets_brute(rows, words, percent):
     sets = []
     for _, t in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
         sets.append(frozenset(tuple(w[i : i + words]) for i in range(len(w) - words + 1)) if len(w) >= words else frozenset([tuple(w)] if w else []))
-    label = list(range(len(rows)))
+    label, links = list(range(len(rows))), [0] * len(rows)
     for a in range(len(rows)):
         for b in range(a):
             both, union = len(sets[a] & sets[b]), len(sets[a] | sets[b])
             if sets[a] and sets[b] and 100 * both >= percent * union:
+                links[a], links[b] = links[a] + 1, links[b] + 1
                 old, new = max(label[a], label[b]), min(label[a], label[b])
                 label = [new if x == old else x for x in label]
     out = []
-    for (i, _), s, x in zip(rows, sets, label, strict=True):
+    for (i, _), s, x, n in zip(rows, sets, label, links, strict=True):
         ids = [j for (j, _), y in zip(rows, label, strict=True) if y == x and j is not None] if s else [i]
-        out.append((i, len(s), min(ids, default=None)))
+        out.append((i, len(s), min(ids, default=None), n))
     return out
 
 
@@ -76,6 +84,18 @@ def test_jaccard_components(docs_of, rows):
     assert sorted(map(tuple, found), key=key) == sorted(sets_brute(rows, 4, 85), key=key)
 
 
+@pytest.mark.parametrize("block_items", [1, 150, 1 << 20])
+def test_link_counts(spark, block_items):
+    rng = random.Random(8)
+    sets = [sorted(rng.sample(range(60), rng.randint(40, 60))) for _ in range(30)] + [[1], [1, 2]]
+    label = [i % 2 for i in range(30)] + [7, 8]
+    items = spark.createDataFrame([(i, s) for i, s in enumerate(sets)], "node long, items array<long>")
+    nodes = spark.createDataFrame([(i, x, i % 3 + 1) for i, x in enumerate(label)], "node long, label long, copies long")
+    found = {r.node: r.links for r in jaccard.link_counts(items, nodes, 70, block_items).collect()}
+    like = lambda a, b: 100 * len({*a} & {*b}) >= 70 * len({*a} | {*b})
+    assert found == {i: sum(j % 3 + 1 for j in range(32) if j != i and label[j] == label[i] and like(sets[i], sets[j])) for i in range(32)}
+
+
 def test_schemes_leave_no_pair_out():
     """Any pair that may link shares a signature: differences are put where they hurt most, one a segment."""
     import numpy as np
@@ -93,6 +113,41 @@ def test_schemes_leave_no_pair_out():
             assert np.intersect1d(jaccard.signatures(x, plan), jaccard.signatures(y, plan)).size
 
 
+def windows_brute(blobs, window):
+    count = {}
+    for b in blobs:
+        for i in range(len(b) - window + 1):
+            count[b[i : i + window]] = count.get(b[i : i + window], 0) + 1
+    return [[count[b[i : i + window]] > 1 for i in range(len(b) - window + 1)] for b in blobs]
+
+
+@pytest.mark.parametrize("window", [50, 47])
+def test_the_merge_decides_which_windows_repeat(monkeypatch, window):
+    import numpy as np
+
+    rng = random.Random(window)
+    passage = bytes(rng.choice(b"abcd") for _ in range(120))
+    blobs = [bytes(rng.choice(b"abcd") for _ in range(rng.randint(20, 60))) + passage[rng.randint(0, 60) : rng.randint(60, 120)] * (i % 3 > 0) + b"xy" * rng.randint(20, 40) for i in range(40)]
+    for shard_of in (np.arange(40) // 7, np.zeros(40, np.int64)):
+        found = repeats.repeated_starts([np.frombuffer(b, np.uint8) for b in blobs], window, 8, shard_of)
+        assert [x.tolist() for x in found] == windows_brute(blobs, window)
+    merged = bwt.merged
+    for stub in (0, 1):  # nothing, or everything, has a common prefix
+        monkeypatch.setattr(bwt, "merged", lambda transforms, depth, stub=stub: (merged(transforms, depth)[0], np.full(sum(map(len, transforms)), stub * depth)))
+        assert [x.tolist() for x in repeats.repeated_starts([np.frombuffer(b, np.uint8) for b in blobs], window, 8, shard_of)] != windows_brute(blobs, window)
+
+
+def test_blocks_of_one_hash_are_told_apart(monkeypatch):
+    import numpy as np
+
+    data = np.frombuffer(b"abcdefgh1bcdefgh2bcdefghabcdefgh", np.uint8)
+    rolling = repeats.Rolling(data)
+    at, plain = np.arange(0, 32, 8), repeats.block_names(data, rolling, np.arange(0, 32, 8), 8)
+    monkeypatch.setattr(repeats.Rolling, "of", lambda self, start, length: np.zeros(len(start), np.uint64))
+    same = lambda names: [[a == b for b in names.tolist()] for a in names.tolist()]
+    assert same(repeats.block_names(data, rolling, at, 8)) == same(plain) and plain[0] == plain[3] != plain[1]
+
+
 def repeats_brute(rows, window):
     data = [(t or "").encode() for _, t in rows]
     seen = {}

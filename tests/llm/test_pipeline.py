@@ -43,7 +43,7 @@ def test_run_equals_brute_force(spark, docs_of, tmp_path):
         norm = re.sub(r"[\x20\x09-\x0D]", "", t or "")
         best[norm] = min(best.get(norm, (1, 0)), (-len(t or ""), i))
     left = [(i, t) for i, t in left if i in {b[1] for b in best.values()}]
-    kept = {c for _, _, c in sets_brute(left, 4, 85)}
+    kept = {c for _, _, c, _ in sets_brute(left, 4, 85)}
     left = [(i, t) for i, t in left if i in kept and i not in leaked]
     found = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted((r.doc_id, r.n_tokens, r.decoded) for r in found) == sorted((i, len(_ENC.encode_ordinary(t or "")), t or "") for i, t in left)

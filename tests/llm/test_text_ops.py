@@ -61,6 +61,9 @@ def test_toxicity_odd_rows(spark, docs_of):
     for rows in (ODD, []):
         found = toxicity.score(docs_of(rows, extra=("score", "words")), toxicity.train(docs_of(rows), none)).collect()
         assert len(found) == len(rows) and all(0 <= r.score <= 1 for r in found)
+    odd_labels = spark.createDataFrame([(i, x) for i, x in enumerate([2, -1, None, 0, 1, 7] * 4)] + [(None, 1)], "doc_id long, toxic int")
+    found = toxicity.score(docs_of(ODD), toxicity.train(docs_of(ODD), odd_labels)).collect()
+    assert len(found) == len(ODD) and all(r.held_out is not None for r in found)
     one_class = spark.createDataFrame([(i, 1) for i in range(20)], "doc_id long, toxic int")
     assert toxicity.score(docs_of(ODD), toxicity.train(docs_of(ODD), one_class)).count() == len(ODD)
 
@@ -84,6 +87,14 @@ def test_warc_round_trip(spark):
     assert warc.warc_round_trip(spark, pages.where("page_id > 100")).count() == 0
 
 
+def test_a_revisit_names_a_record(spark, tmp_path):
+    warc.write_warc(spark.createDataFrame(PAGES, "page_id long, url string, html string"), str(tmp_path / "w"))
+    rows = warc.read_warc(spark, str(tmp_path / "w")).collect()
+    known = {r.record_id: r for r in rows if r.warc_type == "response"}
+    revisits = [r for r in rows if r.warc_type == "revisit"]
+    assert len(revisits) == 4 and all(known[r.refers_to].payload_digest == r.payload_digest for r in revisits)
+
+
 def test_warc_payloads_and_small_pages(spark, tmp_path):
     pages = spark.createDataFrame(PAGES[:8], "page_id long, url string, html string")
     warc.write_warc(pages, str(tmp_path / "w"), min_revisit_bytes=2)
@@ -151,14 +162,16 @@ def test_byte_bpe(docs_of, block_bytes):
 def test_token_files(spark, docs_of, tmp_path):
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(public_tokenizers.path(token_files.TOKENIZER))
-    tokenizer.encode_special_tokens = True
-    for shard in (1, 10**6):
-        path = str(tmp_path / f"t{shard}")
-        token_files.write_tokens(docs_of(TEXTS, extra=("ids", "part")), path, shard_tokens=shard)
+    texts = [*TEXTS, (500, "a<|endoftext|> b"), (501, "<|endoftext|>"), (502, "one \n <|endoftext|><|endoftext|>\n  two<|endoftext|"), (503, "\ue000<|endoftext|> x")]
+    for shard, as_text in ((1, False), (10**6, False), (10**6, True)):
+        tokenizer = Tokenizer.from_file(public_tokenizers.path(token_files.TOKENIZER))
+        if as_text:
+            tokenizer.encode_special_tokens = True
+        path = str(tmp_path / f"t{shard}{as_text}")
+        token_files.write_tokens(docs_of(texts, extra=("ids", "part")), path, shard_tokens=shard, special_as_text=as_text)
         found = sorted((r.start, r.doc_id, r.n_tokens, bytes(r.ids)) for r in token_files.read_tokens(spark, path).collect())
         at, expected = 0, []
-        for i, t in sorted(TEXTS, key=lambda x: (x[0] is not None, x[0] or 0, x[1] is not None, x[1] or "")):
+        for i, t in sorted(texts, key=lambda x: (x[0] is not None, x[0] or 0, x[1] is not None, x[1] or "")):
             ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 0]
             expected.append((at, i, len(ids), np.array(ids, "<u4").tobytes()))
             at += len(ids)
@@ -218,6 +231,21 @@ def test_leaks_are_found_and_clean_documents_left(spark, docs_of):
     assert decontamination.leaks(docs_of([]), benchmark).count() == 0 and decontamination.leaks(docs_of(docs[:3]), benchmark.limit(0)).count() == 0
 
 
+def test_the_stretch_with_the_answer_counts():
+    o = decontamination.Options()
+    item, other = list(range(40)), list(range(100, 400))
+    without, with_answer = item[:32] + other[:8], item[8:]
+    for words in (without + other[:30] + with_answer, with_answer + other[:30] + without):
+        assert decontamination.best_stretch(item, words, o)[:2] == (32, True)
+
+
+def test_passes_over_windows_of_items(spark, docs_of):
+    rows, items, truth = planted(random.Random(3), (100, 400), 60, 60)
+    for most in (7, 1 << 14):
+        found = decontamination.leaks(docs_of(rows), spark.createDataFrame(items, "item_id long, text string"), decontamination.Options(windows_per_pass=most, sample_windows=25, rank=24)).collect()
+        assert {(r.doc_id, r.item_id) for r in found} == truth
+
+
 def planted(rng, words, docs, item_words, n_items=20):
     """Documents of ``words`` (least, most) words of a vocabulary of 20,000, a third with an exact copy of an item, and which have which."""
     draw = lambda n: " ".join(f"w{rng.randrange(20_000)}" for _ in range(n))
