@@ -14,36 +14,49 @@ from helixspark.llm import bpe, decontamination, exact_dedup, jaccard, toxicity
 from helixspark.llm.storage import stored
 
 
-def _rows_of(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is ('left_semi') or is not ('left_anti') in ``ids``; null is an id like others."""
-    ids = ids.select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), how)
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go. It learns from the labelled rows of ``docs`` that are not held out."""
+    """Documents that the classifier rejects go. It learns from the labelled rows of ``docs`` that are not held out.
+
+    Every row is judged by its own text, so rows that repeat an id may part; null and empty texts score as empty ones. Without
+    labels of both kinds all rows score alike. An empty table stays empty.
+    """
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal normalised texts one stays."""
-    return _rows_of(docs, exact_dedup.exact_dedup(docs).where("kept"), "left_semi")
+    """Of documents with equal normalised texts one stays: the longest text, then the smallest id.
+
+    A row goes or stays by its id and text together; rows that repeat both stay or go together. Null texts are empty and equal each other; a null id
+    loses to any other. An empty table stays empty.
+    """
+    return exact_dedup.keep_one(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies the document with the smallest id stays."""
-    found = jaccard.jaccard_components(docs)
-    return _rows_of(docs, found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))), "left_semi")
+    """Of each component of near copies the document with the smallest id stays.
+
+    Rows that repeat an id are one document here: they link what either links, and stay or go together. Texts without words link with
+    nothing and stay, null ids lose to any other, and an empty table stays empty.
+    """
+    found = jaccard.jaccard_components(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    ids = found.select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), "left_semi")
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark passage go."""
-    return _rows_of(docs, decontamination.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), "left_anti")
+    """Documents that hold a benchmark passage go.
+
+    A row is judged by its own text, whatever other rows have its id. Null and empty texts stay, as all do without a benchmark.
+    """
+    key = F.xxhash64(docs["doc_id"], docs["text"])
+    found = decontamination.leaks(docs.select(key.alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    bad = found.select(F.col("doc_id").alias("_key")).distinct()
+    return docs.join(bad, key == bad["_key"], "left_anti")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids (little-endian uint32) and decoded, the text that the ids give back."""
+    """doc_id, n_tokens, ids (little-endian uint32) and decoded, the text that the ids give back: a row for each row of ``docs``. Null texts are empty."""
     found = bpe.decode(bpe.encode(docs))
     return found.select("doc_id", "n_tokens", "ids", F.decode("decoded", "UTF-8").alias("decoded"))
 
