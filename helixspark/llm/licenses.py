@@ -58,6 +58,8 @@ def pair_places(spark: SparkSession, templates: dict[str, str], phrases: dict[st
     for table, phrase in ((templates, "false"), (phrases, "true")):
         for label, text in table.items():
             words = text.split()
+            if len(words) < 2:
+                raise ValueError(f"{label}: a template has two words at least, not {text!r}")
             rows += [f"('{label}', {phrase}, {i}, '{words[i]}', '{words[i + 1]}', {len(words) - 1})" for i in range(len(words) - 1)]
     return spark.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS t(label, phrase, at, a, b, pairs)").withColumn("hash", _pair_hash(F.col("a"), F.col("b")))
 
@@ -78,7 +80,12 @@ def license_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     exact = diagonals.where("phrase AND size(hits) = pairs").select("doc_id", "text_hash", "label", "phrase", "first_word", "last_word", F.lit(1.0).alias("share"))
     order = Window.partitionBy("doc_id", "text_hash", "label").orderBy("diagonal")
     apart = F.col("diagonal") - F.lag("diagonal").over(order) > MERGE_WITHIN
-    loose = diagonals.where(~F.col("phrase") & (F.size("hits") > 1))  # a lone pair neither makes nor mends a span
+    # a lone pair makes no span; it mends one whose diagonal of two pairs or more it stands beside
+    strong = F.when(F.size("hits") > 1, F.col("diagonal"))
+    below = F.last(strong, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    above = F.first(strong, ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    beside = (F.col("diagonal") - F.col("below") <= MERGE_WITHIN) | (F.col("above") - F.col("diagonal") <= MERGE_WITHIN)
+    loose = diagonals.where(~F.col("phrase")).withColumn("below", below).withColumn("above", above).where(beside).drop("below", "above")
     runs = loose.withColumn("apart", F.coalesce(apart, F.lit(True)).cast("int")).withColumn("run", F.sum("apart").over(order))
     spans = runs.groupBy("doc_id", "text_hash", "label", "phrase", "pairs", "run").agg(F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"), F.min("first_word").alias("first_word"), F.max("last_word").alias("last_word"))
     share = F.size("hits") / F.col("pairs")
