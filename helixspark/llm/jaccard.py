@@ -384,3 +384,15 @@ def _shared(sigs: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, list_distinct(list_transform(CASE WHEN len(w) = 0 THEN [] ELSE range(1, greatest(len(w) - 2, 2)) END, lambda i: array_to_string(w[i:i + 3], ' '))) AS g FROM w),
+h AS (SELECT doc_id, len(g) AS n, unnest(g) AS s FROM g),
+l AS (SELECT x.doc_id AS a, y.doc_id AS b FROM h x JOIN h y ON x.s = y.s AND x.doc_id <> y.doc_id AND least(x.n, y.n) * 100 >= greatest(x.n, y.n) * 85 GROUP BY 1, 2 HAVING 100 * count(*) >= 85 * (any_value(x.n) + any_value(y.n) - count(*))),
+r AS (SELECT doc_id, doc_id AS c FROM g UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.doc_id),
+c AS (SELECT doc_id, min(c) AS component_id FROM r GROUP BY 1),
+n AS (SELECT a AS doc_id, count(*) AS n_links FROM l GROUP BY 1)
+SELECT doc_id, len(g)::BIGINT AS n_shingles, component_id, coalesce(n_links, 0) AS n_links FROM g JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
