@@ -34,7 +34,7 @@ WINDOW = 400
 GRAM = 32
 BUCKET_SEGMENTS = 5_000
 _PART_BYTES = 4 << 20
-_MEET_BYTES = 1 << 20
+_MEET_BYTES = 1 << 17
 _CODES = mixed((np.arange(256, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -119,6 +119,28 @@ def block_size(window: int) -> int:
     return max(b for b in range(1, max(1, window // 8) + 1) if window % b == 0)
 
 
+def _repeated_blocks(flat: np.ndarray, shard_of: np.ndarray, depth: int) -> np.ndarray:
+    """Whether the ``depth`` blocks from each place on stand elsewhere too. A zero ends each string; ``shard_of`` is ascending.
+
+    A block that stands at one place only is in no repeated window, so the strings are cut there, and pieces of less than ``depth``
+    blocks go before the merge.
+    """
+    out = np.zeros(len(flat), bool)
+    common = np.bincount(flat) > 1
+    common[0] = False
+    edge = np.flatnonzero(np.diff(common[flat], prepend=False, append=False))
+    start, size = edge[::2], edge[1::2] - edge[::2]
+    start, size = start[size >= depth], size[size >= depth]
+    if len(start):
+        ends = np.cumsum(size + 1)
+        from_ = np.repeat(start - (ends - size - 1), size + 1) + np.arange(ends[-1])  # with the place behind each piece
+        pieces = flat[from_]
+        pieces[ends - 1] = 0
+        whole = np.repeat(ends, size + 1) - np.arange(ends[-1]) > depth  # with ``depth`` blocks before the end
+        out[from_[bwt.repeated_places(pieces, size + 1, shard_of[start], depth) & whole]] = True
+    return out
+
+
 def repeated_starts(blobs: list[np.ndarray], window: int, gram: int, shard_of: np.ndarray) -> list[np.ndarray]:
     """Of each blob, whether the window at each start occurs elsewhere in the blobs. ``shard_of`` has each blob's shard, ascending.
 
@@ -145,7 +167,7 @@ def repeated_starts(blobs: list[np.ndarray], window: int, gram: int, shard_of: n
     flat = np.zeros(int(length.sum()), np.int64)
     at = first[blob, within % block] + within // block
     flat[at] = names
-    hit = bwt.repeated_places(flat, length.ravel(), np.repeat(shard_of, block), window // block)[at]
+    hit = _repeated_blocks(flat, np.repeat(np.repeat(shard_of, block), length.ravel()), window // block)[at]
     starts = np.cumsum(places) - places
     for i, a, n in zip(which.tolist(), starts.tolist(), size.tolist(), strict=True):
         out[i] = hit[a : a + n - window + 1]
@@ -332,3 +354,16 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, buck
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: Bytes as two hexadecimal digits each; windows by a hash of their digits; runs of starts no more than a window apart are one span.
+ORACLE_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT doc_id, s, hash(substr(x, (2 * s + 1)::BIGINT, 800)) AS k FROM (SELECT doc_id, x, unnest(range(0, length(x) // 2 - 399)) AS s FROM d)),
+r AS (SELECT doc_id, s, s - lag(s, 1, -1000) OVER (PARTITION BY doc_id ORDER BY s) > 400 AS head FROM (SELECT doc_id, s FROM w WHERE k IN (SELECT k FROM w GROUP BY k HAVING count(*) > 1))),
+i AS (SELECT doc_id, s, sum(head::INT) OVER (PARTITION BY doc_id ORDER BY s) AS span FROM r),
+p AS (SELECT doc_id, min(s) AS a, max(s) + 400 AS b FROM i GROUP BY doc_id, span),
+q AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM p),
+k AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(substr(x, (2 * before + 1)::BIGINT, (2 * (a - before))::BIGINT), '' ORDER BY a) || substr(any_value(x), (2 * max(b) + 1)::BIGINT) AS kept FROM q JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, length(x) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+"""
