@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import re
-from array import array
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from operator import itemgetter
 
 import numpy as np
 import public_tokenizers
@@ -48,10 +48,14 @@ class Numbering(defaultdict):
         self.default_factory = self.__len__
 
     def of(self, text: str, split: Callable[[str], list[str]]) -> np.ndarray:
-        found = array("I")
+        found = [np.zeros(0, np.uint32)]
         for piece in pieces(text):
-            found.extend(map(self.__getitem__, split(piece)))
-        return np.frombuffer(found, np.uint32) if found else np.zeros(0, np.uint32)
+            words = split(piece)
+            if len(words) > 1:  # all in one call; of one word itemgetter gives no tuple
+                found.append(np.fromiter(itemgetter(*words)(self), np.uint32, len(words)))
+            elif words:
+                found.append(np.array([self[words[0]]], np.uint32))
+        return np.concatenate(found) if len(found) > 2 else found[-1]
 
 
 def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
