@@ -299,7 +299,7 @@ def _of_nodes(rows: DataFrame, sets: DataFrame, labels: DataFrame | None, percen
 
 
 #: Shingles in a block of a component's sets.
-BLOCK_ITEMS = 1 << 20
+BLOCK_ITEMS = 1 << 18
 
 
 def link_counts(sets: DataFrame, nodes: DataFrame, percent: int, block_items: int = BLOCK_ITEMS) -> DataFrame:
