@@ -139,6 +139,7 @@ def shards(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int | Non
             if held >= shard_tokens:
                 yield shard()
                 docs, sequences, held, made = [], [], 0, made + 1
+                trim()
     if docs:
         yield shard()
     trim()
