@@ -9,7 +9,7 @@ from helixspark.llm.storage import stored
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """node, label: the smallest node reachable, for every node of a link. Nodes are longs.
+    """node, label: the smallest node reachable, for every node of a link. Nodes are of any type that has an order.
 
     Each round every node takes the smallest label around it, hands it to the node that its old label names, and
     follows the new label once (pointer jumping), so the number of rounds grows as the logarithm of the longest path.

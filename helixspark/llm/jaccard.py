@@ -14,6 +14,9 @@ copies into one component. Only members of different components are then compare
 only the ones leave the join whose parity sketches allow a link: a bit of the sketch is the parity of the elements that hash
 to it, so the bits in which two sketches differ are a lower bound of the symmetric difference. Every link is verified on the
 whole sets, with integers. At the end the links of each component are counted, by blocks of its sets.
+
+A set is known by 128 bits, so that of 10^11 different ones no two are to be expected under one key (n^2 / 2^129). A shingle is
+known by 64, which are only ever compared between two sets: of a pair with a thousand each, some 10^6 / 2^64 count one too many.
 """
 
 from __future__ import annotations
@@ -84,9 +87,13 @@ def shingle_set(text: bytes, words: int) -> np.ndarray:
     return np.unique(mixed(total))
 
 
-def set_key(items: np.ndarray) -> int:
-    """A signed 64-bit key of a whole set."""
-    return int(mixed(np.array([mixed(items ^ _GOLDEN).sum() + np.uint64(len(items))], np.uint64)).view(np.int64)[0])
+_KEY_SALTS = (_GOLDEN, np.uint64(0xC2B2AE3D27D4EB4F))
+
+
+def set_key(items: np.ndarray) -> bytes:
+    """A 128-bit key of a whole set: two sums of its elements, mixed differently."""
+    sums = [mixed(items ^ salt).sum() + np.uint64(len(items)) for salt in _KEY_SALTS]
+    return mixed(np.array(sums, np.uint64)).tobytes()
 
 
 class Plan:
@@ -184,10 +191,10 @@ def described(docs: DataFrame, words: int) -> DataFrame:
         for part, texts in _texts(batches):
             sets = [shingle_set(t, words) for t in texts]
             sketches = np.stack([sketch(s) for s in sets]) if sets else np.zeros((0, SKETCH_WORDS), np.int64)
-            columns = [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) if len(s) else None for s in sets], pa.int64())]
+            columns = [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) if len(s) else None for s in sets], pa.binary())]
             yield pa.record_batch([*columns, *(pa.array(np.ascontiguousarray(sketches[:, i])) for i in range(SKETCH_WORDS))], names=["doc_id", "n_shingles", "set_id", *_SKETCH])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_id long, " + ", ".join(f"{c} long" for c in _SKETCH))
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_id binary, " + ", ".join(f"{c} long" for c in _SKETCH))
 
 
 def signed(docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -196,17 +203,17 @@ def signed(docs: DataFrame, words: int, percent: int) -> DataFrame:
     def run(batches):
         plan = Plan(percent)
         for part, texts in _texts(batches):
-            sigs, keys, seen = [], [], set()
+            sigs, keys = [], {}  # the place of each key's signatures
             for text in texts:
                 items = shingle_set(text, words)
-                if len(items) and (key := set_key(items)) not in seen:
-                    seen.add(key)
+                if len(items) and (key := set_key(items)) not in keys:
+                    keys[key] = len(sigs)
                     sigs.append(signatures(items, plan))
-                    keys.append(np.full(len(sigs[-1]), key, np.int64))
             if sigs:
-                yield pa.record_batch([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(keys))], names=["sig", "set_id"])
+                owner = np.repeat(np.arange(len(sigs)), [len(x) for x in sigs])
+                yield pa.record_batch([pa.array(np.concatenate(sigs)), pa.array(list(keys), pa.binary()).take(pa.array(owner))], names=["sig", "set_id"])
 
-    return docs.mapInArrow(run, "sig long, set_id long")
+    return docs.mapInArrow(run, "sig long, set_id binary")
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
@@ -217,7 +224,7 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
             own = [len(s) > 0 and set_key(s) == node for s, node in zip(sets, part.column(0).to_pylist(), strict=True)]
             yield pa.record_batch([part.column(0).filter(pa.array(own, pa.bool_())), pa.array([s.view(np.int64) for s, o in zip(sets, own, strict=True) if o], pa.list_(pa.int64()))], names=["node", "items"])
 
-    return docs.mapInArrow(run, "node long, items array<long>")
+    return docs.mapInArrow(run, "node binary, items array<long>")
 
 
 def _may_link(percent: int):
@@ -263,7 +270,7 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
     sets = bucketed(_sets(named, words), "node", "items")
     members = groups.select("sig", F.col("set_id").alias("node")).join(sketches.select("node", "score"), "node")
     members = stored(members, "members")
-    links = stored(docs.sparkSession.createDataFrame([], "a long, b long"), "links")
+    links = stored(docs.sparkSession.createDataFrame([], "a binary, b binary"), "links")
     tested, labels = links, None
     for turn in range(1, ROUNDS + 1):
         pairs = stored(_round(members, labels, turn).join(tested, ["a", "b"], "left_anti"), "pairs", narrow=True)
@@ -274,7 +281,10 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
         links = links.union(found)
         labels = connected_components(links)
     placed = _placed(members, labels)
-    torn = placed.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("sig")
+    # a least binary is found by sorting, a least number is not; two hashes of a label tell it from any other
+    marks = [F.xxhash64("label"), F.xxhash64("label", F.lit(1))]
+    torn = placed.groupBy("sig").agg(*(f(m).alias(f"{f.__name__}{i}") for i, m in enumerate(marks) for f in (F.min, F.max)))
+    torn = torn.where("min0 <> max0 OR min1 <> max1").select("sig")
     placed = stored(placed.join(torn, "sig", "left_semi").select("sig", "node", "label").join(sketches.drop("score", "doc_id"), "node"), "torn")
     differ = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label"))
     more = placed.alias("x").join(placed.alias("y"), differ & _may_link(percent)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
@@ -336,7 +346,7 @@ def link_counts(sets: DataFrame, nodes: DataFrame, percent: int, block_items: in
             links[i] += copies[hit].sum()
             if lo != hi:
                 links[hit] += copies[i]
-        return pa.record_batch([pa.array([g[2] for g in group], pa.int64()), pa.array(links)], names=["node", "links"])
+        return pa.record_batch([pa.array([g[2] for g in group]), pa.array(links)], names=["node", "links"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple] = []
@@ -351,7 +361,7 @@ def link_counts(sets: DataFrame, nodes: DataFrame, percent: int, block_items: in
             yield count(group)
         trim()
 
-    return met.mapInArrow(run, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
+    return met.mapInArrow(run, f"node {sets.schema['node'].dataType.simpleString()}, links long").groupBy("node").agg(F.sum("links").alias("links"))
 
 
 def _placed(rows: DataFrame, labels: DataFrame | None) -> DataFrame:

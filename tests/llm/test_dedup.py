@@ -96,6 +96,18 @@ def test_link_counts(spark, block_items):
     assert found == {i: sum(j % 3 + 1 for j in range(32) if j != i and label[j] == label[i] and like(sets[i], sets[j])) for i in range(32)}
 
 
+def test_keys_of_sets_are_wide():
+    """The two halves of a key are different hashes, so that either tells sets apart."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 1 << 63, int(n)).astype(np.uint64)) for n in rng.integers(1, 30, 500)]
+    keys = {jaccard.set_key(x) for x in sets}
+    assert len(keys) == len({x.tobytes() for x in sets}) and {len(k) for k in keys} == {16}
+    assert len({k[:8] for k in keys}) == len({k[8:] for k in keys}) == len(keys) and not {k[:8] for k in keys} & {k[8:] for k in keys}
+    assert jaccard.set_key(sets[0][::-1]) == jaccard.set_key(sets[0])
+
+
 def test_schemes_leave_no_pair_out():
     """Any pair that may link shares a signature: differences are put where they hurt most, one a segment."""
     import numpy as np
