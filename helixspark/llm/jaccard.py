@@ -37,6 +37,7 @@ _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0xD1342543DE82EF95
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _BATCH_BYTES = 4 << 20
+_BATCH_ROWS = 1 << 16
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -210,8 +211,10 @@ def signed(docs: DataFrame, words: int, percent: int) -> DataFrame:
                     keys[key] = len(sigs)
                     sigs.append(signatures(items, plan))
             if sigs:
-                owner = np.repeat(np.arange(len(sigs)), [len(x) for x in sigs])
-                yield pa.record_batch([pa.array(np.concatenate(sigs)), pa.array(list(keys), pa.binary()).take(pa.array(owner))], names=["sig", "set_id"])
+                owner = np.repeat(np.arange(len(sigs), dtype=np.int32), [len(x) for x in sigs])
+                flat, names = np.concatenate(sigs), pa.array(list(keys), pa.binary())
+                for a in range(0, len(flat), _BATCH_ROWS):
+                    yield pa.record_batch([pa.array(flat[a : a + _BATCH_ROWS]), names.take(pa.array(owner[a : a + _BATCH_ROWS]))], names=["sig", "set_id"])
 
     return docs.mapInArrow(run, "sig long, set_id binary")
 
