@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from helixspark.llm import pretokens
-from helixspark.llm.storage import parts, shuffle_width, trim
+from helixspark.llm.storage import bound_batches, parts, shuffle_width, trim
 
 RANKS = "byte_bpe_50k.tiktoken"
 BLOCK_BYTES = 16 << 20
@@ -157,6 +157,7 @@ def encode(docs: DataFrame, ranks_path: str | None = None, pattern: str = public
     spark = docs.sparkSession
     with open(ranks_path or public_tokenizers.path(RANKS), "rb") as file:
         vocabulary = spark.sparkContext.broadcast(file.read())  # bounded: a vocabulary, not data
+    bound_batches(spark)
     width = shuffle_width(spark)
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     # every consumer takes all columns, so that the exchange is one and the same for both
@@ -171,6 +172,7 @@ def decode(encoded: DataFrame, ranks_path: str | None = None, ids_col: str = "id
     spark = encoded.sparkSession
     with open(ranks_path or public_tokenizers.path(RANKS), "rb") as file:
         vocabulary = spark.sparkContext.broadcast(file.read())
+    bound_batches(spark)
     at = encoded.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

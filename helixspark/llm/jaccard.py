@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helixspark.llm.components import connected_components
-from helixspark.llm.storage import bucketed, parts, shuffle_width, stored, trim
+from helixspark.llm.storage import bound_batches, bucketed, parts, shuffle_width, stored, trim
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0xD1342543DE82EF95
@@ -262,6 +262,7 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
     null. Other columns are ignored; an empty table gives an empty result.
     """
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    bound_batches(docs.sparkSession)
     rows = stored(described(texts, words), "sets")
     groups = stored(_shared(signed(texts, words, percent)), "groups")
     nodes = groups.groupBy(F.col("set_id").alias("node")).agg(F.sum("size").alias("score"))

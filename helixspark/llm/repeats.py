@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from helixspark.llm import bwt
 from helixspark.llm.jaccard import _BASE, _INVERSE, _powers, mixed
-from helixspark.llm.storage import parts, shuffle_width, stored, trim
+from helixspark.llm.storage import bound_batches, parts, shuffle_width, stored, trim
 
 WINDOW = 400
 GRAM = 32
@@ -293,6 +293,7 @@ def _names(window: int):
 
 def repeated_ranges(texts: DataFrame, window: int, gram: int, bucket_segments: int) -> DataFrame:
     """doc, row, a, b: the windows that start at a..b of the row's text occur more than once. ``texts`` has doc, row and text; doc and row together tell rows apart."""
+    bound_batches(texts.sparkSession)
     width = shuffle_width(texts.sparkSession)
     found = stored(texts.mapInArrow(_anchors(window, gram), "doc long, row long, anchor long, places long"), "anchors")
     # from a table, so that Spark can split the rows of an anchor that very many texts have

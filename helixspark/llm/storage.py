@@ -14,6 +14,20 @@ from pyspark.sql import functions as F
 
 from helixspark.storage import new_path
 
+_BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b")  # and Spark's default
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Have Spark hand texts to Python by 4 MB instead of 64, unless the session says otherwise.
+
+    A batch stands in the executor's buffers and in the worker, and once more in each on its way back. The setting stays with the session.
+    """
+    key, default = _BATCH
+    if spark.conf.get(key) == default:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def stored(df: DataFrame, label: str, narrow: bool = False) -> DataFrame:
     """Write a table to the shared folder and read it back: later stages restart from files, not from lineage.
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from helixspark.llm import pretokens
 from helixspark.llm.repair import Grammar, compressed
-from helixspark.llm.storage import new_path, shuffle_width, trim
+from helixspark.llm.storage import bound_batches, new_path, shuffle_width, trim
 
 TOKENIZER = "byte_bpe_50k.json"
 SHARD_TOKENS = 2_000_000
@@ -154,6 +154,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str | None = None,
     ``special_as_text``.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     with open(tokenizer_path or public_tokenizers.path(TOKENIZER), encoding="utf-8") as file:
         vocabulary = spark.sparkContext.broadcast(file.read())  # bounded: a vocabulary, not data
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))

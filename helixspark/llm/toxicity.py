@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixspark.llm.storage import hashed_sample, stored, trim
+from helixspark.llm.storage import bound_batches, hashed_sample, stored, trim
 
 # Identity terms by language and kind. Terms of one kind and language can stand for each other.
 IDENTITY_TERMS = {
@@ -206,6 +206,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, feature
     Null texts count as empty ones. Documents that repeat an id are each a row of the sample; rows and labels without an id, and
     labels without a document, are left out. Where the sample is empty or has one label only, every score is the share of toxic rows.
     """
+    bound_batches(docs.sparkSession)
     sample = stored(labelled_sample(docs, labels, sample_rows), "sample")
     chosen = selected_features(sample, features)
     shape = Model(_numbered(chosen), np.zeros(0), 0.0)
@@ -226,6 +227,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, feature
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """``docs`` with held_out, score and predicted, which replace columns of those names. Null text scores as empty."""
+    bound_batches(docs.sparkSession)
     names = [c for c in docs.columns if c not in ("held_out", "score", "predicted")]
     docs = docs.select(*[F.col(f"`{c}`") for c in names])
     at = names.index("text")

@@ -2,10 +2,11 @@ import hashlib
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
 from tests.llm.odd import ODD
-from helixspark.llm import bwt, exact_dedup, jaccard, repeats
+from helixspark.llm import bwt, exact_dedup, jaccard, repeats, storage
 
 random.seed(4)
 WORDS = ["alpha", "beta", "gamma", "delta", "the", "of", "and", "Zeta", "êta", "thêta", "iota", "kappa"]
@@ -108,6 +109,21 @@ def test_keys_of_sets_are_wide():
     assert jaccard.set_key(sets[0][::-1]) == jaccard.set_key(sets[0])
 
 
+def test_batches_are_bounded_unless_the_session_says_otherwise(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    sizes = lambda: spark.createDataFrame([("x" * 100_000,)] * 200, "text string").coalesce(1).mapInArrow(lambda batches: (pa.record_batch([pa.array([b.nbytes])], names=["n"]) for b in batches), "n long").collect()
+    had = spark.conf.get(key)
+    try:
+        spark.conf.unset(key)
+        storage.bound_batches(spark)
+        assert len(found := sizes()) > 1 and all(r.n <= 2 * storage.BATCH_BYTES for r in found)
+        spark.conf.set(key, "1000000")
+        storage.bound_batches(spark)
+        assert spark.conf.get(key) == "1000000"
+    finally:
+        spark.conf.set(key, had)
+
+
 def test_schemes_leave_no_pair_out():
     """Any pair that may link shares a signature: differences are put where they hurt most, one a segment."""
     import numpy as np
