@@ -52,18 +52,22 @@ def _blocks(pattern: str, buckets: int, block_bytes: int):
         docs, sequences, words, held, made = [], [], pretokens.Numbering(), 0, 0
 
         def block() -> pa.RecordBatch:
+            counts = [len(s) for s in sequences]
             numbers = np.concatenate(sequences) if sequences else np.zeros(0, np.uint32)
-            by_count = np.argsort(-np.bincount(numbers, minlength=len(words)), kind="stable")
-            rank = np.empty(len(words), np.uint32)
-            rank[by_count] = np.arange(len(words), dtype=np.uint32)
             coded = [w.encode() for w in words]
+            # what the block is made of goes before it is packed
+            sequences.clear()
+            words.clear()
+            by_count = np.argsort(-np.bincount(numbers, minlength=len(coded)), kind="stable")
+            rank = np.empty(len(coded), np.uint32)
+            rank[by_count] = np.arange(len(coded), dtype=np.uint32)
             bucket = np.fromiter((zlib.crc32(w) % buckets for w in coded), np.int64, len(coded))
             order = np.argsort(bucket, kind="stable")
-            place = np.empty(len(words), np.uint32)  # of a word in the list by buckets
-            place[order] = np.arange(len(words), dtype=np.uint32)
+            place = np.empty(len(coded), np.uint32)  # of a word in the list by buckets
+            place[order] = np.arange(len(coded), dtype=np.uint32)
             ends = np.cumsum(np.bincount(bucket, minlength=buckets))
             parts = [_SEPARATOR.join(map(coded.__getitem__, order[a:b].tolist())) for a, b in zip(ends - np.bincount(bucket, minlength=buckets), ends, strict=True)]
-            row = {"block": [first + made], "docs": [docs], "counts": [[len(s) for s in sequences]], "numbers": [_packed(rank[numbers])], "places": [zstandard.compress(place[by_count].tobytes())], "words": [parts]}
+            row = {"block": [first + made], "docs": [docs], "counts": [counts], "numbers": [_packed(rank[numbers])], "places": [zstandard.compress(place[by_count].tobytes())], "words": [parts]}
             return pa.RecordBatch.from_pydict(row, schema=pa.schema([("block", pa.int64()), ("docs", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("numbers", pa.binary()), ("places", pa.binary()), ("words", pa.list_(pa.binary()))]))
 
         for batch in batches:

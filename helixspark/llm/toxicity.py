@@ -48,6 +48,7 @@ IDENTITY_TERMS = {
 
 _WORD = re.compile(r"\w+")
 _PREFIXES = (4, 5, 6)
+_CACHED_WORDS = 1 << 16  # of a task
 _KIND = {term: kind for kind, terms in IDENTITY_TERMS.items() for term in terms}
 
 
@@ -188,6 +189,8 @@ def selected_features(sample: DataFrame, count: int, min_rows: int = 5) -> list[
                 seen[toxic].update({f for w in words_of(text.as_py()) for f in features_of(w)})
         names = list(seen[0].keys() | seen[1].keys())
         yield pa.RecordBatch.from_pydict({"feature": pa.array(["", *names], pa.string()), "clean": pa.array([rows[0], *(seen[0][f] for f in names)], pa.int64()), "toxic": pa.array([rows[1], *(seen[1][f] for f in names)], pa.int64())})
+        del names, seen
+        trim()
 
     found = sample.select("text", "toxic").mapInArrow(counts, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     total = found.where(F.col("feature") == "").collect()
@@ -214,8 +217,12 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, feature
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict = {}
         for batch in batches:
+            if len(cache) > _CACHED_WORDS:
+                cache.clear()
             rows = [row_of(words_of(t.as_py()), shape, cache) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.list_(pa.string())), batch.column(2)], names=["doc_id", "base", "terms", "toxic"])
+        cache.clear()
+        trim()
 
     rows = sample.mapInArrow(vectors, "doc_id long, base binary, terms array<string>, toxic int").collect()
     rows = sorted((r.doc_id, bytes(r.base), r.terms, r.toxic) for r in rows)
@@ -237,7 +244,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shipped.value
         for batch in batches:
-            if len(cache) > 300_000:
+            if len(cache) > _CACHED_WORDS:
                 cache.clear()
             scores = [model.score(words_of(t.as_py()), cache) for t in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "score"])
