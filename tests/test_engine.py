@@ -1,6 +1,7 @@
 import os
 import random
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from helixspark import cli
 from helixspark.operators import count, extract, minimizer
+from helixspark.plans import catalog
 from helixspark.sources import fasta
 from helixspark.streaming.counts import append_counts, appended_totals, banded, streaming_counts
 
@@ -230,3 +232,17 @@ def test_diagnostics():
     with timed("nothing") as took:
         pass
     assert took["seconds"] >= 0 and all(v > 0 for v in memory().values())
+
+
+def _both(spark, name, texts, folder):
+    """A query's rows and those of its SQL, over documents with these texts."""
+    path = str(folder)
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{path}/documents.parquet")
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{path}/documents.parquet/*.parquet')")
+        return [tuple(r) for r in catalog.queries()[name](spark, path).collect()], con.execute(catalog.oracle_sql()[name]).fetchall()
+
+
+def test_top_kmers_keep_to_the_band(spark, tmp_path):
+    found, expected = _both(spark, "top_kmers", ["A" * 65_600, "ACGTTGCAGATTACAGGCCATTTGACCA" * 3, "C" * 65_555], tmp_path)
+    assert found == expected and found[0] == ("C" * 21, 65_535)  # the most that the band has; 65,580 is beyond
