@@ -97,9 +97,13 @@ def wang64_inverse(x: np.ndarray) -> np.ndarray:
 
 
 def superfast32(column: pa.Array) -> np.ndarray:
-    """Paul Hsieh's SuperFastHash of byte strings, all rows at once, four bytes at a time; 0 for empty ones. Bytes that stand alone are signed."""
+    """Paul Hsieh's SuperFastHash of byte strings, all rows at once; 0 for empty ones. Bytes that stand alone are signed."""
     data, offsets = joined(column)
-    start, length = offsets[:-1], np.diff(offsets)
+    return superfast32_at(data, offsets[:-1], np.diff(offsets))
+
+
+def superfast32_at(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """As superfast32, of data[start[i] : start[i] + length[i]], which may overlap, four bytes at a time."""
     wide = np.concatenate([data, np.zeros(4, np.uint8)]).astype(np.uint32)
     shorts, signed = wide[:-1] | wide[1:] << np.uint32(8), wide.astype(np.uint8).view(np.int8).astype(np.int32).view(np.uint32)
     h = length.astype(np.uint32)

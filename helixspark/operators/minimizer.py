@@ -7,7 +7,7 @@ task, cut after ``max_len - k + 1`` of them.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,9 +38,9 @@ def mmer_hashes(codes: np.ndarray, m: int) -> np.ndarray:
     return murmur64(hash_words(codes, m))
 
 
-def hash_words(codes: np.ndarray, m: int) -> np.ndarray:
-    """The canonical m-mers as they are hashed: 32 bases a word, from the high bits."""
-    words = canonical_windows(codes, m, 32)
+def hash_words(codes: np.ndarray, m: int, windows: Callable = canonical_windows) -> np.ndarray:
+    """The canonical m-mers (or other ``windows``) as they are hashed: 32 bases a word, from the high bits."""
+    words = windows(codes, m, 32)
     words[:, -1] <<= np.uint64(64 - 2 * (m - 32 * (words.shape[1] - 1)))
     return words
 

@@ -246,3 +246,22 @@ def _both(spark, name, texts, folder):
 def test_top_kmers_keep_to_the_band(spark, tmp_path):
     found, expected = _both(spark, "top_kmers", ["A" * 65_600, "ACGTTGCAGATTACAGGCCATTTGACCA" * 3, "C" * 65_555], tmp_path)
     assert found == expected and found[0] == ("C" * 21, 65_535)  # the most that the band has; 65,580 is beyond
+
+
+ODD = ["ACGTTGCANGATTACAGGCCATTTGACCA" * 9, None, "ACGTACGTACGTACGT", "ACGTACGTACGTACGTA", "xx", "T" * 400]
+
+
+def test_murmur64_makes_no_row_of_a_window(spark, tmp_path):
+    found, expected = _both(spark, "murmur64", ODD, tmp_path)
+    assert sorted(found) == sorted(expected) and len(found) == 3
+    plan = catalog.queries()["murmur64"](spark, str(tmp_path))._jdf.queryExecution().toString()
+    assert "Generate" not in plan and "ArrowEvalPython" not in plan
+
+
+def test_sums_over_windows_of_a_read_in_pieces(spark):
+    seq = "".join(random.Random(5).choices("ACGT", k=(1 << 20) + 300))
+    df = spark.createDataFrame([(1, seq), (2, "A" * 40), (2, "C" * 39), (3, "ACG")], "rid long, seq string")
+    values = lambda codes, start: extract.packed_windows(codes, 20)[start, 0].view(np.int64)
+    found = extract.window_sums(df, 20, values, {"mixed": (np.bitwise_xor, F.bit_xor), "least": (np.minimum, F.min)}).collect()
+    whole = extract.packed_windows(extract.checked_codes(*extract.joined(pa.array([seq]))), 20)[:, 0].view(np.int64)
+    assert sorted(map(tuple, found)) == [(1, len(whole), int(np.bitwise_xor.reduce(whole)), int(whole.min())), (2, 41, 0, 0)]
