@@ -251,10 +251,11 @@ def test_top_kmers_keep_to_the_band(spark, tmp_path):
 ODD = ["ACGTTGCANGATTACAGGCCATTTGACCA" * 9, None, "ACGTACGTACGTACGT", "ACGTACGTACGTACGTA", "xx", "T" * 400]
 
 
-def test_murmur64_makes_no_row_of_a_window(spark, tmp_path):
-    found, expected = _both(spark, "murmur64", ODD, tmp_path)
+@pytest.mark.parametrize("name", ["murmur64", "superfast32"])
+def test_hashes_make_no_row_of_a_window(spark, tmp_path, name):
+    found, expected = _both(spark, name, ODD, tmp_path)
     assert sorted(found) == sorted(expected) and len(found) == 3
-    plan = catalog.queries()["murmur64"](spark, str(tmp_path))._jdf.queryExecution().toString()
+    plan = catalog.queries()[name](spark, str(tmp_path))._jdf.queryExecution().toString()
     assert "Generate" not in plan and "ArrowEvalPython" not in plan
 
 
