@@ -4,8 +4,9 @@ TF-IDF vectors of passages (windows of 48 words that overlap by half) are projec
 finds. Benchmark items are cut into the same windows, and passages near one of them by cosine are candidates. A candidate is a leak if, in a stretch not much longer
 than the item, the longest common subsequence of words holds most of the item and most of its answer (its last
 words); that is looked at for the whole item, however long. Document frequencies cover all documents and are counted in many more slots than the latent space has features, so that a
-word is weighed by itself and not by all words of its feature; no word is without weight. The SVD is fitted on bounded samples of the documents and of the
-items' windows; its one latent space serves every item. Passes over the documents are one for each ``windows_per_pass`` windows of items.
+word is weighed by itself and not by all words of its feature; no word is without weight. The SVD is fitted on every window of the documents
+and of the items; its one latent space serves every item. Documents are read once to store their words as numbers, which the frequencies and the SVD's rounds read,
+and once for each ``windows_per_pass`` windows of items.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +25,8 @@ from helixspark.llm.storage import bound_batches, hashed_sample, parts, stored,
 
 
 _BLOCKS = 128  # word blocks or windows handled at a time
+_WIDTH = 8  # rows of a table summed up at a time
+_SLICES = 256  # of a matrix that tasks sum up
 _WORD_BYTES = np.zeros(256, bool)
 _WORD_BYTES[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
@@ -34,10 +38,10 @@ class Options:
     spare_rank: int = 16  #: beyond one for each window of an item, where these are fewer than ``rank``
     block: int = 24  #: words; a window is two neighbouring blocks
     weight_slots: int = 1 << 20  #: in which words' document frequencies are counted; more than ``features``
-    sample_docs: int = 2000  #: for the SVD
-    sample_windows: int = 4096  #: of benchmark items, for the SVD
+    sample_windows: int | None = None  #: of benchmark items, at most, for the SVD; None: all
     power_rounds: int = 2
-    item_weight: float = 100.0  #: of a window of a benchmark item against a passage of the sample, in the SVD
+    item_weight: float = 100.0  #: of a window of a benchmark item against one of a document, in the SVD, where there are ``weighed_docs``
+    weighed_docs: int = 2000  #: more documents weigh as much together as so many, that the items' share does not fall
     cosine: float = 0.5  #: candidates have it at least
     similarity: float = 0.8  #: of the item's words, in order
     answer_words: int = 8  #: the item's last words, a third of it at most
@@ -79,24 +83,42 @@ def _features(words: np.ndarray, count: int) -> np.ndarray:
     return ((words >> np.uint64(32)) * np.uint64(count) >> np.uint64(32)).astype(np.int32)
 
 
-def document_frequencies(docs: DataFrame, slots: int) -> tuple[np.ndarray, int]:
+def numbered_words(docs: DataFrame) -> DataFrame:
+    """counts, words: the upper halves of the hashes of all texts' words, a row for about half a megabyte of texts, stored."""
+
+    def run(batches):
+        for batch in batches:
+            for part in parts(batch, 0, 1 << 19):
+                texts = hashes_of([(t.as_py() or "").encode() for t in part.column(0)])
+                counts = np.array([len(x) for x in texts], np.int32)
+                words = (np.concatenate(texts) >> np.uint64(32)).astype(np.uint32)
+                yield pa.record_batch([pa.array([counts.tobytes()], pa.binary()), pa.array([words.tobytes()], pa.binary())], names=["counts", "words"])
+        trim()
+
+    return stored(docs.select("text").mapInArrow(run, "counts binary, words binary"), "words")
+
+
+def _numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Words for each text, and the words, by their hashes' upper halves, of each row of numbered_words()."""
+    for batch in batches:
+        for counts, words in zip(batch.column(0), batch.column(1), strict=True):
+            yield np.frombuffer(counts.as_py(), np.int32), np.frombuffer(words.as_py(), np.uint32).astype(np.uint64) << np.uint64(32)
+
+
+def document_frequencies(words: DataFrame, slots: int) -> tuple[np.ndarray, int]:
     """In how many documents each slot of words stands, and the number of documents: a row for each slot that a task has met."""
 
     def count(batches):
-        found, rows = np.zeros(slots + 1, np.int64), 0
-        for batch in batches:
-            rows += batch.num_rows
-            for part in parts(batch, 1, 1 << 16):
-                texts = hashes_of([(t.as_py() or "").encode() for t in part.column(1)])
-                row = np.repeat(np.arange(len(texts)), [len(x) for x in texts])
-                met = np.unique(row * slots + _features(np.concatenate(texts), slots))  # once for each text
-                np.add.at(found, met % slots, 1)
-        found[slots] = rows
+        found = np.zeros(slots + 1, np.int64)
+        for counts, numbers in _numbers(batches):
+            found[slots] += len(counts)
+            met = np.unique(np.repeat(np.arange(len(counts)), counts) * slots + _features(numbers, slots))  # once for each text
+            np.add.at(found, met % slots, 1)
         met = np.flatnonzero(found)
         yield pa.record_batch([pa.array(met, pa.int32()), pa.array(found[met])], names=["slot", "docs"])
         trim()
 
-    total = docs.mapInArrow(count, "slot int, docs long").groupBy("slot").agg(F.sum("docs").alias("docs")).toArrow()  # bounded: slots
+    total = words.mapInArrow(count, "slot int, docs long").groupBy("slot").agg(F.sum("docs").alias("docs")).toArrow()  # bounded: slots
     out = np.zeros(slots + 1, np.int64)
     out[total["slot"].to_numpy()] = total["docs"].to_numpy()
     return out[:-1], int(out[-1])
@@ -143,55 +165,93 @@ def _normal(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
 
-def _gram_product(texts: list[np.ndarray], idf: np.ndarray, basis: np.ndarray, block: int) -> np.ndarray:
-    """A' A Q for the TF-IDF rows A (of unit length) of the texts' windows of two blocks."""
+def _sums_by(key: np.ndarray, at: np.ndarray, weight: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct of some ascending keys, and for each the sum of ``table[at]`` times ``weight``: sums of a few rows, then of a few sums."""
+    while True:
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        length = np.diff(first, append=len(key))
+        rows = -(-length // _WIDTH)
+        place = np.arange(len(key)) - np.repeat(first, length)
+        row = np.repeat(np.cumsum(rows) - rows, length) + place // _WIDTH
+        index, factor = np.zeros((int(rows.sum()), _WIDTH), np.int32), np.zeros((int(rows.sum()), _WIDTH), np.float32)
+        index[row, place % _WIDTH], factor[row, place % _WIDTH] = at, weight
+        sums = np.empty((len(index), table.shape[1]), np.float32)
+        for a in range(0, len(index), 2 * _BLOCKS):
+            sums[a : a + 2 * _BLOCKS] = np.einsum("ij,ijk->ik", factor[a : a + 2 * _BLOCKS], np.take(table, index[a : a + 2 * _BLOCKS], axis=0))
+        key = np.repeat(key[first], rows)
+        if len(key) == len(first):
+            return key, sums
+        at, weight, table = np.arange(len(key)), np.ones(len(key), np.float32), sums
+
+
+def _gram_product(texts: list[np.ndarray], idf: np.ndarray, basis: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """A' A Q for the TF-IDF rows A (of unit length) of the texts' windows of two blocks: its features that are not 0, and their rows."""
     windows = Windows(texts, idf, len(basis), 2 * block)
     norm = np.sqrt(np.maximum(np.bincount(windows.row, windows.weight**2, windows.n), 1e-9)).astype(np.float32)
     y = windows.sums(basis) / norm[:, None] ** 2
     order = np.argsort(windows.feature, kind="stable")
-    out = np.zeros_like(basis)
-    if len(order):
-        f = windows.feature[order]
-        edge = np.flatnonzero(np.diff(f, prepend=-1))
-        out[f[edge]] = np.add.reduceat(y[windows.row[order]] * windows.weight[order, None], edge, axis=0)
-    return out
+    return _sums_by(windows.feature[order], windows.row[order], windows.weight[order], y)
 
 
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = None
-    for batch in batches:
-        for part in batch.column(0):
-            one = np.frombuffer(part.as_py(), np.float32)
-            total = one.copy() if total is None else total + one
-    if total is not None:
-        yield pa.record_batch([pa.array([total.tobytes()], pa.binary())], names=["part"])
+def _sliced(total: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A task's matrix as rows of slices: slice, task, part."""
+    ends = np.linspace(0, len(total), _SLICES + 1).astype(int)
+    task = TaskContext.get().partitionId()
+    for a in range(0, _SLICES, 32):  # few at a time
+        yield pa.record_batch([pa.array(np.arange(a, a + 32), pa.int32()), pa.array([task] * 32, pa.int32()), pa.array([total[ends[i] : ends[i + 1]].tobytes() for i in range(a, a + 32)], pa.binary())], names=["slice", "task", "part"])
+
+
+def _summed(table: pa.Table) -> pa.Table:
+    """The sum of a slice over the tasks, in their order, so that it is the same each time."""
+    order = np.argsort(table.column("task").to_numpy(), kind="stable")
+    total = np.zeros(len(table.column("part")[0].as_py()) // 4)
+    for i in order.tolist():
+        total += np.frombuffer(table.column("part")[i].as_py(), np.float32)
+    return pa.table({"slice": table.column("slice")[:1], "part": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
 
-def latent_space(docs: DataFrame, rows: int, items: list[np.ndarray], idf: np.ndarray, o: Options) -> np.ndarray:
+def latent_space(words: DataFrame, rows: int, items: DataFrame, n_items: int, idf: np.ndarray, o: Options) -> np.ndarray:
     """Feature x rank: the strongest right singular vectors over their singular values, by subspace iteration from a random start.
 
-    A round sums A' A Q over the sample's 4 tasks; one matrix reaches the driver. ``items`` are windows of items.
+    A round sums A' A Q over all windows of the documents and the items, in the tasks; one matrix reaches the driver, which sums up no data itself.
+    ``words`` are the numbered_words() of documents, ``rows`` of them; ``items`` have text and starts, the first words of ``n_items`` windows in all.
     """
-    sample = hashed_sample(docs.select("doc_id", "text").where("doc_id IS NOT NULL"), F.col("doc_id"), o.sample_docs, rows)
-    sample = stored(sample.repartition(4), "sample")
     draw = np.random.default_rng(o.seed)
-    basis = draw.standard_normal((o.features, min(o.rank, len(items) + o.spare_rank))).astype(np.float32)
-    spark = docs.sparkSession
+    basis = draw.standard_normal((o.features, min(o.rank, n_items + o.spare_rank))).astype(np.float32)
+    item_weight = o.item_weight * max(1.0, rows / o.weighed_docs)
+    spark = words.sparkSession
     weights = spark.sparkContext.broadcast(idf)  # bounded: slots
     for round_ in range(o.power_rounds + 1):
         shipped = spark.sparkContext.broadcast(basis)  # bounded: features x rank
 
-        def partial(batches, shipped=shipped):
-            total = np.zeros_like(shipped.value)
-            for batch in batches:
-                texts = hashes_of([(t.as_py() or "").encode() for t in batch.column(1)])
-                for a in range(0, len(texts), 50):
-                    total += _gram_product(texts[a : a + 50], weights.value, shipped.value, o.block)
-            yield pa.record_batch([pa.array([total.tobytes()], pa.binary())], names=["part"])
-
-        total = o.item_weight * _gram_product(items, idf, basis, o.block)
-        for found in sample.mapInArrow(partial, "part binary").repartition(1).mapInArrow(_summed, "part binary").collect():
-            total += np.frombuffer(found.part, np.float32).reshape(total.shape)
+        def product(blocks: Iterator[list[np.ndarray]], weight: float, shipped=shipped) -> Iterator[pa.RecordBatch]:
+            total = None
+            for texts in blocks:
+                total = np.zeros_like(shipped.value) if total is None else total
+                feature, rows = _gram_product(texts, weights.value, shipped.value, o.block)
+                total[feature] += rows * np.float32(weight)
+            if total is not None:
+                yield from _sliced(total)
+            del total
+            trim()
+
+        def of_docs(batches, product=product):
+            yield from product((np.split(numbers, np.cumsum(counts)[:-1]) for counts, numbers in _numbers(batches)), 1.0)
+
+        def of_items(batches, product=product):
+            def windows():
+                for batch in batches:
+                    for text, starts in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                        item = word_hashes(text.as_py().encode())
+                        for a in range(0, len(starts), 1000):
+                            yield [item[i : i + 2 * o.block] for i in starts[a : a + 1000]]
+
+            yield from product(windows(), item_weight)
+
+        schema = "slice int, task int, part binary"
+        both = words.mapInArrow(of_docs, schema).unionByName(items.select("text", "starts").mapInArrow(of_items, schema).withColumn("task", -1 - F.col("task")))
+        found = both.groupBy("slice").applyInArrow(_summed, "slice int, part binary").collect()  # bounded: features x rank
+        total = np.frombuffer(b"".join(r.part for r in sorted(found, key=lambda r: r.slice)), np.float32).reshape(basis.shape)
         shipped.destroy()
         if round_ < o.power_rounds:
             basis = np.linalg.qr(total)[0].astype(np.float32)
@@ -267,11 +327,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, options: Options | None = None)
     total = windows.agg(F.sum(F.size("starts")).alias("n")).first().n or 0
     passes = -(-total // o.windows_per_pass)
     if passes:
-        frequency, n_docs = document_frequencies(docs, o.weight_slots)
+        words = numbered_words(docs)
+        frequency, n_docs = document_frequencies(words, o.weight_slots)
         idf = inverse_frequencies(frequency, n_docs)
-        cuts = hashed_sample(windows.select("hash", "text", F.explode("starts").alias("start")), F.struct("hash", "start"), o.sample_windows, total).collect()
-        fitted = [word_hashes(r.text.encode())[r.start : r.start + 2 * o.block] for r in sorted(cuts, key=lambda r: (r.hash, r.start))]
-        basis = latent_space(docs, n_docs, fitted, idf, o)
+        fitted, n_fitted = windows.select("text", "starts"), total
+        if o.sample_windows is not None and o.sample_windows < total:
+            cuts = windows.select("hash", "text", F.explode("starts").alias("start"))
+            fitted, n_fitted = hashed_sample(cuts, F.struct("hash", "start"), o.sample_windows, total).select("text", F.array("start").alias("starts")), o.sample_windows
+        basis = latent_space(words, n_docs, fitted, n_fitted, idf, o)
     for k in range(passes):
         # by hash, so each pass has about its share of the windows
         own = F.filter("starts", lambda start: F.pmod(F.xxhash64("hash", start), F.lit(passes)) == F.lit(k))  # noqa: B023

@@ -275,6 +275,33 @@ def test_long_items_are_found(spark, docs_of, item_words):
     assert {(r.doc_id, r.item_id) for r in found} == truth
 
 
+def test_latent_space_is_fitted_on_every_window(spark, docs_of):
+    rng, o = random.Random(6), decontamination.Options(features=64, rank=6, spare_rank=2, weight_slots=256)
+    draw = lambda words, most: " ".join(f"w{rng.choice(words)}" for _ in range(rng.randint(0, most)))
+    texts = [*(draw(range(40), 30) for _ in range(2_500)), draw(range(90, 120), 3_000), *(draw(range(50, 60), 150) for _ in range(9)), None, ""]
+    items = [(i, draw(range(30, 70), 90) + " w1", [0, 24]) for i in range(5)]
+    words = decontamination.numbered_words(docs_of(list(enumerate(texts))).repartition(5))
+    frequency, n_docs = decontamination.document_frequencies(words, o.weight_slots)
+    idf = decontamination.inverse_frequencies(frequency, n_docs)
+    found = decontamination.latent_space(words, n_docs, spark.createDataFrame(items, "item_id long, text string, starts array<int>"), 10, idf, o)
+
+    hashed = [decontamination.word_hashes((t or "").encode()) for t in texts]
+    cuts = [(h[a : a + 48], 1.0) for h in hashed for a in range(0, len(h), 48)] + [(decontamination.word_hashes(t.encode())[a : a + 48], o.item_weight * len(texts) / 2_000) for _, t, starts in items for a in starts]
+    rows, seen = np.zeros((len(cuts), o.features)), np.zeros(o.weight_slots)
+    for h in hashed:
+        seen[np.unique(decontamination._features(h, o.weight_slots))] += 1
+    for row, (cut, weight) in zip(rows, cuts, strict=True):
+        values = idf[decontamination._features(cut, o.weight_slots)]
+        np.add.at(row, decontamination._features(cut, o.features), values * weight**0.5 / max(1e-9, float((values**2).sum())) ** 0.5)
+    gram, basis = rows.T @ rows, np.random.default_rng(o.seed).standard_normal((o.features, o.rank)).astype(np.float32)
+    for _ in range(o.power_rounds):
+        basis = np.linalg.qr(gram @ basis)[0]
+    strength, turn = np.linalg.eigh(basis.T @ gram @ basis)
+    expected = (basis @ turn) / np.sqrt(strength)
+    assert n_docs == len(texts) and (frequency == seen).all()
+    assert np.allclose(np.abs(found.T @ gram @ expected), np.eye(o.rank), atol=0.02)  # the same directions, whatever their signs
+
+
 ODD_IDS = [(1000 + k, t) for k, (_, t) in enumerate(ODD)]
 
 
