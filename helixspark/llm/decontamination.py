@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate, islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,8 @@ from helixspark.llm.storage import bound_batches, hashed_sample, parts, stored,
 
 
 _BLOCKS = 128  # word blocks or windows handled at a time
-_WIDTH = 8  # rows of a table summed up at a time
+_WIDTH = 32  # rows of a table summed up at a time
+_TOGETHER = 4  # rows of numbered_words() multiplied at a time: a feature stands in them often enough to fill rows of ``_WIDTH``
 _SLICES = 256  # of a matrix that tasks sum up
 _WORD_BYTES = np.zeros(256, bool)
 _WORD_BYTES[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -139,19 +141,23 @@ class Windows:
         self.start = (np.arange(first[-1]) - first[self.doc]) * block
         words = np.concatenate(texts) if texts else np.zeros(0, np.uint64)
         length = np.array([len(w) for w in texts], np.int64)
-        place = np.arange(len(words)) - np.repeat(np.cumsum(length) - length, length)
-        self.row, self.place = np.repeat(first[:-1], length) + place // block, place % block
+        # a text's words fill its blocks one after another
+        self.cell = np.arange(len(words)) + np.repeat(first[:-1] * block - (np.cumsum(length) - length), length)
         self.feature, self.weight = _features(words, features), idf[_features(words, len(idf))]
         self.n = int(first[-1])
 
     def sums(self, table: np.ndarray) -> np.ndarray:
         """The rows of ``table`` times the words' weights, summed by block."""
-        feature, weight = np.zeros((self.n, self.block), np.int32), np.zeros((self.n, self.block), np.float32)
-        feature[self.row, self.place], weight[self.row, self.place] = self.feature, self.weight
-        out = np.zeros((self.n, table.shape[1]), np.float32)
-        for a in range(0, self.n, _BLOCKS):  # the gathered rows of a very long text would be large
-            out[a : a + _BLOCKS] = np.einsum("ij,ijk->ik", weight[a : a + _BLOCKS], np.take(table, feature[a : a + _BLOCKS], axis=0))
-        return out
+        return _products(*self._filled(), table)
+
+    def norms(self) -> np.ndarray:
+        """The length of each block's vector of weights."""
+        return np.sqrt(np.maximum(np.square(self._filled()[1]).sum(1), 1e-9))
+
+    def _filled(self) -> tuple[np.ndarray, np.ndarray]:
+        feature, weight = np.zeros(self.n * self.block, np.int32), np.zeros(self.n * self.block, np.float32)
+        feature[self.cell], weight[self.cell] = self.feature, self.weight
+        return feature.reshape(self.n, self.block), weight.reshape(self.n, self.block)
 
     def pairs(self, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Vectors, documents and first words of the windows: each block with the next one of its text, if there is one."""
@@ -165,32 +171,33 @@ def _normal(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
 
+def _products(at: np.ndarray, weight: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """For each row of ``at`` the sum of ``table[at]`` times the row's weights."""
+    out = np.empty((len(at), table.shape[1]), np.float32)
+    for a in range(0, len(at), _BLOCKS // 2):  # the gathered rows of a very long text would be large
+        np.matmul(weight[a : a + _BLOCKS // 2, None, :], np.take(table, at[a : a + _BLOCKS // 2], axis=0), out=out[a : a + _BLOCKS // 2, None, :])
+    return out
+
+
 def _sums_by(key: np.ndarray, at: np.ndarray, weight: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct of some ascending keys, and for each the sum of ``table[at]`` times ``weight``: sums of a few rows, then of a few sums."""
-    while True:
-        first = np.flatnonzero(np.diff(key, prepend=-1))
-        length = np.diff(first, append=len(key))
-        rows = -(-length // _WIDTH)
-        place = np.arange(len(key)) - np.repeat(first, length)
-        row = np.repeat(np.cumsum(rows) - rows, length) + place // _WIDTH
-        index, factor = np.zeros((int(rows.sum()), _WIDTH), np.int32), np.zeros((int(rows.sum()), _WIDTH), np.float32)
-        index[row, place % _WIDTH], factor[row, place % _WIDTH] = at, weight
-        sums = np.empty((len(index), table.shape[1]), np.float32)
-        for a in range(0, len(index), 2 * _BLOCKS):
-            sums[a : a + 2 * _BLOCKS] = np.einsum("ij,ijk->ik", factor[a : a + 2 * _BLOCKS], np.take(table, index[a : a + 2 * _BLOCKS], axis=0))
-        key = np.repeat(key[first], rows)
-        if len(key) == len(first):
-            return key, sums
-        at, weight, table = np.arange(len(key)), np.ones(len(key), np.float32), sums
+    """The distinct of some ascending keys, and for each the sum of ``table[at]`` times ``weight``: sums of a few rows, then of these sums."""
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    length = np.diff(first, append=len(key))
+    rows = -(-length // _WIDTH)
+    begin = np.cumsum(rows) - rows
+    cell = np.arange(len(key)) + np.repeat(begin * _WIDTH - first, length)
+    index, factor = np.zeros(int(rows.sum()) * _WIDTH, np.int32), np.zeros(int(rows.sum()) * _WIDTH, np.float32)
+    index[cell], factor[cell] = at, weight
+    sums = _products(index.reshape(-1, _WIDTH), factor.reshape(-1, _WIDTH), table)
+    return key[first], np.add.reduceat(sums, begin, axis=0) if len(begin) else sums
 
 
 def _gram_product(texts: list[np.ndarray], idf: np.ndarray, basis: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
     """A' A Q for the TF-IDF rows A (of unit length) of the texts' windows of two blocks: its features that are not 0, and their rows."""
     windows = Windows(texts, idf, len(basis), 2 * block)
-    norm = np.sqrt(np.maximum(np.bincount(windows.row, windows.weight**2, windows.n), 1e-9)).astype(np.float32)
-    y = windows.sums(basis) / norm[:, None] ** 2
-    order = np.argsort(windows.feature, kind="stable")
-    return _sums_by(windows.feature[order], windows.row[order], windows.weight[order], y)
+    y = windows.sums(basis) / windows.norms()[:, None] ** 2
+    order = np.argsort(windows.feature.astype(np.uint16) if len(basis) <= 1 << 16 else windows.feature, kind="stable")  # numbers of 16 bits are sorted by counting
+    return _sums_by(windows.feature[order], windows.cell[order] // (2 * block), windows.weight[order], y)
 
 
 def _sliced(total: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -236,7 +243,12 @@ def latent_space(words: DataFrame, rows: int, items: DataFrame, n_items: int, id
             trim()
 
         def of_docs(batches, product=product):
-            yield from product((np.split(numbers, np.cumsum(counts)[:-1]) for counts, numbers in _numbers(batches)), 1.0)
+            def texts():
+                rows = _numbers(batches)
+                while held := list(islice(rows, _TOGETHER)):
+                    yield [text for counts, numbers in held for text in np.split(numbers, np.cumsum(counts)[:-1])]
+
+            yield from product(texts(), 1.0)
 
         def of_items(batches, product=product):
             def windows():
@@ -285,11 +297,12 @@ def best_stretch(item: list, words: list, o: Options) -> tuple[int, bool, int]:
     step = max(1, (size - len(item)) // 2)
     tail = item[-max(1, min(o.answer_words, len(item) // 3)) :]
     known = {*item}
+    met = [0, *accumulate(x in known for x in words)]  # of the item's words, before each place
     for start in range(0, max(1, len(words) - size + step), step):
-        part = words[start : start + size]
-        most = sum(x in known for x in part)
+        most = met[min(start + size, len(words))] - met[start]
         if most < o.similarity * len(item) or best[1] and most <= best[0]:
             continue
+        part = words[start : start + size]
         found = common_subsequence(item, part)
         if best[1] and found <= best[0]:
             continue
@@ -353,10 +366,11 @@ def _leaks_of(docs: DataFrame, items: list[tuple[int, np.ndarray, list[int]]], i
     shipped = docs.sparkSession.sparkContext.broadcast((basis, _normal(item_vectors).astype(np.float32).T.copy(), idf, cuts, [(i, w.tolist()) for i, w, _ in items]))  # bounded: features x rank, slots and a block of items
 
     def near(vectors: np.ndarray, items_t: np.ndarray) -> Iterator[tuple[int, int, float]]:
-        for a in range(0, len(vectors), _BLOCKS):
-            cosines = vectors[a : a + _BLOCKS] @ items_t
-            at = np.argwhere(cosines >= o.cosine)
-            for (w, c), cosine in zip(at.tolist(), cosines[at[:, 0], at[:, 1]].tolist(), strict=True):
+        together = max(_BLOCKS, (1 << 18) // items_t.shape[1])  # few items are compared with more windows at a time
+        for a in range(0, len(vectors), together):
+            cosines = vectors[a : a + together] @ items_t
+            at = np.nonzero(cosines >= o.cosine)
+            for w, c, cosine in zip(at[0].tolist(), at[1].tolist(), cosines[at].tolist(), strict=True):
                 yield a + w, c, cosine
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -389,7 +403,7 @@ def _leaks_of(docs: DataFrame, items: list[tuple[int, np.ndarray, list[int]]], i
                     ids.append(doc)
                     texts.append(words)
                     held += len(words)
-                    if held >= 2_000:
+                    if held >= 16_000:
                         rows += found(ids, texts)
                         ids, texts, held = [], [], 0
                 if ids:

@@ -239,6 +239,41 @@ def test_the_stretch_with_the_answer_counts():
         assert decontamination.best_stretch(item, words, o)[:2] == (32, True)
 
 
+def test_a_word_is_looked_up_few_times():
+    looked = [0]
+
+    class Word(int):
+        def __hash__(self):
+            looked[0] += 1
+            return int(self)
+
+        __eq__ = int.__eq__
+
+    words = [Word(1000 + i) for i in range(600)]
+    assert decontamination.best_stretch(list(range(40)), words, decontamination.Options()) == (0, False, 0)
+    assert looked[0] <= 2 * len(words)
+
+
+@pytest.mark.parametrize("lengths", [[], [0, 0], [1, 0, 47, 48, 49, 500]])
+def test_gram_product_equals_plain_products(lengths):
+    draw = np.random.default_rng(3)
+    texts = [draw.integers(0, 1 << 63, n).astype(np.uint64) for n in lengths]
+    texts = [t // np.uint64(1 << 60) << np.uint64(60) if i == 5 else t for i, t in enumerate(texts)]  # few features, each often
+    idf, basis = draw.random(1 << 10).astype(np.float32) + 1, draw.standard_normal((64, 8)).astype(np.float32)
+    rows = [np.zeros((0, 64))]
+    for t in texts:
+        for a in range(0, len(t), 48):
+            row = np.zeros(64)
+            np.add.at(row, decontamination._features(t[a : a + 48], 64), idf[decontamination._features(t[a : a + 48], len(idf))])
+            weights = idf[decontamination._features(t[a : a + 48], len(idf))].astype(float)
+            rows.append(row[None] / np.sqrt((weights**2).sum()))
+    full = np.zeros((64, 8))
+    feature, found = decontamination._gram_product(texts, idf, basis, 24)
+    full[feature] = found
+    a = np.concatenate(rows)
+    np.testing.assert_allclose(full, a.T @ (a @ basis), rtol=1e-4, atol=1e-3)
+
+
 def test_passes_over_windows_of_items(spark, docs_of):
     rows, items, truth = planted(random.Random(3), (100, 400), 60, 60)
     for most in (7, 1 << 14):
