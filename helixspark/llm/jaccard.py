@@ -186,16 +186,16 @@ def sketch(items: np.ndarray) -> np.ndarray:
 
 
 def described(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles, set_id (null for an empty set) and the sketch of each row."""
+    """doc_id, place, n_shingles, set_id (null for an empty set) and the sketch of each row; ``docs`` has doc_id, text and place."""
 
     def run(batches):
         for part, texts in _texts(batches):
             sets = [shingle_set(t, words) for t in texts]
             sketches = np.stack([sketch(s) for s in sets]) if sets else np.zeros((0, SKETCH_WORDS), np.int64)
-            columns = [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) if len(s) else None for s in sets], pa.binary())]
-            yield pa.record_batch([*columns, *(pa.array(np.ascontiguousarray(sketches[:, i])) for i in range(SKETCH_WORDS))], names=["doc_id", "n_shingles", "set_id", *_SKETCH])
+            columns = [part.column(0), part.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) if len(s) else None for s in sets], pa.binary())]
+            yield pa.record_batch([*columns, *(pa.array(np.ascontiguousarray(sketches[:, i])) for i in range(SKETCH_WORDS))], names=["doc_id", "place", "n_shingles", "set_id", *_SKETCH])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_id binary, " + ", ".join(f"{c} long" for c in _SKETCH))
+    return docs.mapInArrow(run, "doc_id long, place long, n_shingles long, set_id binary, " + ", ".join(f"{c} long" for c in _SKETCH))
 
 
 def signed(docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -252,6 +252,22 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * F.col("shared") >= percent * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b")
 
 
+#: Bits of the set by which likely() tells rows apart, at most: a million rows of 64 are sent to the tasks.
+MOST_BITS = 1 << 26
+
+
+def likely(rows: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
+    """The rows whose ``column`` may be one of the wanted: all of those, and about one of 16 others, or more where ``MOST_BITS`` are too few.
+
+    Before a join by that column it spares the others the shuffle; the join itself decides.
+    """
+    slots = min(MOST_BITS, max(64, 1 << (16 * wanted.count() - 1).bit_length()))
+    slot = F.pmod(F.xxhash64(column), F.lit(slots)).alias("_slot")
+    bits = wanted.select(slot).groupBy(F.expr("shiftright(_slot, 6)").alias("_word")).agg(F.expr("bit_or(shiftleft(1L, cast(_slot & 63 AS int)))").alias("_bits"))
+    marked = rows.select("*", slot).withColumn("_word", F.expr("shiftright(_slot, 6)")).join(F.broadcast(bits), "_word")  # bounded: MOST_BITS
+    return marked.where("shiftright(_bits, cast(_slot & 63 AS int)) & 1 = 1").select(*rows.columns)
+
+
 def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and n_links of each row; n_links counts the other rows that it links with.
 
@@ -263,14 +279,17 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
     """
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     bound_batches(docs.sparkSession)
+    # a text is found again by its id, or by its hash where it has none
+    texts = texts.withColumn("place", F.coalesce("doc_id", F.xxhash64("text")))
     rows = stored(described(texts, words), "sets")
-    groups = stored(_shared(signed(texts, words, percent)), "groups")
+    groups = stored(_shared(signed(texts.drop("place"), words, percent)), "groups")
     nodes = groups.groupBy(F.col("set_id").alias("node")).agg(F.sum("size").alias("score"))
-    sketches = rows.where("set_id IS NOT NULL").withColumnsRenamed({"set_id": "node", "n_shingles": "n"}).groupBy("node").agg(*(F.min(c).alias(c) for c in ["n", *_SKETCH]), F.min("doc_id").alias("doc_id"))
+    sketches = rows.where("set_id IS NOT NULL").withColumnsRenamed({"set_id": "node", "n_shingles": "n"}).groupBy("node").agg(*(F.min(c).alias(c) for c in ["n", *_SKETCH]), F.min("place").alias("place"))
     sketches = stored(sketches.join(nodes, "node"), "sketches")
     # one document stands for each set; a table in buckets is not shuffled again for every round of pairs
     # the number of nodes grows with the corpus, so the same plan serves every size
-    named = texts.join(sketches.select("node", "doc_id").hint("merge"), "doc_id").select("node", "text")
+    wanted = sketches.select("node", "place")
+    named = likely(texts, wanted, "place").join(wanted.hint("merge"), "place").select("node", "text")
     sets = bucketed(_sets(named, words), "node", "items")
     members = groups.select("sig", F.col("set_id").alias("node")).join(sketches.select("node", "score"), "node")
     members = stored(members, "members")
@@ -289,7 +308,7 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
     marks = [F.xxhash64("label"), F.xxhash64("label", F.lit(1))]
     torn = placed.groupBy("sig").agg(*(f(m).alias(f"{f.__name__}{i}") for i, m in enumerate(marks) for f in (F.min, F.max)))
     torn = torn.where("min0 <> max0 OR min1 <> max1").select("sig")
-    placed = stored(placed.join(torn, "sig", "left_semi").select("sig", "node", "label").join(sketches.drop("score", "doc_id"), "node"), "torn")
+    placed = stored(placed.join(torn, "sig", "left_semi").select("sig", "node", "label").join(sketches.drop("score", "place"), "node"), "torn")
     differ = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label"))
     more = placed.alias("x").join(placed.alias("y"), differ & _may_link(percent)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
     found = stored(verified(more.join(tested, ["a", "b"], "left_anti"), sets, percent), "links", narrow=True)

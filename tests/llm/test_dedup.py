@@ -4,6 +4,7 @@ import re
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.odd import ODD
 from helixspark.llm import bwt, exact_dedup, jaccard, repeats, storage
@@ -85,6 +86,25 @@ def test_jaccard_components(docs_of, rows):
     assert sorted(map(tuple, found), key=key) == sorted(sets_brute(rows, 4, 85), key=key)
 
 
+def test_sets_that_only_rows_without_an_id_hold_link(docs_of):
+    base = prose(200, random.Random(4))
+    rows = [(None, base), (3, base + " more"), (None, base + " more of it"), (9, "other words than those")]
+    found = jaccard.jaccard_components(docs_of(rows)).collect()
+    assert sorted(map(tuple, found), key=key) == sorted(sets_brute(rows, 4, 85), key=key)
+
+
+@pytest.mark.parametrize("most", [64, 1 << 26])
+def test_likely_rows(spark, monkeypatch, most):
+    monkeypatch.setattr(jaccard, "MOST_BITS", most)
+    rows = spark.range(5000).select(F.col("id").alias("place"), F.col("id").cast("string").alias("text"))
+    found = jaccard.likely(rows, rows.where("place % 50 = 0"), "place")
+    assert found.columns == ["place", "text"]
+    places = {r.place for r in found.collect()}
+    assert places >= set(range(0, 5000, 50))
+    assert len(places) <= (1000 if most > 64 else 5000)
+    assert jaccard.likely(rows, rows.where("place < 0"), "place").count() == 0
+
+
 @pytest.mark.parametrize("block_items", [1, 150, 1 << 20])
 def test_link_counts(spark, block_items):
     rng = random.Random(8)
