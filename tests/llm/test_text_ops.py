@@ -145,6 +145,21 @@ def test_pretokens_equal_the_library(text):
     assert [w for p in pretokens.pieces(text, 3) for w in split(p)] == words
 
 
+def test_plain_texts_take_the_fast_pattern(monkeypatch):
+    exact = pretokens.regex.compile(public_tokenizers.PATTERN)
+    below = [f"a{chr(c)}1 {chr(c)}{chr(c)}b '{chr(c)}  {chr(c)}" for c in range(0x250) if not 0x1C <= c <= 0x1F]
+    expected = [exact.findall(t) for t in below]
+
+    class Slow:
+        def findall(self, text):
+            raise AssertionError(text)
+
+    monkeypatch.setattr(pretokens.regex, "compile", lambda *_: Slow())
+    split = pretokens.splitter()
+    assert [split(t) for t in below] == expected
+    assert split("x\x1c \x1fy") == ["x", "\x1c", " \x1f", "y"]
+
+
 _ENC = encoding()
 
 
