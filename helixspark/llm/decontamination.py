@@ -25,7 +25,8 @@ from helixspark.llm.jaccard import _BASE, _INVERSE, _powers, _tables, mixed
 from helixspark.llm.storage import bound_batches, hashed_sample, parts, stored, trim
 
 
-_BLOCKS = 128  # word blocks or windows handled at a time
+_BLOCKS = 128  # windows compared at a time, at least
+_GATHERED = 768  # rows of a table gathered at a time: with 128 columns they stay in a core's cache until they are summed up
 _WIDTH = 32  # rows of a table summed up at a time
 _TOGETHER = 4  # rows of numbered_words() multiplied at a time: a feature stands in them often enough to fill rows of ``_WIDTH``
 _SLICES = 256  # of a matrix that tasks sum up
@@ -174,8 +175,12 @@ def _normal(x: np.ndarray) -> np.ndarray:
 def _products(at: np.ndarray, weight: np.ndarray, table: np.ndarray) -> np.ndarray:
     """For each row of ``at`` the sum of ``table[at]`` times the row's weights."""
     out = np.empty((len(at), table.shape[1]), np.float32)
-    for a in range(0, len(at), _BLOCKS // 2):  # the gathered rows of a very long text would be large
-        np.matmul(weight[a : a + _BLOCKS // 2, None, :], np.take(table, at[a : a + _BLOCKS // 2], axis=0), out=out[a : a + _BLOCKS // 2, None, :])
+    step = max(1, _GATHERED // at.shape[1])
+    held = np.empty((min(step, len(at)), at.shape[1], table.shape[1]), table.dtype)  # filled again and again
+    for a in range(0, len(at), step):
+        rows = held[: len(at) - a]
+        np.take(table, at[a : a + step], axis=0, out=rows, mode="clip")  # with "raise" numpy would fill a copy of ``rows`` first
+        np.matmul(weight[a : a + step, None, :], rows, out=out[a : a + step, None, :])
     return out
 
 
@@ -189,7 +194,14 @@ def _sums_by(key: np.ndarray, at: np.ndarray, weight: np.ndarray, table: np.ndar
     index, factor = np.zeros(int(rows.sum()) * _WIDTH, np.int32), np.zeros(int(rows.sum()) * _WIDTH, np.float32)
     index[cell], factor[cell] = at, weight
     sums = _products(index.reshape(-1, _WIDTH), factor.reshape(-1, _WIDTH), table)
-    return key[first], np.add.reduceat(sums, begin, axis=0) if len(begin) else sums
+    # reduceat() would go down each column by itself
+    out, few = sums[begin], 8
+    for k in range(1, few):
+        more = np.flatnonzero(rows > k)
+        out[more] += sums[begin[more] + k]
+    for i in np.flatnonzero(rows > few).tolist():
+        out[i] += sums[begin[i] + few : begin[i] + rows[i]].sum(0)
+    return key[first], out
 
 
 def _gram_product(texts: list[np.ndarray], idf: np.ndarray, basis: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
@@ -275,16 +287,26 @@ def latent_space(words: DataFrame, rows: int, items: DataFrame, n_items: int, id
 
 
 def common_subsequence(a: list, b: list) -> int:
-    """Length of the longest common subsequence, by one integer operation for each element of ``b``."""
+    """Length of the longest common subsequence, by one integer operation for each element of ``b`` that ``a`` has."""
+    places = _places(a)
+    return _common(len(a), [places[x] for x in b if x in places])
+
+
+def _places(a: list) -> dict:
+    """The places of each element of ``a``, as bits."""
     places: dict = {}
     for i, x in enumerate(a):
         places[x] = places.get(x, 0) | 1 << i
-    full = (1 << len(a)) - 1
-    row = full
-    for x in b:
-        hit = row & places.get(x, 0)
+    return places
+
+
+def _common(length: int, places: list[int]) -> int:
+    """common_subsequence() of a list of that length with elements that have these places in it."""
+    row = full = (1 << length) - 1
+    for at in places:
+        hit = row & at
         row = (row + hit | row - hit) & full
-    return len(a) - row.bit_count()
+    return length - row.bit_count()
 
 
 def best_stretch(item: list, words: list, o: Options) -> tuple[int, bool, int]:
@@ -293,20 +315,24 @@ def best_stretch(item: list, words: list, o: Options) -> tuple[int, bool, int]:
     A stretch with the answer is better than one without, then the longer subsequence, then the first. Stretches that hold too few of the item's
     words for a leak are not looked at.
     """
-    size, best = max(1, int(np.ceil(o.stretch * len(item)))), (0, False, 0)
+    size, least, best = max(1, int(np.ceil(o.stretch * len(item)))), o.similarity * len(item), (0, False, 0)
+    met = [0, *accumulate(map({*item}.__contains__, words))]  # of the item's words, before each place
+    if met[-1] < least:  # most candidates end here
+        return best
     step = max(1, (size - len(item)) // 2)
-    tail = item[-max(1, min(o.answer_words, len(item) // 3)) :]
-    known = {*item}
-    met = [0, *accumulate(x in known for x in words)]  # of the item's words, before each place
+    tail = max(1, min(o.answer_words, len(item) // 3))
+    before = len(item) - tail
+    places = _places(item)
+    at = [places[x] for x in words if x in places]  # other words have no part in a subsequence
     for start in range(0, max(1, len(words) - size + step), step):
-        most = met[min(start + size, len(words))] - met[start]
-        if most < o.similarity * len(item) or best[1] and most <= best[0]:
+        a, b = met[start], met[min(start + size, len(words))]
+        most = b - a
+        if most < least or best[1] and most <= best[0]:
             continue
-        part = words[start : start + size]
-        found = common_subsequence(item, part)
+        found = _common(len(item), at[a:b])
         if best[1] and found <= best[0]:
             continue
-        answered = common_subsequence(tail, part) >= o.answer_share * len(tail)
+        answered = _common(tail, [x >> before for x in at[a:b] if x >> before]) >= o.answer_share * tail
         if (answered, found) > (best[1], best[0]):
             best = found, answered, start
     return best
@@ -368,9 +394,9 @@ def _leaks_of(docs: DataFrame, items: list[tuple[int, np.ndarray, list[int]]], i
     def near(vectors: np.ndarray, items_t: np.ndarray) -> Iterator[tuple[int, int, float]]:
         together = max(_BLOCKS, (1 << 18) // items_t.shape[1])  # few items are compared with more windows at a time
         for a in range(0, len(vectors), together):
-            cosines = vectors[a : a + together] @ items_t
-            at = np.nonzero(cosines >= o.cosine)
-            for w, c, cosine in zip(at[0].tolist(), at[1].tolist(), cosines[at].tolist(), strict=True):
+            cosines = (vectors[a : a + together] @ items_t).ravel()
+            at = np.flatnonzero(cosines >= o.cosine)
+            for w, c, cosine in zip((at // items_t.shape[1]).tolist(), (at % items_t.shape[1]).tolist(), cosines[at].tolist(), strict=True):
                 yield a + w, c, cosine
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -269,6 +270,67 @@ def test_a_word_is_looked_up_few_times():
     assert looked[0] <= 2 * len(words)
 
 
+def test_stretches_that_overlap_do_not_look_words_up_again():
+    looked = [0]
+
+    class Word(int):
+        def __hash__(self):
+            looked[0] += 1
+            return int(self)
+
+        __eq__ = int.__eq__
+
+    rng, item = random.Random(8), list(range(40))
+    words = [Word(i if rng.random() < 0.9 else 1000) for _ in range(10) for i in [*range(25), *range(32, 40), *range(25, 32)]]
+    decontamination.best_stretch(item, words, decontamination.Options())
+    assert looked[0] <= 4 * len(words)
+
+
+def test_best_stretch_equals_a_search_of_all_stretches():
+    rng, o, seen = random.Random(10), decontamination.Options(), set()
+
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = row
+            row = [0]
+            for j, y in enumerate(b):
+                row.append(last[j] + 1 if x == y else max(last[j + 1], row[j]))
+        return row[-1]
+
+    for trial in range(160):
+        item, kept = [rng.randrange(50) for _ in range(rng.randint(1, 40))], (0.3, 0.8, 0.9, 1.0)[trial % 4]
+        words = [w if rng.random() < kept else rng.randrange(60) for _ in range(2) for w in [*(rng.randrange(50, 90) for _ in range(rng.randrange(30))), *item]]
+        size, tail = max(1, int(np.ceil(o.stretch * len(item)))), item[-max(1, min(o.answer_words, len(item) // 3)) :]
+        step, best = max(1, (size - len(item)) // 2), (False, 0, 0)
+        for start in range(0, max(1, len(words) - size + step), step):
+            part = words[start : start + size]
+            if sum(w in item for w in part) >= o.similarity * len(item):
+                best = max(best, (common(tail, part) >= o.answer_share * len(tail), common(item, part), -start))
+        assert decontamination.best_stretch(item, words, o) == (best[1], best[0], -best[2])
+        seen.add((best[0], best[1] > 0))
+    assert seen == {(False, False), (False, True), (True, True)}
+
+
+def test_gathered_rows_are_few_at_a_time():
+    table, at = np.ones((8192, 128), np.float32), np.zeros((2000, 48), np.int32)
+    weight = np.ones(at.shape, np.float32)
+    tracemalloc.start()
+    found = decontamination._products(at, weight, table)
+    peak = tracemalloc.get_traced_memory()[1] - found.nbytes
+    tracemalloc.stop()
+    assert peak < 1 << 19 and (found == 48).all()
+
+
+def test_sums_of_rare_and_frequent_keys():
+    draw = np.random.default_rng(4)
+    key = np.repeat(np.arange(9) * 3, [1, 31, 32, 33, 64, 256, 257, 289, 2_000])
+    at, weight, table = draw.integers(0, 50, len(key)), draw.random(len(key)).astype(np.float32), draw.standard_normal((50, 7)).astype(np.float32)
+    found, sums = decontamination._sums_by(key, at, weight, table)
+    assert found.tolist() == [*range(0, 27, 3)]
+    np.testing.assert_allclose(sums, [weight[key == k].astype(float) @ table[at[key == k]] for k in found], rtol=1e-4, atol=1e-4)
+
+
 @pytest.mark.parametrize("lengths", [[], [0, 0], [1, 0, 47, 48, 49, 500]])
 def test_gram_product_equals_plain_products(lengths):
     draw = np.random.default_rng(3)
