@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixspark.llm.jaccard import _BASE, _INVERSE, _powers, _tables, mixed
+from helixspark.llm.jaccard import _BASE, _GOLDEN, _INVERSE, _powers, _tables, mixed
 from helixspark.llm.storage import bound_batches, hashed_sample, parts, stored, trim
 
 
@@ -149,13 +149,9 @@ class Windows:
 
     def sums(self, table: np.ndarray) -> np.ndarray:
         """The rows of ``table`` times the words' weights, summed by block."""
-        return _products(*self._filled(), table)
+        return _products(*self.filled(), table)
 
-    def norms(self) -> np.ndarray:
-        """The length of each block's vector of weights."""
-        return np.sqrt(np.maximum(np.square(self._filled()[1]).sum(1), 1e-9))
-
-    def _filled(self) -> tuple[np.ndarray, np.ndarray]:
+    def filled(self) -> tuple[np.ndarray, np.ndarray]:
         feature, weight = np.zeros(self.n * self.block, np.int32), np.zeros(self.n * self.block, np.float32)
         feature[self.cell], weight[self.cell] = self.feature, self.weight
         return feature.reshape(self.n, self.block), weight.reshape(self.n, self.block)
@@ -207,7 +203,8 @@ def _sums_by(key: np.ndarray, at: np.ndarray, weight: np.ndarray, table: np.ndar
 def _gram_product(texts: list[np.ndarray], idf: np.ndarray, basis: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
     """A' A Q for the TF-IDF rows A (of unit length) of the texts' windows of two blocks: its features that are not 0, and their rows."""
     windows = Windows(texts, idf, len(basis), 2 * block)
-    y = windows.sums(basis) / windows.norms()[:, None] ** 2
+    at, weight = windows.filled()
+    y = _products(at, weight, basis) / np.maximum(np.square(weight).sum(1), 1e-9)[:, None]
     order = np.argsort(windows.feature.astype(np.uint16) if len(basis) <= 1 << 16 else windows.feature, kind="stable")  # numbers of 16 bits are sorted by counting
     return _sums_by(windows.feature[order], windows.cell[order] // (2 * block), windows.weight[order], y)
 
@@ -338,6 +335,33 @@ def best_stretch(item: list, words: list, o: Options) -> tuple[int, bool, int]:
     return best
 
 
+class ItemWords:
+    """Which words items have, by slots: some that an item lacks count as its own, none that it has is missed."""
+
+    def __init__(self, items: list[list[int]]):
+        bits = min(22, max(10, (64 * sum(map(len, items))).bit_length()))
+        self.shift, self.salt = np.uint64(64 - bits), np.arange(1, len(items) + 1, dtype=np.uint64) * _GOLDEN
+        self.met = np.zeros(1 << bits, bool)
+        for i, item in enumerate(items):
+            self.met[self._slots(np.array(item, np.uint64), self.salt[i])] = True
+
+    def _slots(self, words: np.ndarray, salt: np.ndarray) -> np.ndarray:
+        return ((words ^ salt) * _GOLDEN >> self.shift).astype(np.int64)
+
+    def most(self, words: np.ndarray, first: np.ndarray, size: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """How many of ``size`` words from each place on the place's item has, at most."""
+        out = np.zeros(len(first), np.int64)
+        block = np.cumsum(size) >> 18  # few words at a time
+        edges = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(first)]
+        for a, b in zip(edges, edges[1:], strict=False):
+            ends = np.cumsum(size[a:b])
+            begin = ends - size[a:b]
+            at = np.arange(int(size[a:b].sum())) + np.repeat(first[a:b] - begin, size[a:b])
+            met = np.append(0, np.cumsum(self.met[self._slots(words[at], np.repeat(self.salt[item[a:b]], size[a:b]))]))
+            out[a:b] = met[ends] - met[begin]
+        return out
+
+
 def window_starts(items: DataFrame, block: int) -> DataFrame:
     """item_id, text, starts, hash: the first words of the windows of two blocks of each distinct item with words, each block with the next one, if there is one."""
 
@@ -391,35 +415,43 @@ def _leaks_of(docs: DataFrame, items: list[tuple[int, np.ndarray, list[int]]], i
     item_vectors = np.stack([idf[_features(w, len(idf))] @ basis[_features(w, len(basis))] for w in passages])
     shipped = docs.sparkSession.sparkContext.broadcast((basis, _normal(item_vectors).astype(np.float32).T.copy(), idf, cuts, [(i, w.tolist()) for i, w, _ in items]))  # bounded: features x rank, slots and a block of items
 
-    def near(vectors: np.ndarray, items_t: np.ndarray) -> Iterator[tuple[int, int, float]]:
+    def near(vectors: np.ndarray, items_t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         together = max(_BLOCKS, (1 << 18) // items_t.shape[1])  # few items are compared with more windows at a time
+        places, cosines = [np.zeros(0, np.int64)], [np.zeros(0, np.float32)]
         for a in range(0, len(vectors), together):
-            cosines = (vectors[a : a + together] @ items_t).ravel()
-            at = np.flatnonzero(cosines >= o.cosine)
-            for w, c, cosine in zip((at // items_t.shape[1]).tolist(), (at % items_t.shape[1]).tolist(), cosines[at].tolist(), strict=True):
-                yield a + w, c, cosine
+            part = (vectors[a : a + together] @ items_t).ravel()
+            at = np.flatnonzero(part >= o.cosine)
+            places.append(at + a * items_t.shape[1])
+            cosines.append(part[at])
+        window, cut = np.divmod(np.concatenate(places), items_t.shape[1])
+        return window, cut, np.concatenate(cosines)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, items_t, idf, cuts, named = shipped.value
+        item_of, into = np.array(cuts, np.int64).T
+        lengths, item_words = np.array([len(w) for _, w in named], np.int64), ItemWords([w for _, w in named])
 
         def found(ids: list, texts: list[np.ndarray]) -> list[tuple]:
             windows = Windows(texts, idf, len(table), o.block)
             vectors, doc, start = windows.pairs(windows.sums(table))
-            # windows that put the item at the same place are one candidate
-            places: dict[tuple, tuple[float, int]] = {}
-            for w, c, cosine in near(_normal(vectors), items_t):
-                i, into = cuts[c]
-                a = int(start[w])
-                at = doc[w], i, (a - into) // o.block
-                places[at] = max(places.get(at, (cosine, a - into)), (cosine, a - into))
+            w, c, cosine = near(_normal(vectors), items_t)
+            d, i, first = doc[w], item_of[c], start[w] - into[c]
+            # windows that put the item at the same place are one candidate, with the largest cosine, then the last first word
+            order = np.lexsort((first, cosine, first // o.block, i, d))
+            d, i, first, cosine = d[order], i[order], first[order], cosine[order]
+            same = (d[1:] == d[:-1]) & (i[1:] == i[:-1]) & (first[1:] // o.block == first[:-1] // o.block)
+            best = np.flatnonzero(np.append(~same, True)[: len(d)])
+            d, i, first, cosine = d[best], i[best], first[best], cosine[best]
+            size = np.fromiter(map(len, texts), np.int64, len(texts))
+            lo, hi = np.maximum(0, first - lengths[i]), np.minimum(first + np.maximum(2 * o.block, lengths[i]) + lengths[i], size[d])
+            # most candidates lack too many of the item's words
+            keep = item_words.most(np.concatenate(texts), (np.cumsum(size) - size)[d] + lo, hi - lo, i) >= o.similarity * lengths[i]
             out = []
-            for (d, i, _), (cosine, first) in places.items():
-                item_id, item = named[i]
-                lo, hi = max(0, first - len(item)), first + max(2 * o.block, len(item)) + len(item)
-                words = texts[d][lo:hi].tolist()
-                share, answered, at = best_stretch(item, words, o)
+            for d_, i_, a, b, near_by in zip(*(x[keep].tolist() for x in (d, i, lo, hi, cosine)), strict=True):
+                item_id, item = named[i_]
+                share, answered, at = best_stretch(item, texts[d_][a:b].tolist(), o)
                 if share >= o.similarity * len(item) and answered:
-                    out.append((ids[d], item_id, cosine, share / len(item), lo + at))
+                    out.append((ids[d_], item_id, near_by, share / len(item), a + at))
             return out
 
         for batch in batches:
