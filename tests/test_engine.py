@@ -266,3 +266,21 @@ def test_sums_over_windows_of_a_read_in_pieces(spark):
     found = extract.window_sums(df, 20, values, {"mixed": (np.bitwise_xor, F.bit_xor), "least": (np.minimum, F.min)}).collect()
     whole = extract.packed_windows(extract.checked_codes(*extract.joined(pa.array([seq]))), 20)[:, 0].view(np.int64)
     assert sorted(map(tuple, found)) == [(1, len(whole), int(np.bitwise_xor.reduce(whole)), int(whole.min())), (2, 41, 0, 0)]
+
+
+def test_top_kmers_have_no_upper_count(spark, tmp_path):
+    found, expected = _both(spark, "top_kmers", ["A" * 65_600, "ACGTTGCAGATTACAGGCCATTTGACCA" * 3, "C" * 65_555, None, "no"], tmp_path)
+    assert found == expected and found[:2] == [("A" * 21, 65_580), ("C" * 21, 65_535)]
+
+
+@pytest.mark.parametrize("k", [5, 21, 33])
+def test_most_frequent_are_those_of_all_counts(spark, k):
+    rng = random.Random(k)
+    often = ["".join(rng.choices("ACGT", k=60)) for _ in range(5)]
+    rows = [(i, rng.choice(often)[rng.randrange(9) :] if i % 2 else "".join(rng.choices("ACGT", k=rng.randrange(90)))) for i in range(600)]
+    rows.append((600, "".join(rng.choices("ACGT", k=70)) * 16_000))  # over a million windows, more than are handled at a time
+    df = spark.createDataFrame(rows, "rid long, seq string").repartition(3)
+    every = sorted(((r.kmer, r.cnt) for r in count.all_counts(df, k).collect()), key=lambda r: (-r[1], r[0]))
+    for n in (1, 7, 100, len(every) + 1):
+        assert [tuple(r) for r in count.most_frequent(df, k, n).collect()] == every[:n]
+    assert count.most_frequent(df.where("rid < 0"), k, 3).count() == 0
